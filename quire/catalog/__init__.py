@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "searches", "comparisons")
+MODULES = ("texts", "searches", "comparisons", "linkage")
 
 
 def all_queries() -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.myers import edit_script
 from quire.plans import blocks
+from quire.plans.checkpoints import cut
 
 PAGE = ("doc_id", "page_no")
 
@@ -91,7 +92,8 @@ def diff_words(a: DataFrame, b: DataFrame, ignore_case: bool = False) -> DataFra
     joins on position; only the span between them, one per pair, goes to the edit algorithm.
     """
     text = F.lower("folded") if ignore_case else F.col("folded")
-    a, b = (df.select("pair_id", "pos", text.alias("folded")) for df in (a, b))
+    # Both lists are read several times below; written once, they are not worked out again.
+    a, b = (cut(df.select("pair_id", "pos", text.alias("folded"))) for df in (a, b))
     sizes = (
         a.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).join(b.groupBy("pair_id").agg(F.count(F.lit(1)).alias("m")), "pair_id", "full_outer")
         .select("pair_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
@@ -109,13 +111,14 @@ def diff_words(a: DataFrame, b: DataFrame, ignore_case: bool = False) -> DataFra
         .withColumn("tail", F.least(F.coalesce("_suffix", F.least("n", "m")), F.least("n", "m") - F.col("i0")))
         .select("pair_id", "n", "m", "i0", F.col("i0").alias("j0"), "tail")
     )
+    spans = cut(spans)  # one row per pair, read three times below
     placed_a = a.join(spans, "pair_id")
     same = placed_a.where("pos < i0 or pos >= n - tail").select(
         "pair_id", F.lit("=").alias("op"), F.col("pos").alias("i"),
         F.when(F.col("pos") < F.col("i0"), F.col("pos")).otherwise(F.col("pos") + F.col("m") - F.col("n")).alias("j"),
     )
     mid_a = placed_a.where("pos >= i0 and pos < n - tail").select("pair_id", "pos", "folded", "i0", "j0")
-    mid_b = b.join(spans, "pair_id").where("pos >= j0 and pos < m - tail").select("pair_id", "pos", "folded", "i0", "j0")
+    mid_b = b.join(spans, "pair_id").where("pos >= j0 and pos < m - tail").select("pair_id", "pos", "folded", "i0", "j0").toDF("pair_id", "pos", "folded", "i0", "j0")
     middle = mid_a.groupBy("pair_id").cogroup(mid_b.groupBy("pair_id")).applyInPandas(_span_script, _SCRIPT)
     return same.unionByName(middle)
 
@@ -125,7 +128,7 @@ def change_runs(diff: DataFrame, a: DataFrame, b: DataFrame, width: int = 65536)
 
     A run is known by the number of kept words before it, which no other run of the pair shares.
     """
-    steps = diff.withColumn("_keep", (F.col("op") == "=").cast("long")).withColumn("_at", F.col("i") + F.col("j"))
+    steps = cut(diff).withColumn("_keep", (F.col("op") == "=").cast("long")).withColumn("_at", F.col("i") + F.col("j"))
     marked = blocks.scan(blocks.by_value(steps, "_at", width), ["pair_id"], ["_at", "i", "op"], run=("sum", "_keep"))
     changed = marked.where("op <> '='")
     olds = changed.where("op = '-'").join(a.select("pair_id", F.col("pos").alias("i"), F.col("token").alias("_t")), ["pair_id", "i"])

@@ -96,6 +96,24 @@ def _compiled(queries: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(made, columns=["pattern", "kind", "key"])
 
 
+def _page_anchors(kind: int) -> Column:
+    """The hashes of every anchor of one kind in a page's `_tokens`."""
+    size = abs(kind)
+    tag = lambda key: F.xxhash64(F.lit(kind), key)
+    if kind == 0:
+        return F.array(tag(F.lit("")))
+    if kind > 0:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_tokens") - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: tag(F.array_join(F.slice("_tokens", i, size), " ")))
+
+    def pieces(token: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(token) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(token, i, F.lit(size)))
+
+    every = F.array_distinct(F.flatten(F.transform(F.array_distinct("_tokens"), pieces)))
+    return F.transform(every, tag)
+
+
 def find_all(queries: DataFrame, pages: DataFrame) -> DataFrame:
     """The search for a whole table of queries `(query_id, query)` over pages `(doc_id, page_no, text)`.
 
@@ -110,21 +128,10 @@ def find_all(queries: DataFrame, pages: DataFrame) -> DataFrame:
     kinds = [r[0] for r in keyed.select("kind").distinct().collect()]  # at most seven values
 
     tokens = F.split(F.translate(F.lower("text"), "ς", "σ"), f"{patterns.GAP}+", -1)
-    grams = []
-    for kind in kinds:
-        if kind == 0:
-            grams.append(F.array(F.xxhash64(F.lit(0), F.lit(""))))
-        elif kind > 0:
-            at = F.sequence(F.lit(1), F.greatest(F.size("_tokens") - kind + 1, F.lit(1)))
-            grams.append(F.transform(at, lambda i, k=kind: F.xxhash64(F.lit(k), F.array_join(F.slice("_tokens", i, k), " "))))
-        else:
-            size = -kind
-            pieces = F.flatten(F.transform(F.array_distinct("_tokens"), lambda t, n=size: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))))
-            grams.append(F.transform(F.array_distinct(pieces), lambda g, k=kind: F.xxhash64(F.lit(k), g)))
+    found = F.array_distinct(F.flatten(F.array(*[_page_anchors(kind) for kind in kinds])))
     anchors = (
         pages.withColumn("_tokens", tokens)
-        .select("doc_id", "page_no", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("anchor"))
+        .select("doc_id", "page_no", F.explode(found).alias("anchor"))
     )
     candidates = anchors.join(sizes.small(keyed.drop("kind")), "anchor").drop("anchor")
     texts = candidates.join(pages.select("doc_id", "page_no", "text"), ["doc_id", "page_no"])

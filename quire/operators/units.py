@@ -93,14 +93,24 @@ def fold(token: str | Column) -> Column:
 
 
 def compare_tokens(words_: DataFrame, boxes: bool = True) -> DataFrame:
-    """Words split into letter-and-digit runs and other runs, each with its share of the word's box."""
+    """Words split into letter-and-digit runs and other runs, each with its share of the word's box.
+
+    The runs of a word touch, so a run starts where the ones before it end.
+    """
     kept = [c for c in words_.columns if c not in ("word", "length", "x", "w", "start", "ord")]
-    base = words_.withColumnsRenamed({"start": "_word_start", "length": "_word_length"})
-    parts = spans(base, patterns.COMPARE_TOKEN, text="word", out="token").withColumnRenamed("ord", "_part")
-    share = F.col("start") / F.col("_word_length")
-    extra = [(F.col("x") + F.col("w") * share).alias("x"), (F.col("w") * F.col("length") / F.col("_word_length")).alias("w")] if boxes else []
+    base = words_.select(
+        *kept, *(["x", "w"] if boxes else []), F.col("start").alias("_word_start"), F.col("length").alias("_word_length"), "word",
+        F.regexp_extract_all("word", F.lit(patterns.COMPARE_TOKEN), F.lit(0)).alias("_runs"),
+    )
+    near = F.transform("_runs", lambda t, i: F.length(F.array_join(F.slice("_runs", 1, i), "")))
+    far = arrays.exclusive_prefix(F.transform("_runs", lambda t: F.length(t)))
+    starts = F.when(F.size("_runs") == 1, F.array(F.lit(0))).when(F.size("_runs") <= arrays.STEP, near).otherwise(far)
+    parts = base.select(*[c for c in base.columns if c not in ("_runs", "word")], F.posexplode("_runs").alias("_part", "token"), starts.alias("_starts"))
+    off = F.get("_starts", F.col("_part"))
+    share = off / F.col("_word_length")
+    extra = [(F.col("x") + F.col("w") * share).alias("x"), (F.col("w") * F.length("token") / F.col("_word_length")).alias("w")] if boxes else []
     return parts.select(
-        *kept, *extra, (F.col("_word_start") + F.col("start")).alias("start"), "length", "token", fold("token").alias("folded")
+        *kept, *extra, (F.col("_word_start") + off).alias("start"), F.length("token").alias("length"), "token", fold("token").alias("folded")
     )
 
 
