@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "searches", "comparisons", "linkage")
+MODULES = ("texts", "searches", "comparisons", "linkage", "arrangement", "measures")
 
 
 def all_queries() -> None:

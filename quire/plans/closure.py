@@ -18,25 +18,19 @@ def chain_ends(links: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     chains that have not ended are joined again.
     """
     keys = list(keys)
-    columns = [*keys, "node", "root", "hops"]
-    step = cut(links.select(*keys, "node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("hops"), F.col("parent_ends").alias("_done")))
-    ended = [step.where("_done").select(*columns)]
-    table, open_ = step, step.where("not _done")
+    table = cut(links.select(
+        *keys, "node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("hops"), F.col("parent_ends").alias("_done")))
     walked = 1
-    while walked < limit and not open_.isEmpty():
+    while walked < limit:
+        open_ = table.where("not _done")
+        if open_.isEmpty():
+            break
         ahead = table.select(*keys, F.col("node").alias("root"), F.col("root").alias("_root"), F.col("hops").alias("_hops"), F.col("_done").alias("_d"))
         moved = open_.drop("_done").join(ahead, [*keys, "root"]).select(
             *keys, "node", F.col("_root").alias("root"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_d").alias("_done"))
-        moved = cut(moved.where(F.col("hops") <= limit))
-        ended.append(moved.where("_done").select(*columns))
-        open_ = moved.where("not _done")
-        # Ended chains keep their end; open ones point twice as far as before.
-        table = moved.unionByName(step.where("_done")) if len(ended) == 2 else moved.unionByName(table.where("_done"))
+        table = cut(moved.where(F.col("hops") <= limit).unionByName(table.where("_done")))
         walked *= 2
-    result = ended[0]
-    for more in ended[1:]:
-        result = result.unionByName(more)
-    return result
+    return table.where("_done").drop("_done")
 
 
 def reachable(refs: DataFrame, roots: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
