@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "searches", "comparisons", "linkage", "arrangement", "measures")
+MODULES = ("texts", "searches", "comparisons", "linkage", "arrangement", "measures", "reports", "marks")
 
 
 def all_queries() -> None:
