@@ -75,7 +75,7 @@ def measure(spark, folder):
     return _measured(spark, folder).withColumns({"value": F.round("value", 4), "angle": F.round("angle", 4)})
 
 
-@query("G1_measure_totals", f"WITH {_MEASURED} SELECT doc_id, kind, count(*) AS \"count\", round(sum(round(value, 4)), 3) AS total FROM m GROUP BY ALL")
+@query("G1_measure_totals", f"WITH {_MEASURED} SELECT doc_id, kind, count(*) AS \"count\", round(sum(round(value, 4)::DECIMAL(28, 4))::DOUBLE, 3) AS total FROM m GROUP BY ALL")
 def totals(spark, folder):
     return geometry.measure_totals(_measured(spark, folder)).withColumn("total", F.round(F.col("total").cast("double"), 3))
 

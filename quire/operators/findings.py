@@ -56,7 +56,7 @@ def run_profile(facts: DataFrame, profile: Sequence[tuple]) -> DataFrame:
         .when(F.col("op") == "ge", v >= t).when(F.col("op") == "eq", v == t).otherwise(v != t)
     )
     hit = facts.join(rules, "measure").where(broken & (F.col("at_least").isNull() | (v >= F.col("at_least"))))
-    message = F.concat(F.col("measure"), F.lit(" is "), F.format_number("value", "0.##"), F.lit(", limit "), F.format_number("threshold", "0.##"))
+    message = F.concat(F.col("measure"), F.lit(" is "), F.call_function("format_number", F.col("value"), F.lit("0.##")), F.lit(", limit "), F.call_function("format_number", F.col("threshold"), F.lit("0.##")))
     return hit.select(
         "doc_id", "page_no", "ord", "rule", "severity", message.alias("message"), F.col("value").alias("measure"), "unit", F.lit(1).cast("long").alias("count"))
 

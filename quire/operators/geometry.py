@@ -72,7 +72,8 @@ def snap(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
     Points look into the cells their tolerance touches (four at most); equal targets count once.
     """
     size, key = tolerance * 4, ["doc_id", "page_no", "_c"]
-    x0, y0, x1, y1 = (F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
+    segments = segments.withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")})
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     probes = points.select("doc_id", "page_no", "id", "x", "y", F.explode(spatial.box_cells(
         F.col("x") - tolerance, F.col("y") - tolerance, F.col("x") + tolerance, F.col("y") + tolerance, size)).alias("_c"))
     spot = lambda rank, x, y: F.struct(F.lit(rank).alias("rank"), x.alias("tx"), y.alias("ty"))
@@ -83,7 +84,7 @@ def snap(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
     near_spots = probes.join(spots, key).select("doc_id", "page_no", "id", "x", "y", "rank", "seg_id", "tx", "ty")
 
     paths = segments.dropDuplicates(["doc_id", "page_no", "x0", "y0", "x1", "y1"]).select(
-        "doc_id", "page_no", "seg_id", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
+        "doc_id", "page_no", "seg_id", "x0", "y0", "x1", "y1",
         F.explode(spatial.segment_cells(x0, y0, x1, y1, size)).alias("_c"))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     long2 = dx * dx + dy * dy
