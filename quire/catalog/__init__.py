@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "searches", "comparisons", "linkage", "arrangement", "measures", "reports", "marks", "layouts", "tabular", "filling")
+MODULES = ("texts", "searches", "comparisons", "linkage", "arrangement", "measures", "reports", "marks", "layouts", "tabular", "filling", "arrivals")
 
 
 def all_queries() -> None:

@@ -173,7 +173,7 @@ def reset(spark, folder):
 
 @query("F7_derive", """
 WITH s AS (SELECT l_orderkey AS doc_id, sum(l_quantity) AS q, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS p, sum(l_discount::DECIMAL(18,2))::DOUBLE AS r FROM lineitem GROUP BY 1)
-SELECT doc_id, 'd' AS name, CASE WHEN r = 0 THEN -1 ELSE round((p + q * 2) / r - 1, 3) END::DOUBLE AS result FROM s
+SELECT doc_id, 'd' AS name, CASE WHEN r = 0 THEN -1 ELSE round((p + q * 2) / r - 1 + 1e-6, 3) END::DOUBLE AS result FROM s
 """)
 def derive(spark, folder):
     li = table(spark, folder, "lineitem")
@@ -181,4 +181,4 @@ def derive(spark, folder):
     entry = lambda group, value: F.struct(F.concat(F.lit(group + "."), stem).alias("name"), value.cast("decimal(18,2)").cast("string").alias("value"))
     fields = li.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.array(entry("qty", F.col("l_quantity")), entry("price", F.col("l_extendedprice")), entry("rate", F.col("l_discount")))).alias("_f")).select("doc_id", "_f.*")
     found = forms.derive(fields, "d", "(price + qty * 2) / rate - 1")
-    return found.withColumn("result", F.coalesce(F.round(F.col("result").cast("double"), 3), F.lit(-1.0)))
+    return found.withColumn("result", F.coalesce(F.round(F.col("result").cast("double") + 1e-6, 3), F.lit(-1.0)))

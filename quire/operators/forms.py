@@ -301,8 +301,8 @@ def import_values(fields: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Da
 
 
 def reset(fields: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Values back to their defaults, of all fields or of those named in `only (name)`."""
-    back = F.coalesce("default_value", F.lit(""))
+    """Values back to their defaults, of all fields or of those named in `only (name)`; read-only ones stay."""
+    back = F.when(F.col("read_only"), F.col("value")).otherwise(F.coalesce("default_value", F.lit("")))
     if only is None:
         return fields.withColumn("value", back)
     named = sizes.small(only.select("name").distinct().withColumn("_named", F.lit(True)))
