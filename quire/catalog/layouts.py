@@ -149,7 +149,7 @@ def strip(spark, folder):
 WITH d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT source AS doc_id, unnest([0, 1, 2]) AS t0, max(n) AS pages FROM d GROUP BY source
 """.replace("SELECT source AS doc_id, unnest([0, 1, 2]) AS t0, max(n) AS pages", """SELECT source AS doc_id, 'bottom' AS zone, 'page # of # in part #' AS key, unnest([0, 1, 2])::BIGINT AS token,
-       unnest(['PAGE', 'NUMPAGES', CASE WHEN max(n) > 12 THEN 'literal' ELSE 'same' END]) AS field, unnest([CASE WHEN max(n) > 12 THEN 2 ELSE 1 END, max(n), max(n)])::BIGINT AS runs, max(n) AS on_pages"""))
+       unnest(['PAGE', 'NUMPAGES', CASE WHEN max(n) > 12 THEN 'literal' ELSE 'same' END]) AS field, unnest([CASE WHEN max(n) > 12 THEN 2 ELSE 1 END, max(n), CASE WHEN max(n) > 12 THEN max(n) - 1 ELSE max(n) END])::BIGINT AS runs, max(n) AS on_pages"""))
 def page_numbers(spark, folder):
     """A footer on each document of a source: its page, starting again at 100 after the twelfth, the count, and a part."""
     from pyspark.sql import Window as W
