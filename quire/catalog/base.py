@@ -26,7 +26,23 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+SPREAD_OVER = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer files than there are cores, dealt out to all of them once.
+
+    A file of one row group is one task however many cores wait; a table in many files is left as it is
+    read. Filters and column choices still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_OVER or size > cores * (128 << 20) or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def plain(df: DataFrame) -> DataFrame:

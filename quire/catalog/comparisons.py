@@ -8,6 +8,7 @@ from quire.catalog import derived
 from quire.catalog.base import query, table
 from quire.catalog.texts import TOKENS
 from quire.operators import compare, units
+from quire.plans.checkpoints import cut
 
 V = derived.PAGE_VERSIONS
 
@@ -55,7 +56,7 @@ def similarity_summary(spark, folder):
 
 def _token_versions(spark, folder):
     """Numbered tokens of the documents, and of a version with every eleventh token changed and every 13th dropped."""
-    tokens = units.number_tokens(units.compare_tokens(derived.words(spark, folder), boxes=False))
+    tokens = cut(units.number_tokens(units.compare_tokens(derived.words(spark, folder), boxes=False)))
     a = tokens.select(F.col("doc_id").alias("pair_id"), "pos", "token", "folded")
     at = F.col("pos") + F.col("pair_id")
     changed = F.when(at % 11 == 0, F.concat("token", F.lit("x")))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STEP = 64
+STEP = 16
 
 
 def exclusive_prefix(values: Column) -> Column:
     """[0, v1, v1+v2, …] for an array<int>, one entry per value.
 
-    Sums run in strides of 64, so a long array costs about n·64/2 copies rather than n²/2.
+    Sums run in strides, so a long array costs about n·STEP/2 + (n/STEP)²/2 copies rather than n²/2.
     Materialise `values` as a column first: it is used several times.
     """
     strides = F.transform(

@@ -132,12 +132,12 @@ def type_columns(cells: DataFrame) -> DataFrame:
     a column that says both says nothing.
     """
     column = ["doc_id", "table_id", "col"]
-    evidence = cells.select(*column, cellvalues.date_evidence(F.col("text")).alias("_e")).where("_e is not null")
+    evidence = cells.select(*column, cellvalues.normalized(F.col("text")).alias("_s")).withColumn("_e", cellvalues.date_evidence(F.col("_s"))).where("_e is not null")
     orders = evidence.groupBy(*column).agg(F.min("_e").alias("_a"), F.max("_e").alias("_b")).where("_a = _b").select(*column, F.col("_a").alias("_order"))
     s = F.col("_s")
     staged = cells.join(orders, column, "left").withColumn("_s", cellvalues.normalized(F.col("text")))
     fits = F.length(s).between(1, cellvalues.LONGEST)
-    staged = cellvalues.with_number(staged, "_s", fits & F.regexp_like(s, F.lit(r"[\p{Nd}%)€£¥r-]$")), "_number")
+    staged = cellvalues.with_number(staged, "_s", fits & F.substring(s, -1, 1).isin(*cellvalues.NUMBER_ENDS), "_number")
     staged = cellvalues.with_date(staged, "_s", F.col("_order"), fits & F.col("_number").isNull(), "_date")
     kind = F.when(F.col("_number").isNotNull(), "Number").when(F.col("_date").isNotNull(), "Date").otherwise("Text")
     return staged.select(
