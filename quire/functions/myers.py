@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 SAVE_EVERY = 256
+KEEP_ALL = 2048
 
 
 def _advance(a: np.ndarray, b: np.ndarray, reach: np.ndarray, origin: int, d: int) -> np.ndarray:
@@ -30,8 +31,8 @@ def _advance(a: np.ndarray, b: np.ndarray, reach: np.ndarray, origin: int, d: in
 def edit_script(a: np.ndarray, b: np.ndarray) -> list[tuple[str, int, int]]:
     """('=', i, j) kept, ('-', i, j) deleted and ('+', i, j) inserted, in order.
 
-    Reaches are saved every SAVE_EVERY edits and the ones between are worked out again on the way back,
-    so memory grows with D·√D at most rather than with D².
+    The first KEEP_ALL rows of reaches are kept. Past them every SAVE_EVERY-th is, and the ones between are
+    worked out again on the way back, so memory does not grow with D².
     """
     n, m = len(a), len(b)
     if n == 0 or m == 0 or not np.isin(a, b).any():
@@ -39,11 +40,14 @@ def edit_script(a: np.ndarray, b: np.ndarray) -> list[tuple[str, int, int]]:
     origin = n + m + 1
     reach = np.zeros(2 * (n + m) + 3, dtype=np.int64)
     saved: list[np.ndarray] = []
+    kept: list[np.ndarray] = []
     edits = 0
     for d in range(n + m + 1):
         if d % SAVE_EVERY == 0:
             saved.append(reach[origin - d - 1: origin + d + 2].copy())
         x = _advance(a, b, reach, origin, d)
+        if d < KEEP_ALL:
+            kept.append(x)
         k = np.arange(-d, d + 1, 2)
         if ((x >= n) & (x - k >= m)).any():
             edits = d
@@ -53,12 +57,12 @@ def edit_script(a: np.ndarray, b: np.ndarray) -> list[tuple[str, int, int]]:
     px, py, steps, base = n, m, [], -1
     for d in range(edits, 0, -1):
         before = d - 1
-        if base < 0 or before < base:
+        if before >= KEEP_ALL and (base < 0 or before < base):
             base = before // SAVE_EVERY * SAVE_EVERY
             reach[:] = 0
             reach[origin - base - 1: origin + base + 2] = saved[base // SAVE_EVERY]
             steps = [_advance(a, b, reach, origin, e) for e in range(base, before + 1)]
-        row = steps[before - base]  # diagonals -before, …, before by twos
+        row = kept[before] if before < KEEP_ALL else steps[before - base]  # diagonals -before, …, before by twos
         k = px - py
         at = lambda diagonal: row[(diagonal + before) // 2]
         down = k == -d or (k != d and at(k - 1) < at(k + 1))
