@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quire.plans.checkpoints import cut
 
 
+# Rounds after which what was seen is written as one table, so a deep graph keeps a short plan.
+FLATTEN_EVERY = 8
+
+
 def chain_ends(links: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Where each chain of links `(keys, node, parent, parent_ends)` leads, within `limit` steps.
 
@@ -44,4 +48,6 @@ def reachable(refs: DataFrame, roots: DataFrame, keys: Sequence[str] = ()) -> Da
         found = frontier.select(*keys, "node").join(edges, [*keys, "node"]).select(*keys, F.col("_next").alias("node")).distinct()
         frontier = cut(found.join(seen, [*keys, "node"], "left_anti").withColumn("distance", F.lit(distance).cast("long")))
         seen = seen.unionByName(frontier)
+        if distance % FLATTEN_EVERY == 0:
+            seen = cut(seen)
     return seen
