@@ -59,7 +59,8 @@ def _token_versions(spark, folder):
     tokens = cut(units.number_tokens(units.compare_tokens(derived.words(spark, folder), boxes=False)))
     a = tokens.select(F.col("doc_id").alias("pair_id"), "pos", "token", "folded")
     at = F.col("pos") + F.col("pair_id")
-    changed = F.when(at % 11 == 0, F.concat("token", F.lit("x")))
+    # A changed token is one no document has, so how much two versions share is known.
+    changed = F.when(at % 11 == 0, F.concat("token", F.lit("\u0001"), F.col("pos").cast("string")))
     b = a.where(at % 13 != 0).select(
         "pair_id", (F.col("pos") - F.floor((at + 12) / 13) + F.floor((F.col("pair_id") + 12) / 13)).alias("pos"),
         F.coalesce(changed, "token").alias("token"), F.coalesce(changed, "folded").alias("folded"))
@@ -71,6 +72,19 @@ def word_diff(spark, folder):
     return compare.diff_words(*_token_versions(spark, folder))
 
 
+@query("D3_edit_counts", f"""
+WITH {TOKENS}
+SELECT doc_id AS pair_id, count(*) FILTER ((pos + doc_id) % 11 <> 0 AND (pos + doc_id) % 13 <> 0) AS kept,
+       count(*) FILTER ((pos + doc_id) % 11 = 0 OR (pos + doc_id) % 13 = 0) AS deleted, count(*) FILTER ((pos + doc_id) % 11 = 0 AND (pos + doc_id) % 13 <> 0) AS inserted
+FROM tokens GROUP BY doc_id
+""")
+def edit_counts(spark, folder):
+    """How many words each document keeps, loses and gains: the same for every shortest script."""
+    diff = compare.diff_words(*_token_versions(spark, folder))
+    count = lambda op: F.count_if(F.col("op") == op)
+    return diff.groupBy("pair_id").agg(count("=").alias("kept"), count("-").alias("deleted"), count("+").alias("inserted"))
+
+
 @query("D4_word_coverage", f"""
 WITH {derived.WORDS},
 a AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL),

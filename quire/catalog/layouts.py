@@ -174,12 +174,44 @@ def _columns(spark, folder):
     return rows.select("doc_id", "page_no", n.alias("id"), x.alias("x"), (F.floor(n / 2) * 18.0).alias("y"), w.alias("w"), "h")
 
 
-@query("E8_gutters")
+# Strip by strip: how much text covers each point of a page's width, then the emptiest strips in turn.
+_GUTTERS = derived.LINES + """,
+bx AS (
+  SELECT doc_id, page_no, line_no AS id, CASE WHEN line_no % 9 = 8 THEN 72.0 WHEN line_no % 2 = 0 THEN 72.0 ELSE 330.0 END::DOUBLE AS x, (line_no // 2 * 18)::DOUBLE AS y,
+         CASE WHEN line_no % 9 = 8 THEN 468.0 ELSE least(length(text) * 6.0, 210.0) END::DOUBLE AS w, h FROM lines),
+ub AS (SELECT *, x AS l, x + w AS r FROM bx WHERE w > 0),
+pg AS (SELECT doc_id, page_no, min(l) AS l0, max(r) - min(l) AS width, sum(h) AS total FROM ub GROUP BY ALL HAVING count(*) >= 6 AND max(r) - min(l) BETWEEN 150 AND 5000),
+st AS (SELECT *, unnest(range(ceil(width)::BIGINT + 1)) AS k FROM pg),
+cov AS (SELECT s.doc_id, s.page_no, s.l0, s.width, s.total, s.k, coalesce(sum(u.h), 0) AS c FROM st s LEFT JOIN ub u ON u.doc_id = s.doc_id AND u.page_no = s.page_no AND floor(u.l - s.l0) <= s.k AND s.k < ceil(u.r - s.l0) GROUP BY ALL),
+fl AS (SELECT doc_id, page_no, list_sort(list(c))[floor(0.9 * (count(*) - 1))::BIGINT + 1] AS f FROM cov GROUP BY ALL),
+lo AS (SELECT cov.*, f, c <= 0.2 * f AS low, sum((c > 0.2 * f)::INT) OVER (PARTITION BY doc_id, page_no ORDER BY k) AS run FROM cov JOIN fl USING (doc_id, page_no)),
+ca AS (SELECT *, min(c) OVER (PARTITION BY doc_id, page_no, run) AS least_ FROM lo WHERE low),
+ti AS (SELECT doc_id, page_no, run, l0, width, total, min(k) AS a, max(k) + 1 AS b, max(c) AS worst, min(k) FILTER (c <= least_ + 0.02 * f) AS ta, max(k) FILTER (c <= least_ + 0.02 * f) + 1 AS tb FROM ca GROUP BY ALL),
+fit AS (SELECT *, l0 + ta AS g0, l0 + tb AS g1, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY worst, b - a DESC, a) AS rk FROM ti
+  WHERE b - a >= 4 AND (a + b) / 2 > 0.15 * width AND (a + b) / 2 < 0.85 * width AND tb - ta >= 4),
+m1 AS (SELECT f.doc_id, f.page_no, f.rk, f.g0, f.g1, f.width, f.total FROM fit f JOIN ub u USING (doc_id, page_no) GROUP BY ALL
+  HAVING coalesce(sum(u.h) FILTER (u.r <= f.g0 + 1), 0) >= 0.2 * f.total AND coalesce(sum(u.h) FILTER (u.l >= f.g1 - 1), 0) >= 0.2 * f.total),
+g1 AS (SELECT * FROM m1 QUALIFY rk = min(rk) OVER (PARTITION BY doc_id, page_no)),
+pr AS (SELECT f.doc_id, f.page_no, f.rk, f.g0, f.g1, f.total, least(f.g0, g.g0) AS a0, least(f.g1, g.g1) AS a1, greatest(f.g0, g.g0) AS b0, greatest(f.g1, g.g1) AS b1 FROM fit f JOIN g1 g USING (doc_id, page_no)
+  WHERE f.rk > g.rk AND abs((f.g0 + f.g1) / 2 - (g.g0 + g.g1) / 2) >= 0.2 * f.width),
+m2 AS (SELECT p.doc_id, p.page_no, p.rk, p.g0, p.g1 FROM pr p JOIN ub u USING (doc_id, page_no) GROUP BY p.doc_id, p.page_no, p.rk, p.g0, p.g1, p.total, p.a0, p.a1, p.b0, p.b1
+  HAVING coalesce(sum(u.h) FILTER (u.r <= p.a0 + 1), 0) >= 0.15 * p.total AND coalesce(sum(u.h) FILTER (u.l >= p.a1 - 1 AND u.r <= p.b0 + 1), 0) >= 0.15 * p.total
+     AND coalesce(sum(u.h) FILTER (u.l >= p.b1 - 1), 0) >= 0.15 * p.total),
+gut AS (SELECT doc_id, page_no, g0, g1 FROM g1 UNION ALL SELECT doc_id, page_no, g0, g1 FROM m2 QUALIFY rk = min(rk) OVER (PARTITION BY doc_id, page_no)),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY col, band, x, y, id) AS reading_no FROM (
+    SELECT *, sum(CASE WHEN py IS NULL OR least(y + h, py + ph) - greatest(y, py) <= 0.5 * least(h, ph) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, col ORDER BY y, x, id) AS band FROM (
+      SELECT *, lag(y) OVER c AS py, lag(h) OVER c AS ph FROM (
+        SELECT bx.*, (SELECT count(*) FROM gut g WHERE g.doc_id = bx.doc_id AND g.page_no = bx.page_no AND (g.g0 + g.g1) / 2 <= bx.x + bx.w / 2) AS col FROM bx)
+      WINDOW c AS (PARTITION BY doc_id, page_no, col ORDER BY y, x, id))))"""
+
+
+@query("E8_gutters", f"WITH {_GUTTERS} SELECT doc_id, page_no::BIGINT AS page_no, g0 AS g_from, g1 AS g_to FROM gut")
 def gutters(spark, folder):
     return layout.gutters(_columns(spark, folder))
 
 
-@query("E9_reading_order")
+@query("E9_reading_order", f'WITH {_GUTTERS} SELECT doc_id, page_no::BIGINT AS page_no, id::BIGINT AS id, col AS "column", reading_no FROM ordered')
 def reading_order(spark, folder):
     rows = _columns(spark, folder)
     return layout.reading_order(rows, layout.gutters(rows)).select("doc_id", "page_no", "id", "column", "reading_no")
