@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytepairs
+from quire.llm import bytepairs, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op6_byte_pairs")
 def byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return bytepairs.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op5_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfiles.written_and_read(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
