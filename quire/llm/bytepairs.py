@@ -193,7 +193,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             n = batch.num_rows
             count = np.zeros(n, np.int64)
             ids_hash = [hashlib.sha256() for _ in range(n)]
@@ -214,7 +214,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """Every row's ids, `(doc_id, ids array<int>)`; an empty or null text has an empty array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             held: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
             for i, ids in encode_texts(batch["text"].to_pylist(), path):
                 held[i].append(ids.astype(np.int32))
@@ -229,7 +229,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             text = [words.decode(np.array(ids or [], np.int64)).decode("utf-8", "replace") for ids in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": pa.array(text, pa.string())})
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,13 @@ def parts(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[at:]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so Python holds few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(values: list[str], size: int = CHUNK) -> Iterator[tuple[int, int, list[str]]]:
     """(first, last + 1, texts): whole texts together up to `size`; a longer one comes in several chunks of its own."""
     first, held, total = 0, [], 0

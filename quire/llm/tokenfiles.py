@@ -154,7 +154,7 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.kept = pieces.PieceIds(self._encode_pieces)
+        self.kept = pieces.PieceIds(self._encode_pieces, 500_000)
 
     def _learn(self, points: np.ndarray) -> None:
         split = self.splitter.pre_tokenize_str
@@ -223,7 +223,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> Data
             store.move(passing, f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "piece": pa.array([piece], pa.int64()), "file": [name], "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([sum(sizes)], pa.int64())})
 
-        for batch in batches:
+        for batch in common.slices(batches):
             doc_ids = batch["doc_id"].to_pylist()
             done = -1
             for i, run_ids in tools.runs(batch["text"].to_pylist()):
