@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytepairs, tokenfiles
+from quire.llm import bytepairs, common, languages, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +36,19 @@ def byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_token_files")
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.written_and_read(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_toxicity")
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = common.remainder("doc_id", 5) == 0
+    rows = toxicity.scored(docs, toxicity.train(docs, labels, ~held_out))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op10_languages")
+def language_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = common.remainder("doc_id", 4) == 2
+    rows = languages.predicted(docs, languages.train(docs, ~held_out))
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
