@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytepairs, common, languages, tokenfiles, toxicity
+from quire.llm import bytepairs, common, languages, merkle, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,8 @@ def language_ids(spark: SparkSession, folder: str) -> DataFrame:
     held_out = common.remainder("doc_id", 4) == 2
     rows = languages.predicted(docs, languages.train(docs, ~held_out))
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_merkle", merkle.FINGERPRINTS_SQL)
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.compared(table(spark, folder, "documents"))
