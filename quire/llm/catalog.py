@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytepairs, common, languages, merkle, tokenfiles, toxicity
+from quire.llm import bytepairs, common, languages, merkle, secretscan, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +57,8 @@ def language_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_merkle", merkle.FINGERPRINTS_SQL)
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.compared(table(spark, folder, "documents"))
+
+
+@query("op4_secrets", secretscan.digest_sql())
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secretscan.digest(table(spark, folder, "documents"))
