@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytepairs, common, languages, merkle, secretscan, tokenfiles, toxicity
+from quire.llm import bytepairs, common, languages, merkle, phraseindex, secretscan, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,8 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_secrets", secretscan.digest_sql())
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secretscan.digest(table(spark, folder, "documents"))
+
+
+@query("op9_decontamination", phraseindex.CONTAMINATION_SQL)
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return phraseindex.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_near")
