@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytepairs, common, languages, merkle, phraseindex, secretscan, tokenfiles, toxicity
+from quire.llm import bytepairs, common, languages, merkle, paritysketch, phraseindex, secretscan, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +67,8 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_decontamination", phraseindex.CONTAMINATION_SQL)
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return phraseindex.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_near")
+
+
+@query("op3_parity_join")
+def near_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return paritysketch.grouped(table(spark, folder, "documents"))

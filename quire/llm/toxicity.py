@@ -153,21 +153,23 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
     rng = np.random.default_rng(seed)
     flat = np.concatenate(words)
+    n_words = len(words)
     gram_sizes = np.fromiter(map(len, words), np.int64, len(words))
     win_begin = np.cumsum(win_sizes) - win_sizes
     win_of_word = np.repeat(np.arange(len(win_sizes)), win_sizes)
-    word_of_gram = np.repeat(np.arange(len(words)), gram_sizes)
+    word_of_gram = np.repeat(np.arange(len(words), dtype=np.int32), gram_sizes)
     # The texts of each word, then of each bucket; only buckets of enough texts are trained.
     pair = np.unique(win_words * len(y) + win_text[win_of_word])
     in_texts = np.bincount(flat, np.bincount(pair // len(y), minlength=len(words))[word_of_gram], BUCKETS)
     used = np.flatnonzero(in_texts >= least)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     kept = place[flat] >= 0
     flat, word_of_gram = place[flat[kept]], word_of_gram[kept]
     vectors = rng.normal(0, 0.05, (len(used), dim)).astype(np.float32)
-    by_bucket = np.argsort(flat, kind="stable")
+    by_bucket = np.argsort(flat, kind="stable").astype(np.int32)
     word_by_bucket, first_use = word_of_gram[by_bucket], np.searchsorted(flat[by_bucket], np.arange(len(used)))
+    del words, in_texts, pair, kept
     at_word, first_gram = np.unique(word_of_gram, return_index=True)
     output, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     state = [np.zeros_like(p) for p in (vectors, vectors, output, output, bias, bias)]
@@ -175,7 +177,7 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
     per_text = np.bincount(win_text, minlength=len(y))
     heads = np.flatnonzero(np.diff(win_text, prepend=-1))
     for epoch in range(epochs):
-        word_vec = np.zeros((len(words), dim), np.float32)
+        word_vec = np.zeros((n_words, dim), np.float32)
         word_vec[at_word] = np.add.reduceat(vectors[flat], first_gram) / gram_sizes[at_word, None].astype(np.float32)
         mean = np.add.reduceat(word_vec[win_words], win_begin) / np.float32(WINDOW)
         logit = mean @ output + bias
@@ -192,7 +194,7 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
         d_logit = np.stack([-error, error], axis=1)
         d_mean = (d_logit @ output.T) / np.float32(WINDOW)
         touched = np.flatnonzero(np.repeat(weight > 0, win_sizes))
-        d_word = np.stack([np.bincount(win_words[touched], d_mean[win_of_word[touched], k], len(words)) for k in range(dim)], axis=1)
+        d_word = np.stack([np.bincount(win_words[touched], d_mean[win_of_word[touched], k], n_words) for k in range(dim)], axis=1)
         d_word = (d_word / gram_sizes[:, None]).astype(np.float32)
         d_vec = np.add.reduceat(d_word[word_by_bucket], first_use) + np.float32(decay) * vectors
         grads = [d_vec, mean.T @ d_logit, d_logit.sum(axis=0)]
@@ -209,7 +211,7 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
     return Model(score, float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, learnable: Column, max_docs: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learnable: Column, max_docs: int = 800) -> Model:
     """Fit on labelled documents for which `learnable` (over doc_id) holds: at most `max_docs` toxic and three times as many
     clean ones, those whose hashed id is least, so the choice does not hang on file order. Rows with a null label, id or text teach nothing."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
