@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytepairs, common, languages, merkle, paritysketch, phraseindex, secretscan, tokenfiles, toxicity
+from quire.llm import bytepairs, common, languages, linetemplates, merkle, paritysketch, phraseindex, secretscan, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,9 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_parity_join")
 def near_groups(spark: SparkSession, folder: str) -> DataFrame:
     return paritysketch.grouped(table(spark, folder, "documents"))
+
+
+@query("op7_line_templates")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = linetemplates.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", "dropped_lines", "dropped_sentences")
