@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytepairs, common, languages, linetemplates, merkle, paritysketch, phraseindex, secretscan, tokenfiles, toxicity
+from quire.llm import bytepairs, common, languages, linetemplates, merkle, paritysketch, phraseindex, sanitise, secretscan, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,8 @@ def near_groups(spark: SparkSession, folder: str) -> DataFrame:
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = linetemplates.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "text", "dropped_lines", "dropped_sentences")
+
+
+@query("op8_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return sanitise.digest(table(spark, folder, "documents"))
