@@ -183,12 +183,12 @@ def encode_texts(values: list[str], path: str) -> Iterator[tuple[int, np.ndarray
             yield first + k, ids[ends[k] - per[k] : ends[k]]
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Encode every text and decode it again: `(doc_id, n_tokens, ids_sha256, decoded_sha256)`, one row per row.
 
     Ids are hashed as little-endian unsigned 32-bit integers, decoded bytes as they are. A null or empty text has no
     ids; both digests are then those of no bytes. Null ids, repeated rows and other columns change nothing; an empty
-    table gives an empty one. `path` is the rank file, read where the tasks run.
+    table gives an empty one. `path` is the rank file, read where the tasks run. `with_ids` adds `ids array<int>`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,30 +198,21 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             count = np.zeros(n, np.int64)
             ids_hash = [hashlib.sha256() for _ in range(n)]
             text_hash = [hashlib.sha256() for _ in range(n)]
+            held: list[list[np.ndarray]] = [[] for _ in range(n)]
             for i, ids in encode_texts(batch["text"].to_pylist(), path):
                 count[i] += len(ids)
                 ids_hash[i].update(ids.astype("<u4").tobytes())
                 text_hash[i].update(words.decode(ids))
+                if with_ids:
+                    held[i].append(ids.astype(np.int32))
+            more = {"ids": pa.array([np.concatenate(h) for h in held], pa.list_(pa.int32()))} if with_ids else {}
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"], "n_tokens": count,
                 "ids_sha256": [h.hexdigest() for h in ids_hash], "decoded_sha256": [h.hexdigest() for h in text_hash],
-            })
+            } | more)
 
-    return common.texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """Every row's ids, `(doc_id, ids array<int>)`; an empty or null text has an empty array."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            held: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-            for i, ids in encode_texts(batch["text"].to_pylist(), path):
-                held[i].append(ids.astype(np.int32))
-            ids = pa.array([np.concatenate(h) for h in held], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": ids})
-
-    return common.texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return common.texts(docs).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:

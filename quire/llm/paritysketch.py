@@ -142,14 +142,15 @@ def signatures(hashes: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """`(doc_id, n_shingles, class)` for every row; class is null for the empty set."""
+    """`(doc_id, key, n_shingles, class)` for every row, `key` standing for (doc_id, text); class is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             found = [shingles(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_shingles": pa.array([len(h) for h in found], pa.int64()), "class": pa.array([class_of(h) if len(h) else None for h in found], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "key": batch["key"], "n_shingles": pa.array([len(h) for h in found], pa.int64()), "class": pa.array([class_of(h) if len(h) else None for h in found], pa.int64())})
 
-    return common.texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint")
+    rows = common.texts(docs).withColumn("key", common.row_key())
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, n_shingles bigint, class bigint")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -222,33 +223,39 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     tried = common.staged(star.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b")).select("a", "b"), "tried")
     first = common.staged(_linked(tried, known), "links")
     roots = components(first)
-    placed = shared.join(roots, shared["class"] == roots["node"], "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    open_ = common.staged(placed.join(mixed, "sig").join(brief, "class"), "open")
+    rooted = shared.join(roots, shared["class"] == roots["node"], "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
+    mixed = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
+    open_ = common.staged(rooted.join(mixed, "sig").join(brief, "class"), "open")
     one, two = (open_.select("sig", F.col("class").alias(c), F.col("root").alias(f"root{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"sketch{c}")) for c in "ab")
     rest = one.join(two, "sig").where((F.col("roota") < F.col("rootb")) & _may_link("a", "b")).select("a", "b").distinct()
     second = common.staged(_linked(rest, known), "links")
     return first.union(second)
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """`(doc_id, n_shingles, component_id)` for every row; the component is the least doc_id reachable by links, itself included.
-
-    A null or empty text, or one without words, has no shingles and is linked with nothing; a row without id keeps a null
-    component unless rows with ids share it; equal texts are linked; rows of one id share its component's least id; an
-    empty table gives an empty one; other columns stay behind.
-    """
+def placed(docs: DataFrame) -> DataFrame:
+    """`(doc_id, key, n_shingles, component_id)`; see `grouped`."""
     rows = common.staged(sets(docs), "sets")
     roots = components(links(docs, rows))
     named = rows.where("class is not null").select("doc_id", "class").join(roots, F.col("class") == F.col("node"), "left")
     least = named.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("doc_id").alias("component"))
     of_class = named.select("class", F.coalesce("root", "class").alias("root")).distinct().join(least, "root").select("class", "component")
-    out = rows.join(of_class, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.join(of_class, "class", "left").select("doc_id", "key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """`(doc_id, n_shingles, component_id)` for every row; the component is the least doc_id reachable by links, itself included.
+
+    A null or empty text, or one without words, has no shingles and is linked with nothing; a row without id keeps a null
+    component unless rows with ids share it; equal texts are linked; rows of one id are rows of their own; an empty table
+    gives an empty one; other columns stay behind.
+    """
+    return placed(docs).drop("key")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents that stay when of each component only the least doc_id does, with all their columns. Documents without
-    words all stay; of rows of one id and component all stay."""
-    kept = grouped(docs).where("component_id = doc_id or n_shingles = 0").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(common.staged(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    words all stay, as do rows without id unless they are linked with a row that has one; rows that agree in id and text
+    stay or go together."""
+    gone = placed(docs).where("n_shingles > 0 and component_id is not null and not (component_id <=> doc_id)").select(F.col("key").alias("_gone_key")).distinct()
+    keyed = docs.withColumn("_gone_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return keyed.join(common.staged(gone, "gone"), "_gone_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
