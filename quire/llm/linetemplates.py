@@ -6,9 +6,9 @@ for lines of 12 tokens or more, also what is left of it when the tokens of one t
 from the first, second or third) are taken for variable fields. Sentences of 8 tokens or more inside lines are records
 too, so a passage set into the middle of a line is found.
 
-A template recurs when enough documents of different make have it. Copies of one document are of one make (equal
-beginnings of the first and last line and equal number of lines), and a template that mostly comes with one make is the
-document's own text, which is left to near-duplicate removal.
+A template recurs when enough documents of different make have it. The make of a document is its first three
+words, or its last three, with its number of lines: copies of one document mostly share one or the other, and a
+template that mostly comes with one make is the document's own text, which is left to near-duplicate removal.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class Records:
         raw = np.frombuffer(self.raw, np.uint8)
         words = word_hashes(text)
         self.n_lines = self.raw.count(b"\n") + 1
-        self.make = np.uint64(self.n_lines)
+        self.makes = (np.uint64(self.n_lines), np.uint64(self.n_lines))
         self.spans: list[tuple[int, int, bool]] = []  # bytes, and whether a whole line
         self.keys = np.zeros((0, 4), np.uint64)  # exact, and by the third taken for fields; 0 where there is none
         if not len(words):
@@ -87,9 +87,9 @@ class Records:
 
         lines = np.flatnonzero(new_line)
         self.keys = np.concatenate([table(lines, True, LEAST_LINE), table(np.flatnonzero(new_sentence), False, LEAST_SENTENCE)])
-        ends = leads[[lines[0], lines[-1]]]
-        made = int(ends[0]) * int(GOLD) + int(ends[1]) * int(C1) + self.n_lines
-        self.make = mix(np.array([made % (1 << 64)], np.uint64))[0]
+        ends = np.array([words[:DEPTH], words[-DEPTH:]], np.uint64) @ np.array([GOLD, C1, C2], np.uint64)[: min(DEPTH, n)]
+        made = mix(ends + mix(np.array([self.n_lines], np.uint64)))
+        self.makes = (made[0], made[1])
 
     def without(self, recurring: np.ndarray) -> tuple[str, int, int]:
         """(text without records whose template recurs, lines dropped, sentences dropped)."""
@@ -126,7 +126,8 @@ class Records:
 
 
 def recurring(docs: DataFrame, least: int = 5) -> DataFrame:
-    """`(key)` of templates that documents of at least `least` makes have, no make being more than half of them, staged.
+    """`(key)` of templates that documents of at least `least` makes by first or last words have, no make by either being more
+    than half of them; staged.
 
     Tasks add up their own (template, make) counts first; one shuffle by template then serves both sums.
     """
@@ -138,18 +139,23 @@ def recurring(docs: DataFrame, least: int = 5) -> DataFrame:
                 r = Records(text)
                 own = np.unique(r.keys[r.keys != 0])
                 keys.append(own)
-                makes.append(np.full(len(own), r.make, np.uint64))
+                makes.append(np.repeat(np.array([r.makes], np.uint64), len(own), axis=0))
             key, make = np.concatenate(keys), np.concatenate(makes)
-            order = np.lexsort((make, key))
+            order = np.lexsort((make[:, 1], make[:, 0], key))
             key, make = key[order], make[order]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(make) != 0)])) if len(key) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(make, axis=0) != 0).any(axis=1)])) if len(key) else np.zeros(0, np.int64)
             count = np.diff(np.append(first, len(key)))
-            yield pa.RecordBatch.from_pydict({"key": key[first].view(np.int64), "make": make[first].view(np.int64), "n": count.astype(np.int32)})
+            yield pa.RecordBatch.from_pydict({"key": key[first].view(np.int64), "head": make[first, 0].view(np.int64), "tail": make[first, 1].view(np.int64), "n": count.astype(np.int32)})
 
-    counted = common.texts(docs).select("text").mapInArrow(run, "key bigint, make bigint, n int")
-    by_make = counted.repartition("key").groupBy("key", "make").agg(F.sum("n").alias("n"))
-    found = by_make.groupBy("key").agg(F.count(F.lit(1)).alias("makes"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    return common.staged(found.where(f"makes >= {least} and 2 * most <= n").select("key"), "templates")
+    counted = common.texts(docs).select("text").mapInArrow(run, "key bigint, head bigint, tail bigint, n int")
+    dealt = counted.repartition("key")
+
+    def sums(make: str) -> DataFrame:
+        by_make = dealt.groupBy("key", make).agg(F.sum("n").alias("n"))
+        return by_make.groupBy("key").agg(F.count(F.lit(1)).alias(f"{make}s"), F.sum("n").alias("n"), F.max("n").alias("most")).where("2 * most <= n").select("key", f"{make}s")
+
+    found = sums("head").join(sums("tail"), "key").where(F.greatest("heads", "tails") >= least)
+    return common.staged(found.select("key"), "templates")
 
 
 def flagged(docs: DataFrame, templates: DataFrame) -> DataFrame:

@@ -94,6 +94,11 @@ def trigram_query(pattern: str) -> frozenset[frozenset[str]]:
             if step is not None and len(held) * len(step) <= MOST:
                 held = {a + b for a in held for b in step}
                 continue
+            inner = exact(value[2]) if op is sre.MAX_REPEAT and value[0] > 0 else None
+            if inner is not None and len(held) * len(inner) <= MOST:
+                clauses.append(of({a + b for a in held for b in inner}))  # the first time round
+                held = inner  # and the last
+                continue
             clauses.append(of(held))
             held = {""}
             if op is sre.SUBPATTERN:
