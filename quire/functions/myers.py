@@ -1,12 +1,13 @@
-"""Shortest edit scripts (Myers' greedy O(ND) algorithm) on arrays of token codes."""
+"""Shortest edit scripts on arrays of token codes, by divide and conquer.
+
+Searches from both ends meet on a shortest script after about half its edits each; the meeting point cuts the pair in
+two, and so on until one side of a part is empty. Memory grows with the length of the arrays only.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-SAVE_EVERY = 256
-KEEP_ALL = 2048
-
 
 def _advance(a: np.ndarray, b: np.ndarray, reach: np.ndarray, origin: int, d: int) -> np.ndarray:
     """The furthest x on every diagonal -d, -d+2, …, d, given the reach after d-1 edits; updates `reach`."""
@@ -18,7 +19,7 @@ def _advance(a: np.ndarray, b: np.ndarray, reach: np.ndarray, origin: int, d: in
         down[-1] = False
     x = np.where(down, above, below + 1)
     y = x - k
-    live = np.flatnonzero((x < len(a)) & (y < len(b)))
+    live = np.flatnonzero((x < len(a)) & (y < len(b)) & (y >= 0))
     while live.size:
         live = live[a[x[live]] == b[y[live]]]
         x[live] += 1
@@ -28,58 +29,51 @@ def _advance(a: np.ndarray, b: np.ndarray, reach: np.ndarray, origin: int, d: in
     return x
 
 
-def edit_script(a: np.ndarray, b: np.ndarray) -> list[tuple[str, int, int]]:
-    """('=', i, j) kept, ('-', i, j) deleted and ('+', i, j) inserted, in order.
-
-    The first KEEP_ALL rows of reaches are kept. Past them every SAVE_EVERY-th is, and the ones between are
-    worked out again on the way back, so memory does not grow with D².
-    """
+def _meeting(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """A point inside the grid on a shortest path; the arrays differ in their first and in their last token."""
     n, m = len(a), len(b)
-    if n == 0 or m == 0 or not np.isin(a, b).any():
-        return [("-", i, 0) for i in range(n)] + [("+", n, j) for j in range(m)]
-    origin = n + m + 1
-    reach = np.zeros(2 * (n + m) + 3, dtype=np.int64)
-    saved: list[np.ndarray] = []
-    kept: list[np.ndarray] = []
-    edits = 0
+    origin, shift = n + m + 2, n - m
+    forth, back = np.full(2 * origin + 1, -1, np.int64), np.full(2 * origin + 1, -1, np.int64)
+    forth[origin + 1] = back[origin + 1] = 0
     for d in range(n + m + 1):
-        if d % SAVE_EVERY == 0:
-            saved.append(reach[origin - d - 1: origin + d + 2].copy())
-        x = _advance(a, b, reach, origin, d)
-        if d < KEEP_ALL:
-            kept.append(x)
-        k = np.arange(-d, d + 1, 2)
-        if ((x >= n) & (x - k >= m)).any():
-            edits = d
-            break
+        for own, other, ends in ((forth, back, False), (back, forth, True)):
+            x = _advance(a[::-1] if ends else a, b[::-1] if ends else b, own, origin, d)
+            if (shift % 2 == 0) != ends:
+                continue  # paths of these lengths cannot meet on one diagonal
+            k = np.arange(-d, d + 1, 2)
+            facing = shift - k  # the same diagonal, counted from the other corner
+            done = d if ends else d - 1
+            seen = np.abs(facing) <= done
+            inside = (x <= n) & (x - k <= m) & (x - k >= 0)
+            met = np.flatnonzero(seen & inside & (x + other[origin + np.where(seen, facing, 0)] >= n))
+            if met.size:
+                at, diagonal = int(x[met[0]]), int(k[met[0]])
+                return (n - at, m - (at - diagonal)) if ends else (at, at - diagonal)
+    raise AssertionError("two paths always meet")
+
 
-    path: list[tuple[str, int, int]] = []
-    px, py, steps, base = n, m, [], -1
-    for d in range(edits, 0, -1):
-        before = d - 1
-        if before >= KEEP_ALL and (base < 0 or before < base):
-            base = before // SAVE_EVERY * SAVE_EVERY
-            reach[:] = 0
-            reach[origin - base - 1: origin + base + 2] = saved[base // SAVE_EVERY]
-            steps = [_advance(a, b, reach, origin, e) for e in range(base, before + 1)]
-        row = kept[before] if before < KEEP_ALL else steps[before - base]  # diagonals -before, …, before by twos
-        k = px - py
-        at = lambda diagonal: row[(diagonal + before) // 2]
-        down = k == -d or (k != d and at(k - 1) < at(k + 1))
-        prev_k = k + 1 if down else k - 1
-        prev_x = int(at(prev_k))
-        prev_y = prev_x - prev_k
-        while px > prev_x and py > prev_y:
-            px, py = px - 1, py - 1
-            path.append(("=", px, py))
-        if px == prev_x:
-            py -= 1
-            path.append(("+", px, py))
-        else:
-            px -= 1
-            path.append(("-", px, py))
-    while px > 0 and py > 0:
-        px, py = px - 1, py - 1
-        path.append(("=", px, py))
-    path.reverse()
-    return path
+def edit_script(a: np.ndarray, b: np.ndarray) -> list[tuple[str, int, int]]:
+    """('=', i, j) kept, ('-', i, j) deleted and ('+', i, j) inserted, in order."""
+    out: list[tuple[str, int, int]] = []
+    parts = [(0, len(a), 0, len(b))]
+    while parts:
+        i, to_i, j, to_j = parts.pop()
+        while i < to_i and j < to_j and a[i] == b[j]:
+            out.append(("=", i, j))
+            i, j = i + 1, j + 1
+        same = 0
+        while i < to_i - same and j < to_j - same and a[to_i - 1 - same] == b[to_j - 1 - same]:
+            same += 1
+        if same:
+            # The equal end comes after what is still between.
+            parts.append((to_i - same, to_i, to_j - same, to_j))
+            parts.append((i, to_i - same, j, to_j - same))
+            continue
+        if i == to_i or j == to_j or not np.isin(a[i:to_i], b[j:to_j]).any():
+            out += [("-", k, j) for k in range(i, to_i)]
+            out += [("+", to_i, k) for k in range(j, to_j)]
+            continue
+        x, y = _meeting(a[i:to_i], b[j:to_j])
+        parts.append((i + x, to_i, j + y, to_j))
+        parts.append((i, i + x, j, j + y))
+    return out

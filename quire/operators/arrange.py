@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,45 +105,59 @@ def page_range(pages: DataFrame, first: int = 1, last: int | None = None, subset
     return pages.where(kept)
 
 
-# ---- fixed values: the tokens of header and footer templates
-TOKEN = re.compile(r"<<([^<>]*)>>")
-PAGE_TOKEN = re.compile(r"^(page\s+)?1(\s*(/|of)\s*n)?$", re.IGNORECASE)
-DATE_TOKEN = re.compile(r"^[dmy]+([/\-. ][dmy]+)*$", re.IGNORECASE)
-DAY_NAMES = {3: "EEE", 4: "EEEE"}
+# ---- fixed values: the words of header and footer templates
+OPENING, CLOSING = "<<", ">>"
+TOTAL, NUMBER, BATES, DATE = "n", "1", "bates", "date"
+FILE_NAMES = ("file", "filename", "file name")
+PAGE_WORD, COUNT_WORDS = "page", ("/", "of")
+DATE_LETTERS, DATE_MARKS = set("dmy"), "/-. "
 # ------------------------------------------------------------------------------------------------
 
 
 def _date(day: Column, pattern: str) -> Column:
-    java = re.sub(r"d{3,}", lambda m: DAY_NAMES[min(len(m.group()), 4)], pattern)
+    """A date by letters d, m and y; three d are the short name of the day, more the long one."""
+    runs = ["".join(run) for _, run in groupby(pattern)]
+    java = "".join({3: "EEE"}.get(len(r), "EEEE") if r[0] == "d" and len(r) > 2 else r for r in runs)
     return F.date_format(day, java)
 
 
+def _page_words(name: str) -> tuple[str, str | None] | None:
+    """What stands before the page number, and between it and the total if there is one; None for other tokens."""
+    before, one, after = name.partition(NUMBER)
+    word = before.strip().lower()
+    if not one or word not in ("", PAGE_WORD) or (word and not before[-1].isspace()):
+        return None
+    if not after:
+        return before, None
+    between, total = after[:-1], after[-1:]
+    return (before, between) if total.lower() == TOTAL and between.strip().lower() in COUNT_WORDS else None
+
+
+def _is_date(name: str) -> bool:
+    marks = str.maketrans(DATE_MARKS, "/" * len(DATE_MARKS))
+    return all(part and set(part) <= DATE_LETTERS for part in name.translate(marks).split("/"))
+
+
 def expand_template(template: str, page: Column, count: Column, bates: Column, day: Column, file: Column, date_format: str = "yyyy-MM-dd", start_page: int = 1) -> Column:
     """A header or footer's text for each page: known tokens replaced, unknown ones kept."""
     number, total = (page - 1 + start_page).cast("string"), (count - 1 + start_page).cast("string")
-    parts: list[Column] = []
-    at = 0
-    for found in TOKEN.finditer(template):
-        parts.append(F.lit(template[at:found.start()]))
-        at = found.end()
-        name = found.group(1).strip()
+    words = {TOTAL: [total], BATES: [F.coalesce(bates, F.lit(""))], DATE: [_date(day, date_format)]} | {f: [file] for f in FILE_NAMES}
+
+    def value(name: str) -> list[Column] | None:
         low = name.lower()
-        if low == "n":
-            parts.append(total)
-        elif PAGE_TOKEN.match(name):
-            for piece in re.split(r"(\b1\b|\bn\b)", name):
-                parts.append(number if piece == "1" else total if piece == "n" else F.lit(piece))
-        elif low == "bates":
-            parts.append(F.coalesce(bates, F.lit("")))
-        elif low == "date":
-            parts.append(_date(day, date_format))
-        elif low in ("file", "filename", "file name"):
-            parts.append(file)
-        elif DATE_TOKEN.match(name):
-            parts.append(_date(day, low.replace("m", "M")))
-        else:
-            parts.append(F.lit(found.group()))
-    parts.append(F.lit(template[at:]))
+        if low in words:
+            return words[low]
+        if (around := _page_words(name)) is not None:
+            before, between = around
+            return [F.lit(before), number] + ([] if between is None else [F.lit(between), total])
+        return [_date(day, low.replace("m", "M"))] if _is_date(low) else None
+
+    first, *pieces = template.split(OPENING)
+    parts = [F.lit(first)]
+    for piece in pieces:
+        name, end, rest = piece.partition(CLOSING)
+        found = value(name.strip()) if end and "<" not in name and ">" not in name else None
+        parts += [F.lit(OPENING + piece)] if found is None else [*found, F.lit(rest)]
     return F.concat(*parts)
 
 
