@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.catalog.base import query, table
 from quire.catalog.linkage import ITEMS
 from quire.plans.checkpoints import ensure_folder
+from quire.operators import links
 from quire.streaming import arrivals
 
 
@@ -20,7 +21,7 @@ def _folder(spark) -> str:
 
 def _stream(spark, folder: str, name: str):
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet")
 
 
 @query("N1_inspect_on_arrival", f"WITH {ITEMS} SELECT * FROM report")
@@ -28,8 +29,8 @@ def inspect(spark, folder):
     place = _folder(spark)
     pages = _stream(spark, folder, "pages").select(
         F.floor(F.col("page_id") / 60).alias("doc_id"), (F.pmod("page_id", F.lit(60)) + 1).alias("page_no"), "url", "html")
-    arrivals.inspect_stream(pages, place, f"{place}-state").awaitTermination()
-    return spark.read.parquet(f"{place}/findings").drop("batch").withColumn("details", F.array_join("details", " | "))
+    arrivals.inspect_stream(pages, place, f"{place}-state", links.MAX_DETAILS, links.MAX_PAGES).awaitTermination()
+    return arrivals.findings_so_far(spark, place).withColumn("details", F.array_join("details", " | "))
 
 
 @query("N3_pages_once", """

@@ -50,7 +50,7 @@ def _html_docs(spark, folder):
 
 @query("L2_safety_report", f"WITH {ITEMS} SELECT * FROM report")
 def safety(spark, folder):
-    report = links.safety_report(links.active_items(_html_docs(spark, folder)))
+    report = links.safety_report(links.active_items(_html_docs(spark, folder)), links.MAX_DETAILS, links.MAX_PAGES)
     return report.withColumn("details", F.array_join("details", " | "))
 
 
@@ -62,7 +62,7 @@ LEFT JOIN (SELECT doc_id, count(*) AS findings, count(*) FILTER (severity = 'Ele
 """)
 def verdicts(spark, folder):
     pages = _html_docs(spark, folder)
-    return links.safety_verdicts(pages, links.safety_report(links.active_items(pages)))
+    return links.safety_verdicts(pages, links.safety_report(links.active_items(pages), links.MAX_DETAILS, links.MAX_PAGES), links.MAX_PAGES)
 
 
 @query("L3_sanitize", r"""

@@ -120,7 +120,7 @@ def check_nesting(elements: DataFrame) -> DataFrame:
         .unionByName(limits.select("doc_id", "id", "rule", "problem")))
 
 
-def resolve_aliases(aliases: DataFrame, used: DataFrame, limit: int = 64) -> DataFrame:
+def resolve_aliases(aliases: DataFrame, used: DataFrame, limit: int | None = None) -> DataFrame:
     """What type aliases `(doc_id, type, target)` lead to, for the types `used (doc_id, type)` and the map itself.
 
     status: standard, mapped, remapped (02-004: a standard type mapped away), circular (02-003) or unmapped (02-001).

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import groupby
+from itertools import count, groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,17 +183,17 @@ def stamp(pages: DataFrame, template: str, day: Column, file: Column, prefix: st
     return numbered.withColumn("stamp", text).drop("_before", "_rank")
 
 
-def outline_spans(nodes: DataFrame, page_counts: DataFrame, max_depth: int = 64) -> DataFrame:
+def outline_spans(nodes: DataFrame, page_counts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """An outline `(doc_id, node_id, parent_id, ord, title, page_no)` flattened: level, path and page span.
 
     A node ends where the next entry at its level or above begins: at its next sibling, else where its
-    parent ends. Levels are walked from the top, one join each.
+    parent ends. Levels are walked from the top, one join each, down to `max_depth` if it is given.
     """
     by_parent = blocks.by_value(nodes.withColumn("parent_id", F.coalesce("parent_id", F.lit(0))), "ord", WIDTH)
     placed = cut(blocks.scan(by_parent, ["doc_id", "parent_id"], ["ord"], _next=("next", "page_no")))
     level = placed.where("parent_id = 0").select("*", F.lit(0).alias("level"), F.col("title").alias("path"), F.col("_next").alias("next_page"))
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         above = levels[-1].select("doc_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_path"), F.col("next_page").alias("_parent_next"))
         level = cut(placed.where("parent_id <> 0").join(above, ["doc_id", "parent_id"]).select(
             *placed.columns, F.lit(depth).alias("level"), F.concat_ws(" > ", "_path", "title").alias("path"), F.coalesce("_next", "_parent_next").alias("next_page")))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quire.plans import blocks, closure
 
 # ---- fixed values
-MAX_REPLY_DEPTH = 64
 REVIEW = "review"
 # -----------------
 
@@ -17,10 +16,10 @@ def _is_reply():
     return F.col("reply_to").isNotNull() & (F.col("reply_type").isNull() | (F.col("reply_type") == "R"))
 
 
-def thread_roots(comments: DataFrame, max_depth: int = MAX_REPLY_DEPTH) -> DataFrame:
+def thread_roots(comments: DataFrame, max_depth: int | None = None) -> DataFrame:
     """For each reply `(doc_id, id, reply_to, reply_type)` the comment its thread starts at.
 
-    Replies in a loop, under a missing comment or deeper than `max_depth` have no thread.
+    Replies in a loop or under a missing comment have no thread, nor have those deeper than `max_depth` if it is given.
     """
     flagged = comments.select("doc_id", "id", "reply_to", _is_reply().alias("_reply"))
     parents = flagged.select("doc_id", F.col("id").alias("reply_to"), (~F.col("_reply")).alias("parent_ends"))

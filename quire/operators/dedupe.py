@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans import closure
 from quire.plans.checkpoints import cut
 
-ROUNDS = 6
-
 
 def duplicate_groups(items: DataFrame, by: str = "hash") -> DataFrame:
     """Per content hash with copies: the id kept, how many copies go and the bytes they take."""
@@ -23,15 +23,16 @@ def dedupe_exact(items: DataFrame, by: str = "hash") -> DataFrame:
     return items.join(kept, by, "left").withColumn("keep_id", F.coalesce("keep_id", "id"))
 
 
-def dedupe_refs(items: DataFrame, refs: DataFrame) -> DataFrame:
+def dedupe_refs(items: DataFrame, refs: DataFrame, rounds: int | None = None) -> DataFrame:
     """Duplicates that show only after what they refer to has merged: `(id, keep_id)` for items that went.
 
     `items (id, hash)`, `refs (id, slot, target)`. An item is described by its content and by two
-    independent 64-bit sums over its (slot, target) pairs, so no item's references are ever listed.
+    independent 64-bit sums over its (slot, target) pairs, so no item's references are ever listed. Rounds go on
+    until nothing more merges, or for `rounds` of them.
     """
     alive, links = items.select("id", "hash"), refs.select("id", "slot", "target")
     merged: DataFrame | None = None
-    for _ in range(ROUNDS):
+    for _ in count() if rounds is None else range(rounds):
         sums = links.groupBy("id").agg(
             F.sum(F.xxhash64("slot", "target").cast("decimal(38,0)")).alias("_a"),
             F.sum(F.xxhash64(F.lit(7), "target", "slot").cast("decimal(38,0)")).alias("_b"),

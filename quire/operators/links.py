@@ -22,6 +22,7 @@ EXECUTABLE = (
 HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""
 SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
 EMBED = r"(?is)<(?:iframe|embed|object|applet)\b[^>]*>(?:.*?</(?:iframe|object|applet)\s*>)?"
+BEGUN = r"(?i)<|href"  # no more elements can arise than brackets and links there are
 LAUNCH = r"""(?i)\shref\s*=\s*["']((?:file|launch):[^"']*)["']"""
 ODD_CHARACTERS = r"[\p{Z}\s\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Cs}\\]"
 HOST = r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]/?#]+\]|[^/?#:@\[\]]+)(?::\d*)?(?:[/?#]|$)"
@@ -90,9 +91,12 @@ def active_items(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_no", "ord", "_i.kind", "_i.detail")
 
 
-def safety_report(items: DataFrame, max_details: int = MAX_DETAILS, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Per document and kind: severity, how many, and the first details; link and launch items count on the first pages only."""
-    seen = items.where(~F.col("kind").isin("LaunchAction", "ExternalLink") | (F.col("page_no") <= max_pages))
+def safety_report(items: DataFrame, max_details: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """Per document and kind: severity, how many, and the details in order.
+
+    `max_details` shows only the first of them; with `max_pages` link and launch items count on the first pages only.
+    """
+    seen = items if max_pages is None else items.where(~F.col("kind").isin("LaunchAction", "ExternalLink") | (F.col("page_no") <= max_pages))
     severity = F.lit("Informational")
     for kind, level in SEVERITY.items():
         severity = F.when(F.col("kind") == kind, level).otherwise(severity)
@@ -101,27 +105,30 @@ def safety_report(items: DataFrame, max_details: int = MAX_DETAILS, max_pages: i
     order = W.partitionBy("doc_id", "kind").orderBy("page_no", "ord")
     first = (
         seen.where("detail <> '' or kind = 'JavaScript'")
-        .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= max_details)
+        .withColumn("_rn", F.row_number().over(order)).where(F.lit(True) if max_details is None else F.col("_rn") <= max_details)
         .groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("_rn", shown.alias("d")))).alias("_d"))
     )
     joined = counts.join(first, ["doc_id", "kind"], "left")
     return joined.select("doc_id", "kind", severity.alias("severity"), "count", F.transform("_d", lambda s: s["d"]).alias("details"))
 
 
-def safety_verdicts(pages: DataFrame, report: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Per document: clean when nothing is Elevated, limited when it has more pages than were looked at."""
+def safety_verdicts(pages: DataFrame, report: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Per document: clean when nothing is Elevated, limited when it has more pages than the report looked at."""
     sizes_ = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
     worst = report.groupBy("doc_id").agg(F.count_if(F.col("severity") == "Elevated").alias("_e"), F.count(F.lit(1)).alias("findings"))
     joined = sizes_.join(worst, "doc_id", "left").na.fill(0, ["_e", "findings"])
-    return joined.select("doc_id", "pages", "findings", (F.col("_e") == 0).alias("clean"), (F.col("pages") > max_pages).alias("limited"))
+    return joined.select("doc_id", "pages", "findings", (F.col("_e") == 0).alias("clean"), (F.lit(False) if max_pages is None else F.col("pages") > max_pages).alias("limited"))
 
 
 def sanitize(pages: DataFrame) -> DataFrame:
     """Active content taken out, with how many of each kind went and whether any is left."""
     count = lambda column, pattern: F.regexp_count(column, F.lit(pattern)).cast("long")
-    # A removal can join what stood around it, so removing goes on until a second pass finds nothing more.
+    # A removal can join what stood around it, so removing goes on, once for each element that begins, while any is left.
     strip = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, SCRIPT, ""), EMBED, ""), LAUNCH, ' href=""')
-    clean = strip(strip(F.col("html")))
+    begun = F.regexp_count("html", F.lit(BEGUN))
+    state = lambda c: F.struct(c.alias("text"), (c.rlike(SCRIPT) | c.rlike(EMBED) | c.rlike(LAUNCH)).alias("live"))
+    again = lambda done, _: F.when(done["live"], F.transform(F.array(strip(done["text"])), state)[0]).otherwise(done)
+    clean = F.aggregate(F.sequence(F.lit(0), begun), state(F.col("html")), again, lambda done: done["text"])
     staged = pages.withColumn("clean", clean)
     left = count("clean", SCRIPT) + count("clean", EMBED) + count("clean", LAUNCH)
     return staged.select(

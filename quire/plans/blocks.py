@@ -9,6 +9,8 @@ dense position, from range partitions of a checkpointed table (`by_range`).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -89,5 +91,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], **outs: tuple
         .select(*keys, BLOCK, *carried, F.count(F.lit(1)).over(_whole(keys)).alias("_blocks"))
         .where("_blocks > 1").drop("_blocks")
     )
-    joined = df.withColumns(inside).join(edges, [*keys, BLOCK], "left")
+    # Null keys are groups too, so the carry is joined null-safe.
+    renamed = edges.select(*[F.col(c).alias(f"_edge_{c}") for c in (*keys, BLOCK)], *[c for c in edges.columns if c not in (*keys, BLOCK)])
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_edge_{c}")) for c in (*keys, BLOCK)))
+    joined = df.withColumns(inside).join(renamed, same, "left")
     return joined.withColumns(result).select(*[c for c in df.columns if c != BLOCK], *outs)

@@ -14,25 +14,30 @@ from quire.plans.checkpoints import cut
 FLATTEN_EVERY = 8
 
 
-def chain_ends(links: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Where each chain of links `(keys, node, parent, parent_ends)` leads, within `limit` steps.
+def chain_ends(links: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Where each chain of links `(keys, node, parent, parent_ends)` leads, within `limit` steps if one is given.
 
     `parent_ends` says the parent is not itself linked on. Returns `(keys, node, root, hops)`. Chains that
-    loop, break off or are longer are left out. Each round doubles the distance walked, and only the
-    chains that have not ended are joined again.
+    loop or break off are left out, as are those longer than the limit. Each round doubles the distance walked,
+    and only the chains that have not ended are joined again: what is still open after as many steps as its
+    group has links is a loop.
     """
     keys = list(keys)
     table = cut(links.select(
         *keys, "node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("hops"), F.col("parent_ends").alias("_done")))
+    longest = limit
+    if longest is None:
+        longest = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     walked = 1
-    while walked < limit:
+    while walked < longest:
         open_ = table.where("not _done")
         if open_.isEmpty():
             break
         ahead = table.select(*keys, F.col("node").alias("root"), F.col("root").alias("_root"), F.col("hops").alias("_hops"), F.col("_done").alias("_d"))
         moved = open_.drop("_done").join(ahead, [*keys, "root"]).select(
             *keys, "node", F.col("_root").alias("root"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_d").alias("_done"))
-        table = cut(moved.where(F.col("hops") <= limit).unionByName(table.where("_done")))
+        within = moved if limit is None else moved.where(F.col("hops") <= limit)
+        table = cut(within.unionByName(table.where("_done")))
         walked *= 2
     return table.where("_done").drop("_done")
 

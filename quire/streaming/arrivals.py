@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,23 +14,34 @@ def _there(df: DataFrame, path: str) -> bool:
     return hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def inspect_stream(pages: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Safety findings of every document the first time it arrives `(doc_id, page_no, url, html)`.
+def inspect_stream(pages: DataFrame, sink: str, checkpoint: str, max_details: int | None = None, max_pages: int | None = None) -> StreamingQuery:
+    """Safety findings of every document as its pages `(doc_id, page_no, url, html)` arrive, each page counted once.
 
-    A batch writes its own folder, so a batch that runs again after a failure replaces what it wrote.
+    Items are kept by page, and a document that got new pages has its report made again from all its items. A batch
+    writes its own folders, so one that runs again after a failure replaces what it wrote. `findings_so_far` reads them.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        new = batch
-        for earlier in ([f"{sink}/seen"] if _there(batch, f"{sink}/seen") else []):
-            known = batch.sparkSession.read.parquet(earlier).where(F.col("batch") < number).select("doc_id").distinct()
-            new = batch.join(known, "doc_id", "left_anti")
-        new.select("doc_id").distinct().write.mode("overwrite").parquet(f"{sink}/seen/batch={number}")
-        links.safety_report(links.active_items(new)).write.mode("overwrite").parquet(f"{sink}/findings/batch={number}")
+        spark, new = batch.sparkSession, batch.dropDuplicates(["doc_id", "page_no"])
+        if _there(batch, f"{sink}/seen"):
+            known = spark.read.parquet(f"{sink}/seen").where(F.col("batch") < number).select("doc_id", "page_no")
+            new = new.join(known, ["doc_id", "page_no"], "left_anti")
+        new.select("doc_id", "page_no").write.mode("overwrite").parquet(f"{sink}/seen/batch={number}")
+        links.active_items(new).write.mode("overwrite").parquet(f"{sink}/items/batch={number}")
+        changed = spark.read.parquet(f"{sink}/seen/batch={number}").select("doc_id").distinct()
+        items = spark.read.parquet(f"{sink}/items").where(F.col("batch") <= number).drop("batch").join(changed, "doc_id", "left_semi")
+        links.safety_report(items, max_details, max_pages).write.mode("overwrite").parquet(f"{sink}/findings/batch={number}")
 
     return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def findings_so_far(spark: SparkSession, sink: str) -> DataFrame:
+    """The last report of every document that has findings."""
+    found = spark.read.parquet(f"{sink}/findings")
+    last = found.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return found.join(last, ["doc_id", "batch"], "left_semi").drop("batch")
+
+
 def recent_stream(opened: DataFrame, sink: str, checkpoint: str, capacity: int = 12) -> StreamingQuery:
     """Recent lists kept up to date: each batch merges into the version the batch before it wrote."""
 

@@ -8,6 +8,7 @@ from quire.operators import accessibility, arrange, comments, dedupe, forms, lin
 from quire.operators.forms import Calculation, FieldRule
 from quire.plans import blocks, quantiles, sizes
 from quire.sources import xfdf
+from quire.streaming import arrivals
 
 
 def cells(spark, columns):
@@ -101,12 +102,12 @@ def test_links(spark):
 def test_safety(spark):
     html = "<script>x</script>" * 12 + '<iframe src="a"></iframe><a href="file:///etc">f</a>'
     pages = spark.createDataFrame([(1, 1, "https://a.example", html)] + [(2, i, "https://b.example", "") for i in range(1, 52)], "doc_id long, page_no int, url string, html string")
-    report = links.safety_report(links.active_items(pages))
+    report = links.safety_report(links.active_items(pages), links.MAX_DETAILS, links.MAX_PAGES)
     found = {(r.doc_id, r.kind): r for r in report.collect()}
     assert found[1, "JavaScript"]["count"] == 12 and len(found[1, "JavaScript"].details) == 10
     assert {found[1, k].severity for k in ("JavaScript", "EmbeddedFile", "LaunchAction")} == {"Elevated"}
     assert found[2, "ExternalLink"]["count"] == 50 and found[2, "ExternalLink"].severity == "Informational"
-    verdicts = {r.doc_id: (r.clean, r.limited) for r in links.safety_verdicts(pages, report).collect()}
+    verdicts = {r.doc_id: (r.clean, r.limited) for r in links.safety_verdicts(pages, report, links.MAX_PAGES).collect()}
     assert verdicts == {1: (False, False), 2: (True, True)}
     clean = links.sanitize(pages)
     assert {r.verdict for r in clean.collect()} == {"clean"}
@@ -116,10 +117,12 @@ def test_safety(spark):
 def test_thread_roots(spark):
     chain = [(1, i, i - 1 if i > 1 else None, "R") for i in range(1, 67)]
     rows = chain + [(2, 1, 2, "R"), (2, 2, 1, "R"), (3, 5, 99, "R"), (4, 1, None, None), (4, 2, 1, None), (4, 3, 1, "Group")]
-    found = comments.thread_roots(spark.createDataFrame(rows, "doc_id long, id long, reply_to long, reply_type string"))
+    table = spark.createDataFrame(rows, "doc_id long, id long, reply_to long, reply_type string")
+    found = comments.thread_roots(table, 64)
     depth = {(r.doc_id, r.id): (r.root_id, r.depth) for r in found.collect()}
     assert {k for k in depth if k[0] in (2, 3)} == set()
     assert depth[1, 65] == (1, 64) and (1, 66) not in depth and depth[4, 2] == (1, 1) and (4, 3) not in depth
+    assert {r.id: r.depth for r in comments.thread_roots(table).where("doc_id = 1").collect()}[66] == 65
 
 
 def test_revision_verdicts(spark):
@@ -206,3 +209,40 @@ def test_xfdf(spark, tmp_path):
     nested = '<xfdf xmlns="http://ns.adobe.com/xfdf/"><fields><field name="a"><field name="b"><value>1</value></field></field><field name="c.d"><value>2</value><value>3</value></field></fields></xfdf>'
     (tmp_path / "f.xml").write_text(nested)
     assert {r.name: r["values"] for r in xfdf.read_fields(spark, f"{tmp_path}/f.xml").collect()} == {"a.b": ["1"], "c.d": ["2", "3"]}
+
+
+def test_no_limits_on_depth(spark):
+    chain = [(1, f"A{i}", f"A{i + 1}") for i in range(99)] + [(1, "A99", "P"), (2, "B", "C"), (2, "C", "B")]
+    alias = spark.createDataFrame(chain, "doc_id long, type string, target string")
+    found = {(r.doc_id, r.type): r.status for r in accessibility.resolve_aliases(alias, alias.select("doc_id", "type")).collect()}
+    assert {found[1, f"A{i}"] for i in range(100)} == {"mapped"} and found[2, "B"] == "02-003"
+    nested = "x<scr<scr<scr<script>a</script>ipt>b</script>ipt>c</script>ipt>d</script>y"
+    pages = spark.createDataFrame([(1, p, "", nested if p == 1 else '<a href="file:///x">f</a>' if p == 60 else "") for p in range(1, 61)], "doc_id long, page_no int, url string, html string")
+    clean = {r.page_no: (r.html, r.verdict) for r in links.sanitize(pages).collect()}
+    assert clean[1] == ("xy", "clean")
+    assert {r.kind for r in links.safety_report(links.active_items(pages)).collect()} == {"JavaScript", "LaunchAction"}
+    depth = 9
+    items = spark.createDataFrame([(10 * c + k, "leaf" if k == 0 else f"node{k}") for c in (1, 2) for k in range(depth)], "id long, hash string")
+    refs = spark.createDataFrame([(10 * c + k, 0, 10 * c + k - 1) for c in (1, 2) for k in range(1, depth)], "id long, slot int, target long")
+    assert {(r.id, r.keep_id) for r in dedupe.dedupe_refs(items, refs).collect()} == {(20 + k, 10 + k) for k in range(depth)}
+
+
+def test_null_groups_carry_over_blocks(spark):
+    rows = spark.createDataFrame([(None if i % 2 else 1, i) for i in range(100)], "k long, v long")
+    got = blocks.scan(blocks.by_value(rows, "v", 10), ["k"], ["v"], no=("number", None), upto=("sum", "v")).orderBy("v").collect()
+    assert [r.no for r in got] == [i // 2 + 1 for i in range(100)]
+    assert [r.upto for r in got] == [sum(range(i % 2, i + 1, 2)) for i in range(100)]
+
+
+def test_pages_that_arrive_later(spark, tmp_path):
+    page = lambda d, n, html: (d, n, "", html)
+    schema = "doc_id long, page_no int, url string, html string"
+    script = "<script>s</script>"
+    batches = [[page(1, 1, script), page(2, 1, "")], [page(1, 2, script * 2), page(1, 1, script)], [page(2, 2, script)]]
+    counts = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        arrivals.inspect_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        counts.append({r.doc_id: r["count"] for r in arrivals.findings_so_far(spark, str(tmp_path / "out")).collect()})
+    assert counts == [{1: 1}, {1: 3}, {1: 3, 2: 1}]
