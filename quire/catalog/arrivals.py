@@ -21,7 +21,8 @@ def _folder(spark) -> str:
 
 def _stream(spark, folder: str, name: str):
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet")
+    # A pattern, as a stream's plain path may not be a single file; it matches a table that is a file or a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.[p]arquet")
 
 
 @query("N1_inspect_on_arrival", f"WITH {ITEMS} SELECT * FROM report")
