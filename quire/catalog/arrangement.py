@@ -153,7 +153,7 @@ def stamp(spark, folder):
 @query("P7_outline_spans", f"""
 WITH {derived.LINES}, counts AS (SELECT doc_id, max(page_no) AS page_count FROM lines GROUP BY doc_id),
 nodes AS (SELECT doc_id, page_no * 100 + line_no AS node_id, page_no, line_no // 20 + page_no AS shown, line_no,
-  CASE WHEN line_no = 0 THEN 0 WHEN line_no % 10 = 0 THEN 1 ELSE 2 END AS level, left(text, 12) AS title,
+  CASE WHEN line_no = 0 THEN 0 WHEN line_no % 10 = 0 THEN 1 ELSE 2 END AS level, text AS title,
   CASE WHEN line_no = 0 THEN 0 WHEN line_no % 10 = 0 THEN page_no * 100 ELSE page_no * 100 + line_no // 10 * 10 END AS parent_id
   FROM lines WHERE line_no % 10 = 0 OR (line_no % 5 = 0 AND line_no > 10)),
 flat AS (
@@ -174,7 +174,7 @@ def outline(spark, folder):
     parent = F.when(F.col("line_no") == 0, 0).when(F.col("line_no") % 10 == 0, page).otherwise(page + F.floor(F.col("line_no") / 10) * 10)
     nodes = lines.where("line_no % 10 = 0 or (line_no % 5 = 0 and line_no > 10)").select(
         "doc_id", (page + F.col("line_no")).cast("long").alias("node_id"), parent.cast("long").alias("parent_id"), (page + F.col("line_no")).cast("long").alias("ord"),
-        F.substring("text", 1, 12).alias("title"), (F.floor(F.col("line_no") / 20) + F.col("page_no")).alias("page_no"))
+        F.col("text").alias("title"), (F.floor(F.col("line_no") / 20) + F.col("page_no")).alias("page_no"))
     counts = lines.groupBy("doc_id").agg((F.max("page_no") + 1).alias("page_count"))
     return arrange.outline_spans(nodes, counts)
 

@@ -138,14 +138,14 @@ def _records(spark, folder):
 
 
 def _incoming(spark, folder):
-    o = table(spark, folder, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, folder, "orders")
     name = F.when(F.col("o_orderkey") % 2 == 0, "segment").when(F.col("o_orderkey") % 5 == 0, "unheard").otherwise("name")
     return o.select(F.col("o_custkey").alias("doc_id"), name.alias("name"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("seq"))
 
 
 _IMPORT = """
 f AS (SELECT c_custkey AS doc_id, unnest(['segment', 'name']) AS name, unnest([c_mktsegment, c_name]) AS value, unnest([false, c_custkey % 5 = 0]) AS read_only FROM customer),
-i AS (SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'segment' WHEN o_orderkey % 5 = 0 THEN 'unheard' ELSE 'name' END AS name, o_orderpriority AS value, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 = 0),
+i AS (SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'segment' WHEN o_orderkey % 5 = 0 THEN 'unheard' ELSE 'name' END AS name, o_orderpriority AS value, o_orderkey AS seq FROM orders),
 l AS (SELECT doc_id, name, arg_max(value, seq) AS v FROM i GROUP BY ALL)"""
 
 

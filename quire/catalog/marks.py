@@ -82,7 +82,7 @@ def totals(spark, folder):
 
 _SNAP = derived.WORDS + """,
 seg AS (SELECT doc_id, page_no, line_no AS seg_id, x AS x0, y + h AS y0, x + w AS x1, y + h + doc_id % 3 AS y1 FROM lines),
-pt AS (SELECT doc_id, page_no, (line_no * 100000 + start)::BIGINT AS id, x + start % 7 AS x, y + h + start % 5 - 2 AS y FROM words WHERE x < 560),
+pt AS (SELECT doc_id, page_no, (line_no * 100000 + start)::BIGINT AS id, x + start % 7 AS x, y + h + start % 5 - 2 AS y FROM words),
 spots AS (SELECT doc_id, page_no, seg_id, 0 AS rank, x0 AS tx, y0 AS ty FROM seg UNION ALL SELECT doc_id, page_no, seg_id, 0, x1, y1 FROM seg
   UNION ALL SELECT doc_id, page_no, seg_id, 1, (x0 + x1) / 2, (y0 + y1) / 2 FROM seg),
 cand AS (
@@ -105,7 +105,7 @@ def snap(spark, folder):
     lines = derived.lines(spark, folder)
     segments = lines.select("doc_id", "page_no", F.col("line_no").alias("seg_id"), F.col("x").alias("x0"), (F.col("y") + F.col("h")).alias("y0"), (F.col("x") + F.col("w")).alias("x1"),
                             (F.col("y") + F.col("h") + F.col("doc_id") % 3).alias("y1"))
-    points = derived.words(spark, folder).where("x < 560").select(
+    points = derived.words(spark, folder).select(
         "doc_id", "page_no", (F.col("line_no") * 100000 + F.col("start")).cast("long").alias("id"), (F.col("x") + F.col("start") % 7).alias("x"), (F.col("y") + F.col("h") + F.col("start") % 5 - 2).alias("y"))
     found = geometry.snap(points, segments, 6.0)
     total = lambda c: F.round(F.sum(F.round(c, 3).cast("decimal(28,3)")).cast("double"), 2)
@@ -123,24 +123,23 @@ def _marks(spark, folder):
 @query("G5_hit_test", f"""
 WITH {derived.WORDS},
 rects AS (SELECT doc_id, page_no, line_no AS ord, x + 30 AS x, y - 9 AS y, w / 2 AS w, 24.0 AS h FROM lines WHERE w > 0),
-pt AS (SELECT doc_id, page_no, line_no * 100000 + start AS id, x, y FROM words WHERE start % 3 = 0 AND x < 600),
+pt AS (SELECT doc_id, page_no, line_no * 100000 + start AS id, x, y FROM words),
 j AS (SELECT p.doc_id, p.page_no, p.id, r.ord, p.x BETWEEN r.x AND r.x + r.w AND p.y BETWEEN r.y AND r.y + r.h AS exact FROM pt p JOIN rects r ON r.doc_id = p.doc_id AND r.page_no = p.page_no
   AND p.x BETWEEN r.x - 6 AND r.x + r.w + 6 AND p.y BETWEEN r.y - 6 AND r.y + r.h + 6)
 SELECT doc_id, page_no::BIGINT AS page_no, id::BIGINT AS id, arg_max(ord, (exact, ord))::BIGINT AS ord, bool_or(exact) AS exact FROM j GROUP BY doc_id, page_no, id
 """)
 def hit(spark, folder):
     rects = derived.lines(spark, folder).select("doc_id", "page_no", F.col("line_no").alias("ord"), (F.col("x") + 30).alias("x"), (F.col("y") - 9).alias("y"), (F.col("w") / 2).alias("w"), F.lit(24.0).alias("h"))
-    points = derived.words(spark, folder).where("start % 3 = 0 and x < 600").select("doc_id", "page_no", (F.col("line_no") * 100000 + F.col("start")).alias("id"), "x", "y")
+    points = derived.words(spark, folder).select("doc_id", "page_no", (F.col("line_no") * 100000 + F.col("start")).alias("id"), "x", "y")
     return geometry.hit_test(points, rects, 6.0)
 
 
 @query("G6_redact_areas", f"""
 WITH {derived.WORDS}, {_MARKS},
-hit AS (SELECT w.doc_id, w.page_no, w.line_no, w.start FROM words w JOIN marks m USING (doc_id, page_no)
+hit AS (SELECT DISTINCT w.doc_id, w.page_no, w.line_no, w.start FROM words w JOIN marks m USING (doc_id, page_no)
   WHERE (w.x + w.w / 2 BETWEEN m.x AND m.x + m.w AND w.y + w.h / 2 BETWEEN m.y AND m.y + m.h)
      OR greatest(0, least(w.x + w.w, m.x + m.w) - greatest(w.x, m.x)) * greatest(0, least(w.y + w.h, m.y + m.h) - greatest(w.y, m.y)) / (w.w * w.h) >= 0.25)
-SELECT doc_id, page_no::BIGINT AS page_no, line_no::BIGINT AS line_no, start, word FROM words WHERE NOT EXISTS (
-  SELECT 1 FROM hit h WHERE h.doc_id = words.doc_id AND h.page_no = words.page_no AND h.line_no = words.line_no AND h.start = words.start)
+SELECT doc_id, page_no::BIGINT AS page_no, line_no::BIGINT AS line_no, start, word FROM words ANTI JOIN hit USING (doc_id, page_no, line_no, start)
 """)
 def redact(spark, folder):
     return geometry.redact_areas(derived.words(spark, folder), _marks(spark, folder)).select("doc_id", "page_no", "line_no", "start", "word")
