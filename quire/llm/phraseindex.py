@@ -97,7 +97,9 @@ def matched(docs: DataFrame, items: DataFrame, size: int = 10, distance: int = 2
     vocabulary = runs.select(F.explode("words").alias("word")).union(runs.sparkSession.createDataFrame([("",)], "word string")).distinct()
     index = build(docs, common.staged(vocabulary, "vocabulary"))
     wanted = common.staged(anchors(runs, index), "anchors")
-    places = index.where("word <> ''")
+    # Only the postings of words that are looked up are shuffled by what follows.
+    asked = common.staged(wanted.select("word").distinct(), "asked-words")
+    places = common.staged(index.join(asked, "word", "left_semi").select("word", "key", "position"), "places")
     first = common.staged(begin(places, wanted), "begin")
     exact = common.staged(verified(intersected(first, places, wanted), runs, docs), "exact")
     near = intersected(first, places, wanted, distance)
