@@ -6,11 +6,11 @@ with similarity of at least 0.8 is at most (a + b) / 9.
 
 Sets are joined by pigeonhole within bands of size: the shingles of a set are dealt by their hash into k segments, more
 than two linked sets of the band can differ in, and each segment's shingles are XORed into one 64-bit signature. Linked
-sets agree in some segment that is not empty, so they meet on its signature. Sets that meet are compared by sketch, and
-those left by their shingles.
+sets agree in some segment of two shingles or more (one, for small sets), so they meet on its signature, while a passage
+that two texts share rarely fills a segment alone. Sets that meet are compared by sketch, and those left by their shingles.
 
 Sets of the same shingles are one class from the start. Sets that meet on a signature are first compared with one of
-them, the one that shares most; then, for signatures whose sets are not all connected yet, sets of different components
+them, the one that shares most signatures, and of several such leaders with one first; then, for signatures whose sets are not all connected yet, sets of different components
 are compared, so no pair that meets goes unexamined and a group of copies costs about as many comparisons as it has members.
 """
 
@@ -30,7 +30,8 @@ from quire.llm.components import components
 
 PERCENT = 80
 SIZE = 5
-SEEDS = 3
+SEEDS = 5
+WORDS = 16  # of 64 bits in a sketch
 SEPARATORS = np.array([32, 9, 10, 11, 12, 13], np.uint8)
 C1, C2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,7 +52,7 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
     return numbers, blank
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=8)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (int(GOLD), pow(int(GOLD), -1, 1 << 64)):
@@ -61,21 +62,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of every word of the text, in order."""
-    numbers, blank = _bytes()
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, A-Z as a-z."""
     n = len(raw)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    gap = np.concatenate([[True], blank[raw], [True]])
-    start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
     power, inverse = _powers(1 << max(16, n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(numbers[raw] * power[:n], out=sums[1:])
+    np.cumsum(_bytes()[0][raw] * power[:n], out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start])
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word of the text, in order."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    if len(raw) == 0:
+        return np.zeros(0, np.uint64)
+    gap = np.concatenate([[True], _bytes()[1][raw], [True]])
+    return hashed(raw, np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:]))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The distinct hashed shingles of a text, ascending; all words as one where they are fewer than five, none without words."""
     words = word_hashes(text or "")
@@ -95,8 +99,8 @@ def class_of(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> list[int]:
-    """256 parities as four signed 64-bit numbers."""
-    bits = np.bincount((mix(hashes) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """1024 parities as sixteen signed 64-bit numbers."""
+    bits = np.bincount((mix(hashes) >> np.uint64(54)).astype(np.int64), minlength=64 * WORDS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -122,21 +126,24 @@ def signatures(hashes: np.ndarray) -> np.ndarray:
         differ = 2 * int(edges[band + 1] - 1) * (100 - PERCENT) // (100 + PERCENT)
         if differ == 0:
             continue  # such sets are linked only if equal
-        k = differ + 2 + -(-differ // 10)
+        least, k = (1, differ + 2 + -(-differ // 10)) if differ < 8 else (2, differ + 3 + -(-3 * differ // 10))
+        # How much this set can differ from one it is linked with here.
+        apart = (n + min(n * 100 // PERCENT, int(edges[band + 1]) - 1)) * (100 - PERCENT) // (100 + PERCENT)
         for seed in range(SEEDS + 1):
             salt = np.uint64(((band * 64 + seed) * 2 + 1) * int(GOLD) % (1 << 64))
             if seed == SEEDS:
-                # No dealing left this set enough segments with shingles; such sets of a band all meet.
+                # No dealing left this set enough segments that are full enough; such sets of a band all meet.
                 out.append(mix(np.array([salt])))
                 break
             dealt = hashes if seed == 0 else np.sort(mix(hashes ^ salt))
             # The high bits say the segment, so segments of ascending hashes ascend.
             segment = ((dealt >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             first = np.flatnonzero(np.diff(segment, prepend=segment[:1] + np.uint64(1)))
+            full = np.diff(np.append(first, n)) >= least
             folded = np.bitwise_xor.reduceat(mix(dealt ^ C2), first)
-            out.append(mix(folded ^ mix(segment[first] * C1 + salt)))
-            # Of k segments at least k - differ agree; with that many empty ones they might all be empty.
-            if k - len(first) < k - differ:
+            out.append(mix(folded ^ mix(segment[first] * C1 + salt))[full])
+            # Of k segments at least k - apart agree; with that many not full they might all be among those.
+            if full.sum() > apart:
                 break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -193,7 +200,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 def _may_link(a: str, b: str) -> Column:
     """What sizes and sketches allow."""
     n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    apart = sum(F.bit_count(F.get(f"sketch{a}", k).bitwiseXOR(F.get(f"sketch{b}", k))) for k in range(4))
+    apart = sum(F.bit_count(F.get(f"sketch{a}", k).bitwiseXOR(F.get(f"sketch{b}", k))) for k in range(WORDS))
     sizes = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
     return sizes & (apart * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
 
@@ -218,10 +225,16 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     brief = known.select("class", "n", "sketch")
     side = lambda c: brief.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"sketch{c}"))
     degree = shared.groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
-    leaders = shared.join(degree, "class").groupBy("sig").agg(F.max(F.struct("degree", "class"))["class"].alias("a"))
-    star = shared.join(leaders, "sig").where("class <> a").select("a", F.col("class").alias("b")).distinct()
-    tried = common.staged(star.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b")).select("a", "b"), "tried")
-    first = common.staged(_linked(tried, known), "links")
+    leaders = shared.join(degree, "class").groupBy("sig").agg(F.max(F.struct("degree", "class")).alias("l")).select("sig", F.col("l.class").alias("a"), "l.degree")
+    star = shared.join(leaders, "sig").where("class <> a").groupBy("a", F.col("class").alias("b")).agg(F.max("degree").alias("degree"))
+    tried = common.staged(star.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b")).select("a", "b", "degree"), "tried")
+    # First each class with one leader, the best; with its other leaders only if that has not connected them.
+    best = tried.groupBy("b").agg(F.max(F.struct("degree", "a"))["a"].alias("a"))
+    first = common.staged(_linked(best, known), "links")
+    roots = components(first)
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root{c}"))
+    left = tried.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b")
+    first = common.staged(first.union(_linked(left.join(best, ["a", "b"], "left_anti"), known)), "links")
     roots = components(first)
     rooted = shared.join(roots, shared["class"] == roots["node"], "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
