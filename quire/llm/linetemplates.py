@@ -14,6 +14,7 @@ template that mostly comes with one make is the document's own text, which is le
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import common
-from quire.llm.paritysketch import C1, C2, GOLD, _powers, mix, word_hashes
+from quire.llm.paritysketch import C1, C2, GOLD, _powers, hashed, mix
 
 DEPTH = 3
 LEAST_LINE, LEAST_SENTENCE, LEAST_GENERAL = 3, 8, 12
@@ -32,97 +33,120 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
+@dataclass
 class Records:
-    """The records of a text: lines and sentences with where they begin and end in its bytes, and their template keys."""
-
-    def __init__(self, text: str):
-        self.raw = text.encode("utf-8", "replace")
-        raw = np.frombuffer(self.raw, np.uint8)
-        words = word_hashes(text)
-        self.n_lines = self.raw.count(b"\n") + 1
-        self.makes = (np.uint64(self.n_lines), np.uint64(self.n_lines))
-        self.spans: list[tuple[int, int, bool]] = []  # bytes, and whether a whole line
-        self.keys = np.zeros((0, 4), np.uint64)  # exact, and by the third taken for fields; 0 where there is none
-        if not len(words):
-            return
-        gap = np.concatenate([[True], BLANK[raw], [True]])
-        start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-        digits = np.concatenate([[0], np.cumsum(DIGIT[raw])])
-        words = np.where(digits[end] > digits[start], FIELD, words)
-        feeds = np.concatenate([[0], np.cumsum(raw == 10)])
-        line = feeds[start]
-        stop = np.isin(raw[end - 1], (33, 46, 63))
-        new_line = np.diff(line, prepend=-1) != 0
-        new_sentence = new_line | np.concatenate([[True], stop[:-1]])
-        n = len(words)
-        power, inverse = _powers(1 << max(16, n.bit_length()))
-        weighted = mix(words ^ C2) * power[:n]
-        sums = np.zeros((4, n + 1), np.uint64)
-        np.cumsum(weighted, out=sums[0, 1:])
-        for k in range(3):
-            part = np.zeros(n, np.uint64)
-            part[k::3] = weighted[k::3]
-            np.cumsum(part, out=sums[k + 1, 1:])
-        leads = np.zeros(n, np.uint64)  # of the record that begins at each word, for records of DEPTH tokens or more
-        short = min(DEPTH, n)
-        for k in range(short):
-            leads[: n - short + 1] = leads[: n - short + 1] * GOLD + words[k : n - short + 1 + k]
-
-        def table(first: np.ndarray, whole: bool, least: int) -> np.ndarray:
-            last = np.append(first[1:], n)
-            size = last - first
-            ok = size >= least
-            first, last, size = first[ok], last[ok], size[ok]
-            at = mix(leads[first] + size.astype(np.uint64) * C1 + np.uint64(whole))
-            keys = np.zeros((len(first), 4), np.uint64)
-            keys[:, 0] = mix(at ^ (sums[0, last] - sums[0, first]) * inverse[first])
-            if whole:
-                for k in range(3):
-                    # What is left without the third of positions that begins at the k-th.
-                    field = 1 + (first + k) % 3
-                    left = (sums[0, last] - sums[0, first]) - (sums[field, last] - sums[field, first])
-                    keys[:, k + 1] = np.where(size >= LEAST_GENERAL, mix(at ^ mix(left * inverse[first] + np.uint64(k + 1))), 0)
-            self.spans += list(zip(start[first].tolist(), end[last - 1].tolist(), [whole] * len(first)))
-            return keys
-
-        lines = np.flatnonzero(new_line)
-        self.keys = np.concatenate([table(lines, True, LEAST_LINE), table(np.flatnonzero(new_sentence), False, LEAST_SENTENCE)])
-        ends = np.array([words[:DEPTH], words[-DEPTH:]], np.uint64) @ np.array([GOLD, C1, C2], np.uint64)[: min(DEPTH, n)]
-        made = mix(ends + mix(np.array([self.n_lines], np.uint64)))
-        self.makes = (made[0], made[1])
-
-    def without(self, recurring: np.ndarray) -> tuple[str, int, int]:
-        """(text without records whose template recurs, lines dropped, sentences dropped)."""
-        met = np.isin(self.keys.view(np.int64), recurring) & (self.keys != 0)
-        gone = met[:, 0] | met[:, 1:].any(axis=1)
-        lines = sentences = 0
-        cuts = []
-        for (a, b, whole), drop in zip(self.spans, gone):
-            if drop:
-                if whole:
-                    lines += 1
-                    a = self.raw.rfind(b"\n", 0, a) + 1
-                    end = self.raw.find(b"\n", b)
-                    b = len(self.raw) if end < 0 else end + 1
-                else:
-                    sentences += 1
-                    while b < len(self.raw) and self.raw[b] in b" \t":
-                        b += 1
-                cuts.append((a, b))
-        out, at = [], 0
-        for a, b in sorted(cuts):
-            if a > at:
-                out.append(self.raw[at:a])
-            at = max(at, b)
-        out.append(self.raw[at:])
-        text = b"".join(out).decode()
-        if sentences:  # lines of which every sentence went
-            was_empty = {i for i, x in enumerate(self.raw.split(b"\n")) if not x.strip()}
-            if not was_empty:
-                text = "\n".join(x for x in text.split("\n") if x.strip())
-        if lines and text.endswith("\n") and not self.raw.endswith(b"\n"):
-            text = text[:-1]
-        return text, lines, sentences
+    """The records of some texts: per record its text, its bytes there, whether it is a whole line, and its template keys
+    (exact, and by the third taken for fields; 0 where there is none); per text its makes by first and last words."""
+
+    owner: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    whole: np.ndarray
+    keys: np.ndarray
+    makes: np.ndarray
+
+
+def parse(texts: list[str]) -> Records:
+    """All texts at once, a line feed after each, so that the work is on long arrays."""
+    encoded = [t.encode("utf-8", "replace") for t in texts]
+    joined = b"\n".join(encoded) + b"\n"
+    raw = np.frombuffer(joined, np.uint8)
+    lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+    at_text = np.cumsum(lengths + 1) - lengths - 1
+    gap = np.concatenate([[True], BLANK[raw], [True]])
+    start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    n = len(start)
+    feeds = np.concatenate([[0], np.cumsum(raw == 10)])
+    n_lines = (feeds[at_text + lengths] - feeds[at_text] + 1).astype(np.uint64)
+    text = np.searchsorted(at_text, start, "right") - 1
+    words = hashed(raw, start, end)
+    digits = np.concatenate([[0], np.cumsum(DIGIT[raw])])
+    words = np.where(digits[end] > digits[start], FIELD, words)
+
+    head, tail = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+    first_word, past = np.searchsorted(text, np.arange(len(texts))), np.searchsorted(text, np.arange(len(texts)), "right")
+    for k, factor in enumerate((GOLD, C1, C2)):
+        there = first_word + k < past
+        head[there] += words[first_word[there] + k] * factor
+        tail[there] += words[past[there] - 1 - k] * factor
+    makes = mix(np.stack([head, tail], axis=1) + mix(n_lines)[:, None])
+    if n == 0:
+        none = np.zeros(0, np.int64)
+        return Records(none, none, none, none.astype(bool), np.zeros((0, 4), np.uint64), makes)
+
+    new_line = np.diff(feeds[start], prepend=-1) != 0
+    stop = np.isin(raw[end - 1], (33, 46, 63))
+    new_sentence = new_line | np.concatenate([[True], stop[:-1]])
+    power, inverse = _powers(1 << max(16, n.bit_length()))
+    weighted = mix(words ^ C2) * power[:n]
+    sums = np.zeros((4, n + 1), np.uint64)
+    np.cumsum(weighted, out=sums[0, 1:])
+    for k in range(3):
+        part = np.zeros(n, np.uint64)
+        part[k::3] = weighted[k::3]
+        np.cumsum(part, out=sums[k + 1, 1:])
+    leads = np.zeros(n, np.uint64)  # of a record that begins at each word and has DEPTH tokens at least
+    for k in range(min(DEPTH, n)):
+        leads[: n - DEPTH + 1] = leads[: n - DEPTH + 1] * GOLD + words[k : max(0, n - DEPTH + 1) + k]
+
+    def table(first: np.ndarray, whole: bool, least: int) -> tuple[np.ndarray, ...]:
+        last = np.append(first[1:], n)
+        ok = last - first >= least
+        first, last = first[ok], last[ok]
+        size = last - first
+        at = mix(leads[first] + size.astype(np.uint64) * C1 + np.uint64(whole))
+        keys = np.zeros((len(first), 4), np.uint64)
+        total = sums[0, last] - sums[0, first]
+        keys[:, 0] = mix(at ^ total * inverse[first])
+        for k in range(3 * whole):
+            field = 1 + (first + k) % 3  # the third of positions that begins at the k-th
+            left = total - (sums[field, last] - sums[field, first])
+            keys[:, k + 1] = np.where(size >= LEAST_GENERAL, mix(at ^ mix(left * inverse[first] + np.uint64(k + 1))), 0)
+        owner = text[first]
+        return owner, start[first] - at_text[owner], end[last - 1] - at_text[owner], np.full(len(first), whole), keys
+
+    both = (table(np.flatnonzero(new_line), True, LEAST_LINE), table(np.flatnonzero(new_sentence), False, LEAST_SENTENCE))
+    return Records(*(np.concatenate(x) for x in zip(*both)), makes)
+
+
+def groups(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts): together up to `size`, a longer text alone."""
+    first, total = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and total + len(text) > size:
+            yield first, texts[first:i]
+            first, total = i, 0
+        total += len(text)
+    if texts:
+        yield first, texts[first:]
+
+
+def without(text: str, spans: list[tuple[int, int, bool]]) -> tuple[str, int, int]:
+    """(text without the records of these bytes, lines dropped, sentences dropped)."""
+    raw = text.encode("utf-8", "replace")
+    cuts = []
+    for a, b, whole in spans:
+        if whole:
+            a = raw.rfind(b"\n", 0, a) + 1
+            end = raw.find(b"\n", b)
+            b = len(raw) if end < 0 else end + 1
+        else:
+            while b < len(raw) and raw[b] in b" \t":
+                b += 1
+        cuts.append((a, b))
+    out, at = [], 0
+    for a, b in sorted(cuts):
+        if a > at:
+            out.append(raw[at:a])
+        at = max(at, b)
+    out.append(raw[at:])
+    lines = sum(whole for *_, whole in spans)
+    left = b"".join(out).decode()
+    if lines < len(spans) and all(x.strip() for x in raw.split(b"\n")):
+        left = "\n".join(x for x in left.split("\n") if x.strip())  # lines of which every sentence went
+    if lines and left.endswith("\n") and not raw.endswith(b"\n"):
+        left = left[:-1]
+    return left, lines, len(spans) - lines
 
 
 def recurring(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -135,44 +159,44 @@ def recurring(docs: DataFrame, least: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 2000):
             keys, makes = [], []
-            for text in batch["text"].to_pylist():
-                r = Records(text)
-                own = np.unique(r.keys[r.keys != 0])
-                keys.append(own)
-                makes.append(np.repeat(np.array([r.makes], np.uint64), len(own), axis=0))
+            for _, group in groups(batch["text"].to_pylist()):
+                found = parse(group)
+                row, column = np.nonzero(found.keys)
+                key, owner = found.keys[row, column], found.owner[row]
+                order = np.lexsort((owner, key))  # a text counts once for a template
+                key, owner = key[order], owner[order]
+                once = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(owner) != 0)])[: len(key)]
+                keys.append(key[once])
+                makes.append(found.makes[owner[once]])
             key, make = np.concatenate(keys), np.concatenate(makes)
-            order = np.lexsort((make[:, 1], make[:, 0], key))
-            key, make = key[order], make[order]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(make, axis=0) != 0).any(axis=1)])) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(key)))
-            yield pa.RecordBatch.from_pydict({"key": key[first].view(np.int64), "head": make[first, 0].view(np.int64), "tail": make[first, 1].view(np.int64), "n": count.astype(np.int32)})
+            for end in (0, 1):
+                order = np.lexsort((make[:, end], key))
+                k, m = key[order], make[order, end]
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(k) != 0) | (np.diff(m) != 0)])[: len(k)])
+                count = np.diff(np.append(first, len(k)))
+                yield pa.RecordBatch.from_pydict({"key": k[first].view(np.int64), "end": np.full(len(first), end, np.int8), "make": m[first].view(np.int64), "n": count.astype(np.int32)})
 
-    counted = common.texts(docs).select("text").mapInArrow(run, "key bigint, head bigint, tail bigint, n int")
-    dealt = counted.repartition("key")
-
-    def sums(make: str) -> DataFrame:
-        by_make = dealt.groupBy("key", make).agg(F.sum("n").alias("n"))
-        return by_make.groupBy("key").agg(F.count(F.lit(1)).alias(f"{make}s"), F.sum("n").alias("n"), F.max("n").alias("most")).where("2 * most <= n").select("key", f"{make}s")
-
-    found = sums("head").join(sums("tail"), "key").where(F.greatest("heads", "tails") >= least)
-    return common.staged(found.select("key"), "templates")
+    counted = common.texts(docs).select("text").mapInArrow(run, "key bigint, end tinyint, make bigint, n int")
+    by_make = counted.repartition("key").groupBy("key", "end", "make").agg(F.sum("n").alias("n"))
+    by_end = by_make.groupBy("key", "end").agg(F.count(F.lit(1)).alias("makes"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    found = by_end.groupBy("key").agg(F.max("makes").alias("makes"), F.bool_and(2 * F.col("most") <= F.col("n")).alias("mixed"))
+    return common.staged(found.where(f"mixed and makes >= {least}").select("key"), "templates")
 
 
 def flagged(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """`(key, found)`: for rows that have recurring templates, which; `key` stands for (doc_id, text)."""
+    """`(row, found)`: for rows that have recurring templates, the bytes of those records; `row` stands for (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            owners, parts = [], []
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
-                keys = Records(text).keys
-                own = np.unique(keys[keys != 0])
-                owners.append(np.full(len(own), key, np.int64))
-                parts.append(own.view(np.int64))
-            yield pa.RecordBatch.from_pydict({"row": np.concatenate(owners), "key": np.concatenate(parts)})
+            rows = batch["key"].to_numpy()
+            for first, group in groups(batch["text"].to_pylist()):
+                r = parse(group)
+                row, column = np.nonzero(r.keys)
+                yield pa.RecordBatch.from_pydict({
+                    "row": rows[first + r.owner[row]], "key": r.keys[row, column].view(np.int64), "begin": r.begin[row].astype(np.int64), "end": r.end[row].astype(np.int64), "whole": r.whole[row]})
 
-    rows = common.texts(docs).select(common.row_key().alias("key"), "text").mapInArrow(run, "row bigint, key bigint")
-    return rows.join(templates, "key").groupBy("row").agg(F.collect_set("key").alias("found"))
+    rows = common.texts(docs).select(common.row_key().alias("key"), "text").mapInArrow(run, "row bigint, key bigint, begin bigint, end bigint, whole boolean")
+    return rows.join(templates, "key").groupBy("row").agg(F.collect_set(F.struct("begin", "end", "whole")).alias("found"))
 
 
 def deduplicated(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -194,7 +218,7 @@ def deduplicated(docs: DataFrame, least: int = 5) -> DataFrame:
             lines, sentences = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
             for i, found in enumerate(batch["_template_found"].to_pylist()):
                 if found:
-                    text[i], lines[i], sentences[i] = Records(text[i]).without(np.array(found, np.int64))
+                    text[i], lines[i], sentences[i] = without(text[i], [(f["begin"], f["end"], f["whole"]) for f in found])
             columns = {c: batch[c] for c in names} | {"text": pa.array(text, pa.string()), "_template_lines": lines, "_template_sentences": sentences}
             yield pa.RecordBatch.from_pydict(columns)
 
