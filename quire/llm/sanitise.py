@@ -143,14 +143,13 @@ def totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(frozenset(t for t, in block))
 
         def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            names = wanted.value
+            names, met = wanted.value, {}  # a task's counts: at most TERMS of them
             for batch in common.slices(batches, 2000):
-                met: dict[str, int] = {}
                 for text in batch["text"].to_pylist():
                     for line in text.lower().split("\n"):
                         for t in names.intersection(WORD.findall(line)):
                             met[t] = met.get(t, 0) + 1
-                yield pa.RecordBatch.from_pydict({"term": pa.array(list(met), pa.string()), "n": pa.array(list(met.values()), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"term": pa.array(list(met), pa.string()), "n": pa.array(list(met.values()), pa.int64())})
 
         part = common.texts(docs).select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
         out = part if out is None else out.unionByName(part)
