@@ -6,9 +6,10 @@ for lines of 12 tokens or more, also what is left of it when the tokens of one t
 from the first, second or third) are taken for variable fields. Sentences of 8 tokens or more inside lines are records
 too, so a passage set into the middle of a line is found.
 
-A template recurs when enough documents of different make have it. The make of a document is its first three
-words, or its last three, with its number of lines: copies of one document mostly share one or the other, and a
-template that mostly comes with one make is the document's own text, which is left to near-duplicate removal.
+A template recurs when enough documents of different make have it. The makes of a document are its first three
+words and its last three outside the record judged, with its number of lines; each counts once, however many documents
+have it. Copies of one document mostly share one or the other with the original; a template of which hardly any two
+makes are met outside its commonest first and last ones is a document's own text, left to near-duplicate removal.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from quire.llm import common
 from quire.llm.paritysketch import C1, C2, GOLD, _powers, hashed, mix
 
 DEPTH = 3
+OTHERS = 8
 LEAST_LINE, LEAST_SENTENCE, LEAST_GENERAL = 3, 8, 12
 FIELD = np.uint64(0x5851F42D4C957F2D)
 DIGIT = np.zeros(256, bool)
@@ -36,7 +38,8 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 @dataclass
 class Records:
     """The records of some texts: per record its text, its bytes there, whether it is a whole line, and its template keys
-    (exact, and by the third taken for fields; 0 where there is none); per text its makes by first and last words."""
+    (exact, and by the third taken for fields; 0 where there is none), and the makes of its text by the first and last words
+    outside it."""
 
     owner: np.ndarray
     begin: np.ndarray
@@ -63,16 +66,21 @@ def parse(texts: list[str]) -> Records:
     digits = np.concatenate([[0], np.cumsum(DIGIT[raw])])
     words = np.where(digits[end] > digits[start], FIELD, words)
 
-    head, tail = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-    first_word, past = np.searchsorted(text, np.arange(len(texts))), np.searchsorted(text, np.arange(len(texts)), "right")
-    for k, factor in enumerate((GOLD, C1, C2)):
-        there = first_word + k < past
-        head[there] += words[first_word[there] + k] * factor
-        tail[there] += words[past[there] - 1 - k] * factor
-    makes = mix(np.stack([head, tail], axis=1) + mix(n_lines)[:, None])
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Records(none, none, none, none.astype(bool), np.zeros((0, 4), np.uint64), makes)
+        return Records(none, none, none, none.astype(bool), np.zeros((0, 4), np.uint64), np.zeros((0, 2), np.uint64))
+    first_word, past = np.searchsorted(text, np.arange(len(texts))), np.searchsorted(text, np.arange(len(texts)), "right")
+
+    def outside(first: np.ndarray, last: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        head, tail = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
+        begin, stop, size = first_word[owner], past[owner], last - first
+        for k, factor in enumerate((GOLD, C1, C2)):
+            there = begin + k + size < stop
+            at = np.where(begin + k < first, begin + k, begin + k + size)
+            head[there] += words[at[there]] * factor
+            at = np.where(stop - 1 - k >= last, stop - 1 - k, stop - 1 - k - size)
+            tail[there] += words[at[there]] * factor
+        return mix(np.stack([head, tail], axis=1) + mix(n_lines[owner])[:, None])
 
     new_line = np.diff(feeds[start], prepend=-1) != 0
     stop = np.isin(raw[end - 1], (33, 46, 63))
@@ -103,10 +111,10 @@ def parse(texts: list[str]) -> Records:
             left = total - (sums[field, last] - sums[field, first])
             keys[:, k + 1] = np.where(size >= LEAST_GENERAL, mix(at ^ mix(left * inverse[first] + np.uint64(k + 1))), 0)
         owner = text[first]
-        return owner, start[first] - at_text[owner], end[last - 1] - at_text[owner], np.full(len(first), whole), keys
+        return owner, start[first] - at_text[owner], end[last - 1] - at_text[owner], np.full(len(first), whole), keys, outside(first, last, owner)
 
     both = (table(np.flatnonzero(new_line), True, LEAST_LINE), table(np.flatnonzero(new_sentence), False, LEAST_SENTENCE))
-    return Records(*(np.concatenate(x) for x in zip(*both)), makes)
+    return Records(*(np.concatenate(x) for x in zip(*both)))
 
 
 def groups(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
@@ -150,10 +158,10 @@ def without(text: str, spans: list[tuple[int, int, bool]]) -> tuple[str, int, in
 
 
 def recurring(docs: DataFrame, least: int = 5) -> DataFrame:
-    """`(key)` of templates that documents of at least `least` makes by first or last words have, no make by either being more
-    than half of them; staged.
+    """`(key)` of templates that documents of at least `least` makes by first or last words have; of their distinct pairs of
+    makes, one of OTHERS at least has neither the commonest first nor the commonest last one. Staged.
 
-    Tasks add up their own (template, make) counts first; one shuffle by template then serves both sums.
+    Tasks count a pair once; one shuffle by template then serves both ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,23 +172,23 @@ def recurring(docs: DataFrame, least: int = 5) -> DataFrame:
                 row, column = np.nonzero(found.keys)
                 key, owner = found.keys[row, column], found.owner[row]
                 order = np.lexsort((owner, key))  # a text counts once for a template
-                key, owner = key[order], owner[order]
+                key, owner, row = key[order], owner[order], row[order]
                 once = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(owner) != 0)])[: len(key)]
                 keys.append(key[once])
-                makes.append(found.makes[owner[once]])
+                makes.append(found.makes[row[once]])
             key, make = np.concatenate(keys), np.concatenate(makes)
-            for end in (0, 1):
-                order = np.lexsort((make[:, end], key))
-                k, m = key[order], make[order, end]
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(k) != 0) | (np.diff(m) != 0)])[: len(k)])
-                count = np.diff(np.append(first, len(k)))
-                yield pa.RecordBatch.from_pydict({"key": k[first].view(np.int64), "end": np.full(len(first), end, np.int8), "make": m[first].view(np.int64), "n": count.astype(np.int32)})
-
-    counted = common.texts(docs).select("text").mapInArrow(run, "key bigint, end tinyint, make bigint, n int")
-    by_make = counted.repartition("key").groupBy("key", "end", "make").agg(F.sum("n").alias("n"))
+            order = np.lexsort((make[:, 1], make[:, 0], key))
+            key, make = key[order], make[order]
+            first = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(make, axis=0) != 0).any(axis=1)])[: len(key)]
+            yield pa.RecordBatch.from_pydict({"key": key[first].view(np.int64), "head": make[first, 0].view(np.int64), "tail": make[first, 1].view(np.int64)})
+
+    met = common.texts(docs).select("text").mapInArrow(run, "key bigint, head bigint, tail bigint")
+    pairs = met.repartition("key").groupBy("key", "head", "tail").agg(F.lit(1).alias("one"))
+    ends = pairs.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("end"), F.col(c).alias("make")) for i, c in enumerate(("head", "tail"))])).alias("m")).select("key", "m.*")
+    by_make = ends.groupBy("key", "end", "make").agg(F.count(F.lit(1)).alias("n"))
     by_end = by_make.groupBy("key", "end").agg(F.count(F.lit(1)).alias("makes"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    found = by_end.groupBy("key").agg(F.max("makes").alias("makes"), F.bool_and(2 * F.col("most") <= F.col("n")).alias("mixed"))
-    return common.staged(found.where(f"mixed and makes >= {least}").select("key"), "templates")
+    found = by_end.groupBy("key").agg(F.max("makes").alias("makes"), F.max("n").alias("n"), F.sum("most").alias("most"))
+    return common.staged(found.where(f"makes >= {least} and {OTHERS} * (n - most) >= n").select("key"), "templates")
 
 
 def flagged(docs: DataFrame, templates: DataFrame) -> DataFrame:

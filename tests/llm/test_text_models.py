@@ -71,6 +71,21 @@ def test_templates(logs):
         assert got[i]["text"] == texts[i] and got[i]["dropped_lines"] == 0
 
 
+def test_templates_count_makes_not_copies(spark):
+    passage = "This license passage is granted to any person who obtains a copy."
+    copied = f"The copied document starts here\n{passage}\nand it ends in just these words"
+    words = ["amber", "birch", "cedar", "daisy", "elder", "fern", "gorse", "hazel"]
+    rows = [(i, copied) for i in range(100)]
+    rows += [(100 + i, f"{w} opens this page\n{passage}\nthis page closes with {w}") for i, w in enumerate(words)]
+    header = "All pages of this one house begin with just these words."
+    rows += [(200 + i, f"{header} {w} alone is what follows here and then comes {w}") for i, w in enumerate(words)]
+    got = {r["doc_id"]: r["text"] for r in linetemplates.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, w in enumerate(words):
+        assert got[100 + i] == f"{w} opens this page\nthis page closes with {w}"
+        assert got[200 + i] == f"{w} alone is what follows here and then comes {w}"
+    assert all("license" not in got[i] and "starts here" in got[i] for i in range(100))  # its own lines stay
+
+
 NAIVE = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
