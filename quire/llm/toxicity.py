@@ -21,6 +21,8 @@ from quire.llm import common, pieces
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
 WINDOW = 16
+# Windows whose words are gathered at a time in training.
+BLOCK = 1 << 15
 
 
 @lru_cache(maxsize=1)
@@ -105,9 +107,9 @@ class Model:
         return np.where(np.isnan(out), self.bias, out)
 
 
-def _windows(texts: list[str], most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Training input: n-grams of each distinct word, the words of each window, and the text of each window; at most
-    `most` windows of a text, evenly spaced."""
+def _windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Training input: n-grams of each distinct word, the words of each window and their number, the text of each window;
+    all windows of every text."""
     seen: dict[int, int] = {}
     words: list[np.ndarray] = []
     win_words, win_text = [], []
@@ -128,8 +130,6 @@ def _windows(texts: list[str], most: int) -> tuple[list[np.ndarray], np.ndarray,
         heads = np.flatnonzero(np.diff(owner, prepend=-1))
         for a, b in zip(heads, np.append(heads[1:], len(owner))):
             starts = np.arange(a, b, WINDOW)
-            if len(starts) > most:
-                starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
             for s in starts:
                 win_words.append(np.unique(ids[s : min(s + WINDOW, b)]))
                 win_text.append(first + owner[a])
@@ -137,7 +137,7 @@ def _windows(texts: list[str], most: int) -> tuple[list[np.ndarray], np.ndarray,
     return words, np.concatenate(win_words) if win_words else np.zeros(0, np.int64), sizes, np.array(win_text, np.int64)
 
 
-def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rate: float = 0.6, windows: int = 32, least: int = 8, decay: float = 3e-7, seed: int = 5) -> Model:
+def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rate: float = 0.6, least: int = 8, decay: float = 3e-7, seed: int = 5) -> Model:
     """Train on whole texts with labels 0 and 1. Without both labels every text gets the share of label 1.
 
     The first quarter of the epochs spreads a text's label over its windows; then each text is judged by its most
@@ -148,7 +148,7 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    words, win_words, win_sizes, win_text = _windows(texts, windows)
+    words, win_words, win_sizes, win_text = _windows(texts)
     if not len(win_text):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
     rng = np.random.default_rng(seed)
@@ -156,6 +156,8 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
     n_words = len(words)
     gram_sizes = np.fromiter(map(len, words), np.int64, len(words))
     win_begin = np.cumsum(win_sizes) - win_sizes
+    bounds = np.append(win_begin, len(win_words))
+    blocks = [(a, min(a + BLOCK, len(win_sizes))) for a in range(0, len(win_sizes), BLOCK)]
     win_of_word = np.repeat(np.arange(len(win_sizes)), win_sizes)
     word_of_gram = np.repeat(np.arange(len(words), dtype=np.int32), gram_sizes)
     # The texts of each word, then of each bucket; only buckets of enough texts are trained.
@@ -179,7 +181,7 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
     for epoch in range(epochs):
         word_vec = np.zeros((n_words, dim), np.float32)
         word_vec[at_word] = np.add.reduceat(vectors[flat], first_gram) / gram_sizes[at_word, None].astype(np.float32)
-        mean = np.add.reduceat(word_vec[win_words], win_begin) / np.float32(WINDOW)
+        mean = np.concatenate([np.add.reduceat(word_vec[win_words[bounds[a] : bounds[b]]], win_begin[a:b] - bounds[a]) for a, b in blocks]) / np.float32(WINDOW)
         logit = mean @ output + bias
         gap = logit[:, 1] - logit[:, 0]
         p = 1 / (1 + np.exp(-gap))
@@ -193,8 +195,11 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
         error = ((p - y[win_text]) * weight).astype(np.float32)
         d_logit = np.stack([-error, error], axis=1)
         d_mean = (d_logit @ output.T) / np.float32(WINDOW)
-        touched = np.flatnonzero(np.repeat(weight > 0, win_sizes))
-        d_word = np.stack([np.bincount(win_words[touched], d_mean[win_of_word[touched], k], n_words) for k in range(dim)], axis=1)
+        d_word = np.zeros((n_words, dim))
+        for a, b in blocks:
+            touched = bounds[a] + np.flatnonzero(np.repeat(weight[a:b] > 0, win_sizes[a:b]))
+            for k in range(dim if len(touched) else 0):
+                d_word[:, k] += np.bincount(win_words[touched], d_mean[win_of_word[touched], k], n_words)
         d_word = (d_word / gram_sizes[:, None]).astype(np.float32)
         d_vec = np.add.reduceat(d_word[word_by_bucket], first_use) + np.float32(decay) * vectors
         grads = [d_vec, mean.T @ d_logit, d_logit.sum(axis=0)]

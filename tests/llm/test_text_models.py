@@ -29,6 +29,16 @@ def test_toxicity_without_both_labels():
     assert toxicity.fit(["a"], [0]).logits(["b", ""]).tolist() == toxicity.fit([], []).logits(["b", ""]).tolist()
 
 
+def test_toxicity_learns_from_every_window():
+    rng = np.random.default_rng(3)
+    texts = [[f"plain{'abcdefghijklmnop'[j]}" for j in rng.integers(0, 16, 60 * toxicity.WINDOW)] for _ in range(40)]
+    for words in texts[:20]:
+        words[2 * toxicity.WINDOW + 5] = "moron"  # in one window of sixty
+    model = toxicity.fit([" ".join(w) for w in texts], [1] * 20 + [0] * 20)
+    said = model.logits([" ".join(w[2 * toxicity.WINDOW : 3 * toxicity.WINDOW]) for w in texts])
+    assert said[:20].min() > 0 > said[20:].max()
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = common.remainder("doc_id", 4) == 2
