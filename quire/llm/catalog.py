@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytepairs, common, languages, linetemplates, merkle, paritysketch, phraseindex, sanitise, secretscan, tokenfiles, toxicity
+from quire.llm import bytepairs, common, importance, languages, linetemplates, merkle, paritysketch, phraseindex, repeats, sanitise, secretscan, tokenfiles, toxicity, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,19 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_personal_data")
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return sanitise.digest(table(spark, folder, "documents"))
+
+
+@query("op11_importance", importance.RESAMPLING_SQL)
+def importance_draw(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.drawn(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_url_rules", urlrules.JUDGED_SQL)
+def url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return urlrules.judged(pages, urlrules.page_labels(pages, table(spark, folder, "labels")), urlrules.rule_table(pages, urlrules.RULES))
+
+
+@query("op13_word_runs", repeats.RUNS_SQL)
+def word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digests(table(spark, folder, "documents"))
