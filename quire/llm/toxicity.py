@@ -21,8 +21,8 @@ from quire.llm import common, pieces
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
 WINDOW = 16
-# Windows whose words are gathered at a time in training.
-BLOCK = 1 << 15
+# In training: code points cut into n-grams at a time, windows or n-grams summed at a time.
+PART, BLOCK, GRAMS = 1 << 16, 1 << 13, 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -107,81 +107,132 @@ class Model:
         return np.where(np.isnan(out), self.bias, out)
 
 
-def _windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Training input: n-grams of each distinct word, the words of each window and their number, the text of each window;
-    all windows of every text."""
+@dataclass
+class _Sample:
+    """Training input: the n-grams of each distinct word one after the other (`flat`, with the word of each), words in
+    how many texts, and all windows as rows of 16 word numbers, the number of words where a row has no more."""
+
+    flat: np.ndarray
+    word_of_gram: np.ndarray
+    texts_with: np.ndarray
+    windows: np.ndarray
+    text_of: np.ndarray
+
+
+def _encoded(texts: list[str]) -> _Sample:
+    """All windows of every text. `texts` is emptied: a text is let go once its words are numbered."""
     seen: dict[int, int] = {}
-    words: list[np.ndarray] = []
-    win_words, win_text = [], []
-    for first, _, group in common.chunks(texts):
+    flat, sizes, windows, text_of = [], [], [], []
+    texts_with = np.zeros(1 << 12, np.int32)
+
+    def close(at: int, parts: list[np.ndarray]) -> None:
+        nonlocal texts_with
+        ids = np.concatenate(parts)
+        if len(seen) > len(texts_with):
+            texts_with = np.concatenate([texts_with, np.zeros(len(seen), np.int32)])
+        texts_with[np.unique(ids)] += 1
+        rows = np.full(-(-len(ids) // WINDOW) * WINDOW, -1, np.int32)
+        rows[: len(ids)] = ids
+        rows = np.sort(rows.reshape(-1, WINDOW), axis=1)
+        rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = -1  # a word counts once in a window
+        windows.append(rows)
+        text_of.append(np.full(len(rows), at, np.int32))
+
+    open_at, open_parts = -1, []
+    for first, _, group in common.chunks(texts, PART):
         bucket, begin, owner, hashed = grams(group)
+        for k in range(first, first + len(group)):
+            texts[k] = ""
         if not len(begin):
             continue
-        end = np.append(begin[1:], len(bucket))
-        unique, at = np.unique(hashed, return_index=True)
-        number = np.empty(len(unique), np.int64)
-        for j, (h, i) in enumerate(zip(unique.tolist(), at.tolist())):
+        length = np.diff(np.append(begin, len(bucket)))
+        unique, at, back = np.unique(hashed, return_index=True, return_inverse=True)
+        number = np.empty(len(unique), np.int32)
+        fresh = []
+        for j, h in enumerate(unique.tolist()):
             k = seen.get(h)
             if k is None:
-                k = seen[h] = len(words)
-                words.append(bucket[begin[i] : end[i]])
+                k = seen[h] = len(seen)
+                fresh.append(at[j])
             number[j] = k
-        ids = number[np.searchsorted(unique, hashed)]
+        for i in fresh:
+            flat.append(bucket[begin[i] : begin[i] + length[i]].tobytes())
+        if len(fresh):
+            flat = [b"".join(flat)] if len(flat) > 1 << 14 else flat
+            sizes.append(length[fresh].astype(np.int32))
+        ids = number[back]
         heads = np.flatnonzero(np.diff(owner, prepend=-1))
-        for a, b in zip(heads, np.append(heads[1:], len(owner))):
-            starts = np.arange(a, b, WINDOW)
-            for s in starts:
-                win_words.append(np.unique(ids[s : min(s + WINDOW, b)]))
-                win_text.append(first + owner[a])
-    sizes = np.fromiter(map(len, win_words), np.int64, len(win_words))
-    return words, np.concatenate(win_words) if win_words else np.zeros(0, np.int64), sizes, np.array(win_text, np.int64)
+        for a, b in zip(heads.tolist(), np.append(heads[1:], len(owner)).tolist()):
+            text = first + int(owner[a])
+            if text != open_at and open_parts:
+                close(open_at, open_parts)
+                open_parts = []
+            open_at = text
+            open_parts.append(ids[a:b])
+    if open_parts:
+        close(open_at, open_parts)
+    n_words = len(seen)
+    every = np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.int32)
+    every[every < 0] = n_words
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
+    owner = np.concatenate(text_of) if text_of else np.zeros(0, np.int32)
+    return _Sample(np.frombuffer(b"".join(flat), np.int32), np.repeat(np.arange(n_words, dtype=np.int32), size), texts_with[:n_words], every, owner)
+
+
+def _summed(into: np.ndarray, out_of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of `values` numbered `out_of`, added up under the numbers `into`, some at a time."""
+    out = np.zeros((n, values.shape[1]))
+    for a in range(0, len(into), GRAMS):
+        some, rows = into[a : a + GRAMS], out_of[a : a + GRAMS]
+        for k in range(values.shape[1]):
+            out[:, k] += np.bincount(some, values[rows, k], n)
+    return out
 
 
 def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rate: float = 0.6, least: int = 8, decay: float = 3e-7, seed: int = 5) -> Model:
-    """Train on whole texts with labels 0 and 1. Without both labels every text gets the share of label 1.
+    """Train on whole texts with labels 0 and 1; `texts` is emptied. Without both labels every text gets the share of label 1.
 
     The first quarter of the epochs spreads a text's label over its windows; then each text is judged by its most
     toxic window, as in scoring. Softmax loss with `decay` on the vectors, Adam steps over all texts. N-grams of fewer
-    than `least` texts keep a zero vector: they say nothing about texts to come.
+    than `least` texts keep a zero vector: they say nothing about texts to come. All windows are held, 64 bytes each;
+    what is worked out from them is held for `BLOCK` windows or `GRAMS` n-grams.
     """
     y = np.asarray(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    words, win_words, win_sizes, win_text = _windows(texts)
+    sample = _encoded(texts)
+    windows, win_text, n_words = sample.windows, sample.text_of, len(sample.texts_with)
     if not len(win_text):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
     rng = np.random.default_rng(seed)
-    flat = np.concatenate(words)
-    n_words = len(words)
-    gram_sizes = np.fromiter(map(len, words), np.int64, len(words))
-    win_begin = np.cumsum(win_sizes) - win_sizes
-    bounds = np.append(win_begin, len(win_words))
-    blocks = [(a, min(a + BLOCK, len(win_sizes))) for a in range(0, len(win_sizes), BLOCK)]
-    win_of_word = np.repeat(np.arange(len(win_sizes)), win_sizes)
-    word_of_gram = np.repeat(np.arange(len(words), dtype=np.int32), gram_sizes)
-    # The texts of each word, then of each bucket; only buckets of enough texts are trained.
-    pair = np.unique(win_words * len(y) + win_text[win_of_word])
-    in_texts = np.bincount(flat, np.bincount(pair // len(y), minlength=len(words))[word_of_gram], BUCKETS)
+    flat, word_of_gram = sample.flat, sample.word_of_gram
+    gram_sizes = np.maximum(np.bincount(word_of_gram, minlength=n_words), 1)[:, None]
+    # Only buckets of enough texts are trained.
+    in_texts = np.zeros(BUCKETS)
+    for a in range(0, len(flat), GRAMS):
+        in_texts += np.bincount(flat[a : a + GRAMS], sample.texts_with[word_of_gram[a : a + GRAMS]], BUCKETS)
     used = np.flatnonzero(in_texts >= least)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    kept = place[flat] >= 0
-    flat, word_of_gram = place[flat[kept]], word_of_gram[kept]
+    flat = place[flat]
+    kept = flat >= 0
+    flat, word_of_gram = flat[kept], word_of_gram[kept]
+    del sample, in_texts, kept
     vectors = rng.normal(0, 0.05, (len(used), dim)).astype(np.float32)
-    by_bucket = np.argsort(flat, kind="stable").astype(np.int32)
-    word_by_bucket, first_use = word_of_gram[by_bucket], np.searchsorted(flat[by_bucket], np.arange(len(used)))
-    del words, in_texts, pair, kept
-    at_word, first_gram = np.unique(word_of_gram, return_index=True)
     output, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     state = [np.zeros_like(p) for p in (vectors, vectors, output, output, bias, bias)]
     balance = np.full(len(y), 1 / len(y))
     per_text = np.bincount(win_text, minlength=len(y))
     heads = np.flatnonzero(np.diff(win_text, prepend=-1))
+    counts = np.diff(np.append(heads, len(win_text)))
+    blocks = [(a, min(a + BLOCK, len(windows))) for a in range(0, len(windows), BLOCK)]
+    mean = np.empty((len(windows), dim), np.float32)
     for epoch in range(epochs):
-        word_vec = np.zeros((n_words, dim), np.float32)
-        word_vec[at_word] = np.add.reduceat(vectors[flat], first_gram) / gram_sizes[at_word, None].astype(np.float32)
-        mean = np.concatenate([np.add.reduceat(word_vec[win_words[bounds[a] : bounds[b]]], win_begin[a:b] - bounds[a]) for a, b in blocks]) / np.float32(WINDOW)
+        word_vec = np.zeros((n_words + 1, dim), np.float32)  # the last stands for no word
+        word_vec[:n_words] = _summed(word_of_gram, flat, vectors, n_words) / gram_sizes
+        for a, b in blocks:
+            mean[a:b] = word_vec[windows[a:b]].sum(axis=1) / np.float32(WINDOW)
         logit = mean @ output + bias
         gap = logit[:, 1] - logit[:, 0]
         p = 1 / (1 + np.exp(-gap))
@@ -189,19 +240,17 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
             weight = balance[win_text] / per_text[win_text]
         else:
             top = np.maximum.reduceat(gap, heads)
-            chosen = np.zeros(len(gap), bool)
-            chosen[gap == np.repeat(top, np.diff(np.append(heads, len(gap))))] = True
-            weight = np.where(chosen, balance[win_text], 0)
+            weight = np.where(gap == np.repeat(top, counts), balance[win_text], 0)
         error = ((p - y[win_text]) * weight).astype(np.float32)
         d_logit = np.stack([-error, error], axis=1)
         d_mean = (d_logit @ output.T) / np.float32(WINDOW)
-        d_word = np.zeros((n_words, dim))
+        d_word = np.zeros((n_words + 1, dim))
         for a, b in blocks:
-            touched = bounds[a] + np.flatnonzero(np.repeat(weight[a:b] > 0, win_sizes[a:b]))
+            touched = a + np.flatnonzero(weight[a:b] > 0)
             for k in range(dim if len(touched) else 0):
-                d_word[:, k] += np.bincount(win_words[touched], d_mean[win_of_word[touched], k], n_words)
-        d_word = (d_word / gram_sizes[:, None]).astype(np.float32)
-        d_vec = np.add.reduceat(d_word[word_by_bucket], first_use) + np.float32(decay) * vectors
+                d_word[:, k] += np.bincount(windows[touched].ravel(), np.repeat(d_mean[touched, k], WINDOW), n_words + 1)
+        d_word = (d_word[:n_words] / gram_sizes).astype(np.float32)
+        d_vec = _summed(flat, word_of_gram, d_word, len(used)).astype(np.float32) + np.float32(decay) * vectors
         grads = [d_vec, mean.T @ d_logit, d_logit.sum(axis=0)]
         for j, (value, grad) in enumerate(zip((vectors, output, bias), grads)):
             m, v = state[2 * j], state[2 * j + 1]
@@ -218,15 +267,18 @@ def fit(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 50, rat
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, max_docs: int = 800) -> Model:
     """Fit on labelled documents for which `learnable` (over doc_id) holds: at most `max_docs` toxic and three times as many
-    clean ones, those whose hashed id is least, so the choice does not hang on file order. Rows with a null label, id or text teach nothing."""
+    clean ones, those whose hashed id is least, so the choice does not hang on file order. Of the rows of one id the least
+    text teaches. Rows with a null label, id or text teach nothing."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     rows = docs.select("doc_id", "text").where(learnable & F.col("text").isNotNull())
     picked = None
     for label in (0, 1):
         some = known.where(F.col("_toxic") == label).where(learnable).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs if label else 3 * max_docs)
         picked = some if picked is None else picked.unionByName(some)
-    sample = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_toxic").limit(8 * max_docs).toPandas().sort_values(["doc_id", "text"])
-    return fit(sample["text"].tolist(), sample["_toxic"].tolist())
+    sample = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic")).toPandas().sort_values("doc_id")
+    texts, labels = sample["text"].tolist(), sample["_toxic"].tolist()
+    del sample
+    return fit(texts, labels)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
