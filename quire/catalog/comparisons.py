@@ -67,9 +67,36 @@ def _token_versions(spark, folder):
     return a, b
 
 
-@query("D3_word_diff")
+def _grown_versions(spark, folder):
+    """Two versions of the documents: words of its own before every eleventh token, others before every 13th."""
+    tokens = cut(units.number_tokens(units.compare_tokens(derived.words(spark, folder), boxes=False))).withColumn("_at", F.col("pos") + F.col("doc_id"))
+
+    def grown(every: int, mark: str):
+        before = F.floor(F.col("_at") / every) + 1 - F.floor((F.col("doc_id") + (every - 1)) / every)  # own words up to this token
+        own = F.concat(F.lit(mark), F.col("pos").cast("string"))
+        both = F.when(F.col("_at") % every == 0, F.array(F.struct((F.col("pos") + before - 1).alias("pos"), own.alias("token"), own.alias("folded")))).otherwise(F.array())
+        kept = F.array(F.struct((F.col("pos") + before).alias("pos"), "token", "folded"))
+        return tokens.select(F.col("doc_id").alias("pair_id"), F.explode(F.concat(both, kept)).alias("_t")).select("pair_id", "_t.*")
+
+    return grown(11, "\u0001a"), grown(13, "\u0001b")
+
+
+# The one shortest script keeps every token of the documents: no other word stands in both versions.
+_GROWN = TOKENS + """,
+placed AS (
+  SELECT doc_id, token, pos, (pos + doc_id) // 11 + 1 - (doc_id + 10) // 11 AS own_a, (pos + doc_id) // 13 + 1 - (doc_id + 12) // 13 AS own_b,
+         ((pos + doc_id) % 11 = 0)::BIGINT AS in_a, ((pos + doc_id) % 13 = 0)::BIGINT AS in_b
+  FROM tokens)"""
+
+
+@query("D3_word_diff", f"""
+WITH {_GROWN}
+SELECT doc_id AS pair_id, '=' AS op, pos + own_a AS i, pos + own_b AS j FROM placed
+UNION ALL SELECT doc_id, '-', pos + own_a - 1, pos + own_b - in_b FROM placed WHERE in_a = 1
+UNION ALL SELECT doc_id, '+', pos + own_a, pos + own_b - 1 FROM placed WHERE in_b = 1
+""")
 def word_diff(spark, folder):
-    return compare.diff_words(*_token_versions(spark, folder))
+    return compare.diff_words(*_grown_versions(spark, folder))
 
 
 @query("D3_edit_counts", f"""
@@ -99,9 +126,15 @@ def coverage(spark, folder):
     return compare.word_coverage(a, b).withColumn("coverage", F.coalesce(F.round("coverage", 6), F.lit(-1.0)))
 
 
-@query("D5_change_runs")
+@query("D5_change_runs", f"""
+WITH {_GROWN}
+SELECT doc_id AS pair_id, pos AS run, CASE WHEN in_a = 0 THEN 'Inserted' WHEN in_b = 0 THEN 'Deleted' ELSE 'Replaced' END AS kind,
+       pos + own_a - in_a AS i, pos + own_b - in_b AS j, in_a AS deleted, in_b AS inserted,
+       CASE WHEN in_a = 1 THEN chr(1) || 'a' || pos ELSE '' END AS old_text, CASE WHEN in_b = 1 THEN chr(1) || 'b' || pos ELSE '' END AS new_text
+FROM placed WHERE in_a + in_b > 0
+""")
 def change_runs(spark, folder):
-    a, b = _token_versions(spark, folder)
+    a, b = _grown_versions(spark, folder)
     return compare.change_runs(compare.diff_words(a, b), a, b)
 
 

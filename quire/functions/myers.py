@@ -77,3 +77,65 @@ def edit_script(a: np.ndarray, b: np.ndarray) -> list[tuple[str, int, int]]:
         parts.append((i + x, to_i, j + y, to_j))
         parts.append((i, i + x, j, j + y))
     return out
+
+
+# Parts of so many cells are worked out as a table.
+TABLE = 1 << 12
+
+
+def _by_table(a: list, b: list) -> list[tuple[str, int, int]]:
+    n, m = len(a), len(b)
+    left = [[0] * (m + 1) for _ in range(n + 1)]  # tokens kept from here on
+    for i in range(n - 1, -1, -1):
+        row, under = left[i], left[i + 1]
+        for j in range(m - 1, -1, -1):
+            row[j] = under[j + 1] + 1 if a[i] == b[j] else max(under[j], row[j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append(("=", i, j))
+            i, j = i + 1, j + 1
+        elif left[i + 1][j] >= left[i][j + 1]:
+            out.append(("-", i, j))
+            i += 1
+        else:
+            out.append(("+", i, j))
+            j += 1
+    return out + [("-", k, j) for k in range(i, n)] + [("+", n, k) for k in range(j, m)]
+
+
+def _deletions_first(script: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Between two kept tokens, deletions (at the first j) before insertions (at the last i)."""
+    out, gone, come = [], [], []
+    for step in [*script, ("=", -1, -1)]:
+        if step[0] == "-":
+            gone.append(step)
+        elif step[0] == "+":
+            come.append(step)
+        else:
+            if gone or come:
+                i, j = min(s[1] for s in gone + come), min(s[2] for s in gone + come)
+                out += [("-", s[1], j) for s in gone] + [("+", i + len(gone), s[2]) for s in come]
+                gone, come = [], []
+            out.append(step)
+    return out[:-1]
+
+
+def gap_script(a: list, b: list) -> list[tuple[str, int, int]]:
+    """A shortest script between two lists of tokens, deletions first between kept tokens."""
+    head, tail = 0, 0
+    while head < len(a) and head < len(b) and a[head] == b[head]:
+        head += 1
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not x or not y or set(x).isdisjoint(y):
+        inner = [("-", k, 0) for k in range(len(x))] + [("+", len(x), k) for k in range(len(y))]
+    elif len(x) * len(y) <= TABLE:
+        inner = _by_table(x, y)
+    else:
+        codes = {t: k for k, t in enumerate(dict.fromkeys(x + y))}
+        inner = edit_script(np.array([codes[t] for t in x]), np.array([codes[t] for t in y]))
+    return _deletions_first(
+        [("=", k, k) for k in range(head)] + [(op, i + head, j + head) for op, i, j in inner]
+        + [("=", len(a) - k, len(b) - k) for k in range(tail, 0, -1)])

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.myers import edit_script
-from quire.plans import blocks
+from quire.functions.myers import gap_script
+from quire.plans import blocks, chains
 from quire.plans.checkpoints import cut
 
 PAGE = ("doc_id", "page_no")
@@ -73,74 +73,104 @@ def word_coverage(a: DataFrame, b: DataFrame, key: str = "doc_id", word: str = "
 
 
 _SCRIPT = "pair_id long, op string, i long, j long"
+# Neighbouring tokens that make an anchor where they stand once in A and once in B.
+ANCHOR = 3
 
 
-def _span_script(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    left, right = left.sort_values("pos"), right.sort_values("pos")
-    codes, _ = pd.factorize(pd.concat([left["folded"], right["folded"]], ignore_index=True))
-    script = edit_script(codes[: len(left)], codes[len(left):])
-    some = left if len(left) else right
-    i0, j0 = int(some["i0"].iloc[0]), int(some["j0"].iloc[0])
-    ops, i, j = zip(*script)
-    return pd.DataFrame({"pair_id": some["pair_id"].iloc[0], "op": ops, "i": np.asarray(i) + i0, "j": np.asarray(j) + j0})
+def _anchors(both: DataFrame, width: int = 4096) -> DataFrame:
+    """`(pair_id, i, j)`: where three tokens in a row stand once in A and once in B.
 
-
-def diff_words(a: DataFrame, b: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """The word-level edit script of every pair of token lists `(pair_id, pos, folded)`.
-
-    op is '=', '-' or '+', with positions i in A and j in B. Common beginnings and endings are found by
-    joins on position; only the span between them, one per pair, goes to the edit algorithm.
+    Tokens go to blocks of positions with the first two of the next block, so windows look ahead inside a block.
+    """
+    own = F.floor(F.col("pos") / width)
+    early = (F.col("pos") % width < ANCHOR - 1) & (own > 0)
+    dealt = both.withColumn(blocks.BLOCK, F.explode(F.when(early, F.array(own - 1, own)).otherwise(F.array(own))))
+    ahead = W.partitionBy("pair_id", "side", blocks.BLOCK).orderBy("pos")
+    grams = dealt.withColumns({f"_t{k}": F.lead("folded", k).over(ahead) for k in range(1, ANCHOR)}).where(F.col(blocks.BLOCK) == own)
+    grams = grams.where(F.col(f"_t{ANCHOR - 1}").isNotNull())
+    in_b = F.col("side") == 1
+    once = grams.groupBy("pair_id", "folded", *[f"_t{k}" for k in range(1, ANCHOR)]).agg(
+        F.count_if(~in_b).alias("_a"), F.count_if(in_b).alias("_b"), F.max(F.when(~in_b, F.col("pos"))).alias("i"), F.max(F.when(in_b, F.col("pos"))).alias("j"))
+    return once.where("_a = 1 and _b = 1").select("pair_id", "i", "j")
+
+
+def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs, ops, left, right = [], [], [], []
+        for row in batch.to_pylist():
+            for op, i, j in gap_script(row["a"], row["b"]):
+                pairs.append(row["pair_id"])
+                ops.append(op)
+                left.append(row["i0"] + i)
+                right.append(row["j0"] + j)
+        yield pa.RecordBatch.from_pydict({"pair_id": pa.array(pairs, pa.int64()), "op": pa.array(ops, pa.string()), "i": pa.array(left, pa.int64()), "j": pa.array(right, pa.int64())})
+
+
+def diff_words(a: DataFrame, b: DataFrame, ignore_case: bool = False, width: int = 65536) -> DataFrame:
+    """The word-level edit script of every pair of token lists `(pair_id, pos, folded)`, positions from 0.
+
+    op is '=', '-' or '+', with positions i in A and j in B; between kept tokens deletions come first. Three tokens in a row
+    that stand once on both sides are anchors; a longest chain of them is kept, and each gap between two neighbours of the
+    chain is a row of its own, for which a shortest script is found. Text moved elsewhere is deleted and inserted.
     """
     text = F.lower("folded") if ignore_case else F.col("folded")
-    # Both lists are read several times below; written once, they are not worked out again.
-    a, b = (cut(df.select("pair_id", "pos", text.alias("folded"))) for df in (a, b))
-    sizes = (
-        a.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).join(b.groupBy("pair_id").agg(F.count(F.lit(1)).alias("m")), "pair_id", "full_outer")
-        .select("pair_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+    side = lambda df, k: df.select("pair_id", F.col("pos").cast("long").alias("pos"), text.alias("folded"), F.lit(k).alias("side"))
+    both = cut(side(a, 0).unionByName(side(b, 1)))  # read three times below
+    chain = chains.longest(cut(_anchors(both)), ["pair_id"], width)
+    # The end of both lists closes the last gap.
+    ends = both.groupBy("pair_id").agg(F.count_if(F.col("side") == 0).alias("i"), F.count_if(F.col("side") == 1).alias("j"), F.lit(True).alias("_end"))
+    steps = cut(blocks.scan(
+        blocks.by_value(chain.withColumn("_end", F.lit(False)).unionByName(ends), "i", width), ["pair_id"], ["i", "_end"], _pi=("prev", "i"), _pj=("prev", "j")))
+    # The tokens of an anchor after its first are equal too, as far as the next anchor.
+    known = F.when(F.col("_pi").isNull(), 0).otherwise(F.least(F.lit(ANCHOR - 1), F.col("i") - F.col("_pi") - 1, F.col("j") - F.col("_pj") - 1))
+    gaps = (
+        steps.withColumn("_known", known)
+        .withColumn("i0", F.coalesce(F.col("_pi") + 1 + F.col("_known"), F.lit(0))).withColumn("j0", F.coalesce(F.col("_pj") + 1 + F.col("_known"), F.lit(0)))
+        .withColumn("_da", F.col("i") - F.col("i0")).withColumn("_db", F.col("j") - F.col("j0"))
     )
-
-    def first_difference(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-        both = left.withColumnRenamed("folded", "_l").join(right.withColumnRenamed("folded", "_r"), ["pair_id", "pos"], "full_outer")
-        return both.where(~F.col("_l").eqNullSafe(F.col("_r"))).groupBy("pair_id").agg(F.min("pos").alias(name))
-
-    from_end = lambda df, size: df.join(sizes.select("pair_id", size), "pair_id").select("pair_id", (F.col(size) - 1 - F.col("pos")).alias("pos"), "folded")
-    spans = (
-        sizes.join(first_difference(a, b, "_prefix"), "pair_id", "left")
-        .join(first_difference(from_end(a, "n"), from_end(b, "m"), "_suffix"), "pair_id", "left")
-        .withColumn("i0", F.coalesce("_prefix", F.least("n", "m")))
-        .withColumn("tail", F.least(F.coalesce("_suffix", F.least("n", "m")), F.least("n", "m") - F.col("i0")))
-        .select("pair_id", "n", "m", "i0", F.col("i0").alias("j0"), "tail")
-    )
-    spans = cut(spans)  # one row per pair, read three times below
-    placed_a = a.join(spans, "pair_id")
-    same = placed_a.where("pos < i0 or pos >= n - tail").select(
-        "pair_id", F.lit("=").alias("op"), F.col("pos").alias("i"),
-        F.when(F.col("pos") < F.col("i0"), F.col("pos")).otherwise(F.col("pos") + F.col("m") - F.col("n")).alias("j"),
-    )
-    mid_a = placed_a.where("pos >= i0 and pos < n - tail").select("pair_id", "pos", "folded", "i0", "j0")
-    mid_b = b.join(spans, "pair_id").where("pos >= j0 and pos < m - tail").select("pair_id", "pos", "folded", "i0", "j0").toDF("pair_id", "pos", "folded", "i0", "j0")
-    middle = mid_a.groupBy("pair_id").cogroup(mid_b.groupBy("pair_id")).applyInPandas(_span_script, _SCRIPT)
-    return same.unionByName(middle)
+    return _joined_script(both, gaps)
+
+
+def _joined_script(both: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Rows of the script: kept anchors, gaps with tokens on one side, and searched gaps."""
+    step = lambda op, i, j: F.struct(F.lit(op).alias("op"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    long = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    whole = (F.col("_da") == 0) | (F.col("_db") == 0)
+    plain = gaps.select("pair_id", F.explode(F.concat(
+        F.transform(upto(F.col("_known")), lambda k: step("=", F.col("i0") - k, F.col("j0") - k)),
+        F.when(whole, F.transform(long(F.col("_da")), lambda k: step("-", F.col("i0") + k, F.col("j0")))).otherwise(F.array()),
+        F.when(whole, F.transform(long(F.col("_db")), lambda k: step("+", F.col("i"), F.col("j0") + k))).otherwise(F.array()),
+        F.when(~F.col("_end"), F.array(step("=", F.col("i"), F.col("j")))).otherwise(F.array()),
+    )).alias("_step")).select("pair_id", "_step.op", "_step.i", "_step.j")
+    mixed = gaps.where(~whole)
+    places = lambda k, at, n: mixed.select("pair_id", "i0", "j0", F.lit(k).alias("side"), F.explode(F.sequence(F.col(at), F.col(at) + F.col(n) - 1)).alias("pos"))
+    wanted = places(0, "i0", "_da").unionByName(places(1, "j0", "_db"))
+    tokens = F.array_sort(F.collect_list(F.struct("side", "pos", "folded")))
+    text = lambda k: F.transform(F.filter("_tokens", lambda t: t["side"] == k), lambda t: t["folded"])
+    rows = both.join(wanted, ["pair_id", "side", "pos"]).groupBy("pair_id", "i0", "j0").agg(tokens.alias("_tokens"))
+    searched = rows.select("pair_id", "i0", "j0", text(0).alias("a"), text(1).alias("b")).mapInArrow(_scripts, _SCRIPT)
+    return plain.unionByName(searched)
 
 
 def change_runs(diff: DataFrame, a: DataFrame, b: DataFrame, width: int = 65536) -> DataFrame:
     """Neighbouring insertions and deletions as one change: Inserted, Deleted or Replaced, old text to new text.
 
-    A run is known by the number of kept words before it, which no other run of the pair shares.
+    `run` is the number of kept words before it, which no other run of the pair shares. Deletions of a run share their j
+    and insertions their i, one beyond the last deletion, so both halves are found and joined without looking at kept words.
     """
-    steps = cut(diff).withColumn("_keep", (F.col("op") == "=").cast("long")).withColumn("_at", F.col("i") + F.col("j"))
-    marked = blocks.scan(blocks.by_value(steps, "_at", width), ["pair_id"], ["_at", "i", "op"], run=("sum", "_keep"))
-    changed = marked.where("op <> '='")
-    olds = changed.where("op = '-'").join(a.select("pair_id", F.col("pos").alias("i"), F.col("token").alias("_t")), ["pair_id", "i"])
-    news = changed.where("op = '+'").join(b.select("pair_id", F.col("pos").alias("j"), F.col("token").alias("_t")), ["pair_id", "j"])
-    parts = olds.select("pair_id", "run", "i", "j", "_t", F.lit(True).alias("_old")).unionByName(
-        news.select("pair_id", "run", "i", "j", "_t", F.lit(False).alias("_old")))
-    side = lambda old: F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.when(F.col("_old") == old, F.struct(F.when(F.lit(old), F.col("i")).otherwise(F.col("j")).alias("p"), "_t")))), lambda s: s["_t"]), " ")
-    runs = parts.groupBy("pair_id", "run").agg(
-        F.min("i").alias("i"), F.min("j").alias("j"),
-        F.count_if("_old").alias("deleted"), F.count_if(~F.col("_old")).alias("inserted"),
-        side(True).alias("old_text"), side(False).alias("new_text"),
-    )
+    edits = cut(diff.where("op <> '='"))
+    words = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "token"))), lambda s: s["token"]), " ")
+    gone = edits.where("op = '-'").join(a.select("pair_id", F.col("pos").alias("i"), "token"), ["pair_id", "i"])
+    gone = gone.groupBy("pair_id", "j").agg(F.min("i").alias("_i"), F.count(F.lit(1)).alias("deleted"), words("i").alias("old_text"))
+    gone = gone.select("pair_id", F.col("j").alias("_j"), (F.col("_i") + F.col("deleted")).alias("_to"), "_i", "deleted", "old_text")
+    come = edits.where("op = '+'").join(b.select("pair_id", F.col("pos").alias("j"), "token"), ["pair_id", "j"])
+    come = come.groupBy("pair_id", "i").agg(F.min("j").alias("_j"), F.count(F.lit(1)).alias("inserted"), words("j").alias("new_text"))
+    come = come.withColumnRenamed("i", "_to")
+    runs = gone.join(come, ["pair_id", "_to", "_j"], "full_outer").select(
+        "pair_id", F.coalesce("_i", "_to").alias("i"), F.col("_j").alias("j"), F.coalesce("deleted", F.lit(0)).alias("deleted"), F.coalesce("inserted", F.lit(0)).alias("inserted"),
+        F.coalesce("old_text", F.lit("")).alias("old_text"), F.coalesce("new_text", F.lit("")).alias("new_text"))
+    counted = blocks.scan(blocks.by_value(cut(runs), "i", width), ["pair_id"], ["i", "j"], _gone=("sum", "deleted"))
     kind = F.when(F.col("deleted") == 0, "Inserted").when(F.col("inserted") == 0, "Deleted").otherwise("Replaced")
-    return runs.select("pair_id", "run", kind.alias("kind"), "i", "j", "deleted", "inserted", "old_text", "new_text")
+    before = F.col("i") - (F.col("_gone") - F.col("deleted"))
+    return counted.select("pair_id", before.alias("run"), kind.alias("kind"), "i", "j", "deleted", "inserted", "old_text", "new_text")

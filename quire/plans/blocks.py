@@ -42,15 +42,17 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], **outs: tuple
     """Ordered columns over `keys`, computed block by block.
 
     Each output is (kind, column): `number` (1, 2, …), `sum` (running, this row included), `max_before`
-    (over earlier rows), `prev` and `next` (the neighbouring row's value). `order` is ascending and total.
+    (over earlier rows), `min_after` (over later rows), `prev` and `next` (the neighbouring row's value). `order` is ascending and total.
     """
     keys, order = list(keys), list(order)
     local = W.partitionBy(*keys, BLOCK).orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, 0)
     before = local.rowsBetween(W.unboundedPreceding, -1)
+    after = local.rowsBetween(1, W.unboundedFollowing)
     at = F.struct(*order)
     across = _whole(keys).orderBy(BLOCK)
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
+    later = across.rowsBetween(1, W.unboundedFollowing)
 
     inside, totals, carried, result = {}, [], [], {}
     inside["_first"] = F.row_number().over(local) == 1
@@ -71,6 +73,11 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], **outs: tuple
             totals.append(F.max(column).alias(block))
             carried.append(F.max(block).over(earlier).alias(carry))
             result[name] = F.greatest(tmp, carry)
+        elif kind == "min_after":
+            inside[tmp] = F.min(column).over(after)
+            totals.append(F.min(column).alias(block))
+            carried.append(F.min(block).over(later).alias(carry))
+            result[name] = F.least(tmp, carry)
         elif kind == "prev":
             inside[tmp] = F.lag(column).over(local)
             totals.append(F.max_by(column, at).alias(block))

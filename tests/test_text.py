@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import patterns
-from quire.functions.myers import edit_script
+from quire.functions.myers import edit_script, gap_script
+from quire.plans import chains
 from quire.operators import compare, search, units
 from quire.sources import documents as D
 
@@ -127,6 +128,77 @@ def test_edit_scripts_are_shortest():
             assert [j for op, _, j in script if op in "=+"] == list(range(len(b)))
 
 
+def whole(script, a, b):
+    """The script lists every token once, in order, and keeps equal ones; how many it keeps."""
+    assert [i for op, i, _ in script if op in "=-"] == list(range(len(a)))
+    assert [j for op, _, j in script if op in "=+"] == list(range(len(b)))
+    kept = [(i, j) for op, i, j in script if op == "="]
+    assert kept == sorted(kept) and all(a[i] == b[j] for i, j in kept)
+    return len(kept)
+
+
+def test_gap_scripts_are_shortest():
+    dice = random.Random(4)
+    for letters in (1, 2, 4, 30):
+        for _ in range(60):
+            a, b = ([dice.randrange(letters) for _ in range(dice.randrange(70))] for _ in "ab")
+            script = gap_script(a, b)
+            assert whole(script, a, b) == lcs(a, b)
+            assert all((x[0], y[0]) != ("+", "-") for x, y in zip(script, script[1:]))
+
+
+def edited(dice, words):
+    """Up to twelve edits; every tenth moves twenty tokens."""
+    b = list(words)
+    for _ in range(dice.randrange(13)):
+        k, kind = dice.randint(0, len(b)), dice.random()
+        if kind < 0.4:
+            b[k : k + 1] = []
+        elif kind < 0.7:
+            b[k:k] = [f"w{dice.randrange(40)}"]
+        elif kind < 0.9:
+            b[k : k + 1] = [f"x{dice.randrange(99999)}"]
+        else:
+            m, moved = dice.randint(0, len(b)), b[k : k + 20]
+            del b[k : k + 20]
+            b[m:m] = moved
+    return b
+
+
+def test_anchored_scripts(spark):
+    """Whole on any pairs; where text has moved or hardly differs in words, longer than the shortest by a twentieth at most."""
+    dice = random.Random(2)
+    left = [[f"w{dice.randrange(v)}" for _ in range(dice.randrange(150))] for v in [3, 8, 40, 400] * 20]
+    pairs = [(a, edited(dice, a)) for a in left] + [([], []), (["a"], []), ([], ["a"] * 3), (["a b"] * 9, ["a b"] * 4)]
+    side = lambda k: spark.createDataFrame([(i, n, w) for i, p in enumerate(pairs) for n, w in enumerate(p[k])], "pair_id long, pos long, folded string")
+    found = {}
+    for r in compare.diff_words(side(0), side(1), width=50).collect():  # blocks of 50 positions: pairs cross them
+        found.setdefault(r.pair_id, []).append((r.op, r.i, r.j))
+    edits = least = 0
+    for i, (a, b) in enumerate(pairs):
+        kept = whole(sorted(found.get(i, []), key=lambda s: (s[1] + s[2], s[0] != "-")), a, b)
+        edits, least = edits + len(a) + len(b) - 2 * kept, least + len(a) + len(b) - 2 * lcs(a, b)
+    assert least <= edits <= 1.05 * least
+
+
+def test_longest_chains(spark):
+    dice = random.Random(6)
+    points = []
+    for key in range(30):
+        js = dice.sample(range(300), 60)
+        points += [(key, i, j) for i, j in enumerate(sorted(js) if key % 3 == 0 else js if key % 3 == 1 else sorted(js)[20:40] + sorted(js)[:20] + sorted(js)[40:])]
+    found = {}
+    for r in chains.longest(spark.createDataFrame(points, "k long, i long, j long"), ["k"], 7).collect():
+        found.setdefault(r.k, []).append((r.i, r.j))
+    for key in range(30):
+        js = [j for k, _, j in points if k == key]
+        best = [1] * len(js)
+        for i, j in enumerate(js):
+            best[i] = 1 + max((best[h] for h in range(i) if js[h] < j), default=0)
+        chain = sorted(found[key])
+        assert len(chain) == max(best) and all(js[i] == j for i, j in chain) and all(x[1] < y[1] for x, y in zip(chain, chain[1:]))
+
+
 def tokens(spark, *pairs):
     side = lambda k: spark.createDataFrame(
         [(i, n, w) for i, p in enumerate(pairs) for n, w in enumerate(p[k].split())], "pair_id long, pos long, token string").withColumn("folded", units.fold("token"))
