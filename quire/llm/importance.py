@@ -146,7 +146,8 @@ def drawn(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_000,
     )
     order = [F.desc("_long"), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("weight")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # Written first: dealing out by ranges reads its input twice.
+    ordered = common.staged(rows, "weights").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     ordered = common.staged(ordered, "importance")
     # The id counts from a multiple of 2**33 in every partition.
     block = F.shiftright("_at", 33)
