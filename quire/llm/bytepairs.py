@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from quire.llm import common, pieces
 
 NONE = np.int32(2**31 - 1)
+# Code points cut into pieces at a time.
+CHUNK = 1 << 17
 # Rows longer than this are merged one by one, all places of the least pair in a round.
 WIDEST = 256
 
@@ -174,7 +176,7 @@ def _kept(path: str) -> pieces.PieceIds:
 def encode_texts(values: list[str], path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(number of the text, ids of the next run of it) in order; an empty text gives one empty run."""
     held, kinds = _kept(path), pieces.kinds()
-    for first, last, group in common.chunks(values):
+    for first, last, group in common.chunks(values, CHUNK):
         at, until, owner, hashes, joined = pieces.cut(group, kinds)
         ids, sizes = held.lookup(at, until, hashes, joined)
         per = np.bincount(owner, sizes, minlength=last - first).astype(np.int64)

@@ -45,7 +45,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(18, int(n).bit_length())
     return _powers(size, BASE), _powers(size, INVERSE)
 
 
@@ -136,7 +136,7 @@ class Slots:
 class PieceIds:
     """Ids of pieces met before, by a 64-bit hash of the piece; starts afresh when `limit` pieces are held."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
         self._clear(limit)
 

@@ -21,6 +21,8 @@ from quire.llm import common, pieces
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
 WINDOW = 16
+# Code points scored at a time.
+SCORED = 1 << 17
 # In training: code points cut into n-grams at a time, windows or n-grams summed at a time.
 PART, BLOCK, GRAMS = 1 << 16, 1 << 13, 1 << 19
 
@@ -88,9 +90,10 @@ class Model:
     bias: float
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """One logit per text: its highest window; a text without words gets the bias."""
+        """One logit per text: its highest window; a text without words gets the bias. In a text of more than `SCORED` code
+        points windows begin anew about every so many."""
         out = np.full(len(texts), np.nan)
-        for first, last, group in common.chunks(texts):
+        for first, last, group in common.chunks(texts, SCORED):
             bucket, begin, owner, hashes = grams(group)
             if len(begin):
                 value = np.add.reduceat(self.score[bucket].astype(np.float64), begin) / np.diff(np.append(begin, len(bucket)))
