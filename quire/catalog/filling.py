@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.catalog.base import query, table
+from quire.functions import formvalues as V
 from quire.operators import forms
 from quire.operators.forms import Calculation, FieldRule
 
@@ -101,19 +102,35 @@ SELECT doc_id, unnest(['total', 'mean', 'least', 'most', 'nothing', 'unset']) AS
 """)
 def calculate(spark, folder):
     found = forms.calculate(_items(spark, folder), CALCULATIONS)
-    return found.withColumn("result", F.round(F.coalesce(F.col("result").cast("double"), F.lit(-1.0)), 6))
+    return found.select("doc_id", "name", F.round(F.coalesce(F.col("text").cast("double"), F.lit(-1.0)), 6).alias("result"))
 
 
 @query("F3_product", """
-SELECT l_orderkey AS doc_id, 'product' AS name, round(exp(sum(ln(l_quantity))), 0)::DOUBLE AS result FROM lineitem GROUP BY l_orderkey HAVING sum(ln(l_quantity)) < 20
+SELECT l_orderkey AS doc_id, 'product' AS name, list_reduce(list(l_quantity::BIGINT::HUGEINT), lambda a, b: a * b)::DOUBLE AS result FROM lineitem GROUP BY l_orderkey
 """)
 def product(spark, folder):
-    """The exact product of each order's quantities, where a double can check it."""
+    """The exact product of each order's quantities."""
     li = table(spark, folder, "lineitem")
     name = F.concat(F.lit("qty."), "l_linenumber", F.lit("_"), "l_partkey", F.lit("_"), "l_suppkey")
     fields = li.select(F.col("l_orderkey").alias("doc_id"), name.alias("name"), F.col("l_quantity").cast("int").cast("string").alias("value"))
     found = forms.calculate(fields, [Calculation("product", "PRD", ("qty",))])
-    return found.where("result < 485165195").withColumn("result", F.col("result").cast("double"))
+    return found.select("doc_id", "name", F.col("text").cast("double").alias("result"))
+
+
+@query("F3_by_style", """
+WITH v AS (SELECT l_orderkey AS doc_id, (l_extendedprice * 100)::BIGINT::HUGEINT AS cents FROM (SELECT l_orderkey, round(l_extendedprice, 2)::DECIMAL(18,2) AS l_extendedprice FROM lineitem)),
+t AS (SELECT doc_id, sum(cents) AS cents, count(*) AS n FROM v GROUP BY 1)
+SELECT doc_id, unnest(['total', 'mean']) AS name, unnest([cents::DOUBLE / 100, round(cents::DOUBLE / 100 / n, 6)]) AS result FROM t
+""")
+def styles(spark, folder):
+    """Prices written with the separators of five styles, each field saying which."""
+    li = table(spark, folder, "lineitem")
+    style = ((F.col("l_partkey") + F.col("l_linenumber")) % 5).cast("int")
+    name = F.concat(F.lit("price."), "l_linenumber", F.lit("_"), "l_partkey", F.lit("_"), "l_suppkey")
+    fields = li.select(
+        F.col("l_orderkey").alias("doc_id"), name.alias("name"), V.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2, style).alias("value"), style.alias("separator_style"))
+    found = forms.calculate(fields, [Calculation("total", "SUM", ("price",)), Calculation("mean", "AVG", ("price",))])
+    return found.select("doc_id", "name", F.when(F.col("name") == "mean", F.round(F.col("text").cast("double"), 6)).otherwise(F.col("text").cast("double")).alias("result"))
 
 
 @query("F4_recalculate", """
@@ -172,8 +189,9 @@ def reset(spark, folder):
 
 
 @query("F7_derive", """
-WITH s AS (SELECT l_orderkey AS doc_id, sum(l_quantity) AS q, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS p, sum(l_discount::DECIMAL(18,2))::DOUBLE AS r FROM lineitem GROUP BY 1)
-SELECT doc_id, 'd' AS name, CASE WHEN r = 0 THEN -1 ELSE round((p + q * 2) / r - 1 + 1e-6, 3) END::DOUBLE AS result FROM s
+WITH s AS (SELECT l_orderkey AS doc_id, (2 * sum(l_quantity::BIGINT) * 100 + sum((l_extendedprice::DECIMAL(18,2) * 100)::BIGINT) - sum((l_discount::DECIMAL(18,2) * 100)::BIGINT))::HUGEINT AS a,
+                  sum((l_discount::DECIMAL(18,2) * 100)::BIGINT)::HUGEINT AS r FROM lineitem GROUP BY 1)
+SELECT doc_id, 'd' AS name, CASE WHEN r > 0 THEN ((2000 * a + r) // (2 * r))::DOUBLE / 1000 END AS result FROM s
 """)
 def derive(spark, folder):
     li = table(spark, folder, "lineitem")
@@ -181,4 +199,4 @@ def derive(spark, folder):
     entry = lambda group, value: F.struct(F.concat(F.lit(group + "."), stem).alias("name"), value.cast("decimal(18,2)").cast("string").alias("value"))
     fields = li.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.array(entry("qty", F.col("l_quantity")), entry("price", F.col("l_extendedprice")), entry("rate", F.col("l_discount")))).alias("_f")).select("doc_id", "_f.*")
     found = forms.derive(fields, "d", "(price + qty * 2) / rate - 1")
-    return found.withColumn("result", F.coalesce(F.round(F.col("result").cast("double") + 1e-6, 3), F.lit(-1.0)))
+    return found.select("doc_id", "name", F.round("result", 3).cast("double").alias("result"))

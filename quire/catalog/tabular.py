@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import derived
 from quire.catalog.base import query, table
+from quire.plans.checkpoints import new_folder
 from quire.operators import tables
 
 
@@ -71,11 +72,11 @@ _VALUES = """
 v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice + 1000, 2) AS p, l_quantity AS q, l_shipdate::DATE AS d, (l_partkey + l_linenumber) % 6 AS k, l_orderkey % 3 AS t FROM lineitem),
 o AS (SELECT l_orderkey, bool_or(day(d) > 12) AS known FROM v GROUP BY l_orderkey),
 typed AS (
-  SELECT l_orderkey AS doc_id, 0 AS col, 'Number' AS kind, CASE WHEN k IN (1, 4) THEN -p WHEN k = 5 THEN q / 100 ELSE p END AS number, NULL::DATE AS date,
+  SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS row, 0 AS col, 'Number' AS kind, CASE WHEN k IN (1, 4) THEN -p WHEN k = 5 THEN q / 100 ELSE p END AS number, NULL::DATE AS date,
          CASE k WHEN 0 THEN '#,##0.00' WHEN 1 THEN '#,##0.00;\\(#,##0.00\\)' WHEN 2 THEN '"$"#,##0.00' WHEN 3 THEN '#,##0.00\\ "€"' WHEN 4 THEN '#,##0.00' ELSE '0%' END AS format FROM v
-  UNION ALL SELECT l_orderkey, 1, CASE WHEN known OR t = 2 THEN 'Date' ELSE 'Text' END, NULL, CASE WHEN known OR t = 2 THEN d END,
+  UNION ALL SELECT l_orderkey, l_linenumber, 1, CASE WHEN known OR t = 2 THEN 'Date' ELSE 'Text' END, NULL, CASE WHEN known OR t = 2 THEN d END,
          CASE WHEN t = 2 THEN 'yyyy\\-mm\\-dd' WHEN NOT known THEN '' WHEN t = 0 THEN 'dd/mm/yyyy' ELSE 'mm/dd/yyyy' END FROM v JOIN o USING (l_orderkey)
-  UNION ALL SELECT l_orderkey, 2, 'Text', NULL, NULL, '' FROM v)""".replace("\\\\", "\\")
+  UNION ALL SELECT l_orderkey, l_linenumber, 2, 'Text', NULL, NULL, '' FROM v)""".replace("\\\\", "\\")
 
 
 def _typed(spark, folder):
@@ -100,11 +101,11 @@ def _typed(spark, folder):
 
 @query("V1_type_columns", f"""
 WITH {_VALUES}
-SELECT doc_id, col::BIGINT AS col, kind, round(coalesce(number, 0), 6) AS number, coalesce(date::VARCHAR, '') AS date, format, count(*) AS cells FROM typed GROUP BY ALL
+SELECT doc_id, row, col::BIGINT AS col, kind, round(coalesce(number, 0), 6) AS number, coalesce(date::VARCHAR, '') AS date, format FROM typed
 """)
 def typed(spark, folder):
-    found = _typed(spark, folder).select("doc_id", "col", "kind", F.round(F.coalesce("number", F.lit(0.0)), 6).alias("number"), F.coalesce(F.col("date").cast("string"), F.lit("")).alias("date"), "format")
-    return found.groupBy("doc_id", "col", "kind", "number", "date", "format").agg(F.count(F.lit(1)).alias("cells"))
+    return _typed(spark, folder).select(
+        "doc_id", "row", "col", "kind", F.round(F.coalesce("number", F.lit(0.0)), 6).alias("number"), F.coalesce(F.col("date").cast("string"), F.lit("")).alias("date"), "format")
 
 
 @query("V2_export_counts", f"""
@@ -116,6 +117,21 @@ def export_counts(spark, folder):
     return tables.export_counts(tables.sheet_names(_typed(spark, folder)))
 
 
+@query("V2_sheets", f"""
+WITH {_VALUES}
+SELECT 'Page ' || (doc_id % 7 + 1) || ' Table ' || (doc_id // 7 % 3 + 1) AS sheet, doc_id, count(*) AS cells, count(*) FILTER (kind = 'Number') AS numbers, count(*) FILTER (kind = 'Date') AS dates
+FROM typed GROUP BY ALL
+""")
+def sheets(spark, folder):
+    """Typed cells written as sheets, read back and counted."""
+    cells = _typed(spark, folder).withColumns({"page_no": F.col("doc_id") % 7 + 1, "table_no": F.floor(F.col("doc_id") / 7) % 3 + 1})
+    named = tables.sheet_names(cells)
+    place = new_folder(spark, "sheets")
+    tables.write_sheets(named, place)
+    return tables.read_sheets(spark, place, named.schema).groupBy("sheet", "doc_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(F.col("kind") == "Number").alias("numbers"), F.count_if(F.col("kind") == "Date").alias("dates"))
+
+
 @query("V3_structure_summary", r"""
 WITH t AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?i)<(h[1-6]|p|ul|ol|li|table|th|td|img|a|code|blockquote)\b', 1)) AS tag FROM pages)
 SELECT doc_id, count(*) FILTER (tag LIKE 'h_') AS heading, count(*) FILTER (tag = 'p') AS paragraph, count(*) FILTER (tag IN ('ul', 'ol')) AS list, count(*) FILTER (tag = 'li') AS list_item,

@@ -25,16 +25,21 @@ MASK_CLASSES = {"9": r"\p{Nd}", "A": r"\p{L}", "O": r"[\p{L}\p{Nd}]", "X": "."}
 # --------------------------------------------------------------------------------------------------
 
 
-def parse_number(text: Column, style: Column | int = 0) -> Column:
-    """A number as stored or typed: plain first, then by separator style; null when it is none."""
+def number_text(text: Column, style: Column | int = 0) -> Column:
+    """A number as stored or typed, as plain digits: plain first, then by separator style; null when it is none."""
     style = F.lit(style) if isinstance(style, int) else style
     t = F.trim(text)
     plain = F.regexp_like(t, F.lit(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"))
     comma = style.isin(2, 3)
     kept = F.when(comma, F.translate(F.regexp_replace(t, r"[^\d,]", ""), ",", ".")).otherwise(F.regexp_replace(t, r"[^\d.]", ""))
     negative = (F.locate("-", t) > 0) | ((F.locate("(", t) > 0) & (F.locate(")", t) > 0))
-    loose = F.when(F.regexp_like(kept, F.lit(r"^\d*\.?\d*$")) & F.regexp_like(kept, F.lit(r"\d")), kept.try_cast(DECIMAL))
-    return F.when(plain, t.try_cast(DECIMAL)).otherwise(F.when(negative, -loose).otherwise(loose))
+    loose = F.when(F.regexp_like(kept, F.lit(r"^\d*\.?\d*$")) & F.regexp_like(kept, F.lit(r"\d")), kept)
+    return F.when(plain, t).otherwise(F.when(negative, F.concat(F.lit("-"), loose)).otherwise(loose))
+
+
+def parse_number(text: Column, style: Column | int = 0) -> Column:
+    """The number a text stands for, to ten places."""
+    return number_text(text, style).try_cast(DECIMAL)
 
 
 def canonical(value: Column) -> Column:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import exactnumbers as exact
 from quire.functions import formvalues as V
 from quire.plans import folds, sizes
 from quire.plans.checkpoints import cut
 
 # ---- fixed values
-MAX_CHANGES, MAX_CHARACTERS, MAX_DEPTH = 10_000, 10_000, 64
+MAX_CHANGES, MAX_CHARACTERS = 10_000, 10_000
 # -----------------
 
 
@@ -133,7 +135,10 @@ class Calculation:
 
 
 def _numbers(fields: DataFrame) -> DataFrame:
-    return fields.select("doc_id", "name", F.coalesce(V.parse_number(F.col("value")), F.lit(0).cast(V.DECIMAL)).alias("_v"))
+    """Each field's number as text, read by its own `separator_style` where the table has one; 0 where it holds none."""
+    style = F.coalesce("separator_style", F.lit(0)) if "separator_style" in fields.columns else F.lit(0)
+    place = F.col("seq") if "seq" in fields.columns else F.col("name")
+    return fields.select("doc_id", "name", place.alias("_place"), F.coalesce(V.number_text(F.col("value"), style), F.lit("0")).alias("_t"))
 
 
 def _named(fields: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
@@ -143,7 +148,7 @@ def _named(fields: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
     """
     parts = F.split("name", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    spread = _numbers(fields).select("doc_id", "name", "_v", F.explode(F.array_distinct(prefixes)).alias("_key"))
+    spread = _numbers(fields).select("doc_id", "_place", "_t", F.explode(F.array_distinct(prefixes)).alias("_key"))
     wanted = sizes.rules(fields.sparkSession, names, "target string, _key string")
     return spread.join(wanted, "_key")
 
@@ -154,105 +159,103 @@ def _each(docs: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:
     return docs.select("doc_id", F.explode(rows).alias("_r")).select("doc_id", "_r.*")
 
 
+# A number as two decimals that add up exactly: before the point, and after it.
+_HALVES = "struct<w:decimal(38,0),f:decimal(38,28)>"
+
+
+def _halves(text: Column) -> Column:
+    plain = F.when(F.regexp_like(text, F.lit("[eE]")), text.try_cast(V.DECIMAL).cast("string")).otherwise(text)
+    sign = F.when(plain.startswith("-"), "-").otherwise("")
+    digits = F.translate(plain, "+-", "")
+    whole = F.concat(sign, F.lit("0"), F.substring_index(digits, ".", 1)).try_cast("decimal(38,0)")
+    after = F.when(F.contains(digits, F.lit(".")), F.substring_index(digits, ".", -1)).otherwise("")
+    return F.struct(whole.alias("w"), F.concat(sign, F.lit("0."), after, F.lit("0")).try_cast("decimal(38,28)").alias("f"))
+
+
+def _sum(halves: str) -> Column:
+    return F.struct(F.try_sum(F.col(f"{halves}.w")).alias("w"), F.try_sum(F.col(f"{halves}.f")).alias("f"))
+
+
+def _joined(halves: dict | None) -> exact.Number | None:
+    """The number of two halves; null where one of them overflowed."""
+    w, f = (None, None) if halves is None else (exact.read(halves["w"]), exact.read(halves["f"]))
+    return None if w is None or f is None else exact.add(w, f)
+
+
+_RESULT = "doc_id long, name string, text string"
+
+
+def _with_number(results: DataFrame) -> DataFrame:
+    """`text` is the exact result, `result` the same to ten places."""
+    return results.select("doc_id", "name", F.col("text").try_cast(V.DECIMAL).alias("result"), "text")
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums and the like to their results."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        texts = []
+        for row in rows:
+            op, n = row["_op"], row["_n"]
+            if n is None:
+                number = exact.ZERO if op in ("SUM", "AVG") else None
+            else:
+                number = _joined(row["_sum"] if op in ("SUM", "AVG") else row["_least"] if op == "MIN" else row["_most"])
+                if op == "AVG" and number is not None:
+                    number = exact.divide(number, (n, 0))
+            texts.append(exact.shown(number))
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "name": batch["target"], "text": pa.array(texts, pa.string())})
+
+
 def calculate(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFrame:
-    """`(doc_id, name, result)` of every operation over the fields `(doc_id, name, value)` of each document.
+    """`(doc_id, name, result, text)` of every operation over the fields `(doc_id, name, value)` of each document.
 
-    Empty and unreadable values count as 0. Without fields a sum and an average are 0, the others null.
+    Empty and unreadable values count as 0. Without fields a sum and an average are 0, the others null; so is what
+    overflows. Fields may have a `separator_style` of their own, and a `seq`, the order products are taken in (else by name).
     """
     ops = [c for c in calculations if c.operation]
     plain = [c for c in ops if c.operation != "PRD"]
     docs = fields.select("doc_id").distinct()
-    out: DataFrame | None = None
+    out: list[DataFrame] = []
     if plain:
-        found = _named(fields, [(c.name, f) for c in plain for f in c.fields])
-        agg = found.groupBy("doc_id", "target").agg(
-            F.try_sum("_v").alias("SUM"), F.min("_v").alias("MIN"), F.max("_v").alias("MAX"), F.count(F.lit(1)).alias("_n"))
-        mean = F.expr("try_divide(try_cast(`SUM` as decimal(28,10)), cast(_n as decimal(10,0)))").cast(V.DECIMAL)
-        agg = agg.withColumn("AVG", mean)
+        found = _named(fields, [(c.name, f) for c in plain for f in c.fields]).withColumn("_h", _halves(F.col("_t")))
+        agg = found.groupBy("doc_id", "target").agg(_sum("_h").alias("_sum"), F.min("_h").alias("_least"), F.max("_h").alias("_most"), F.count(F.lit(1)).alias("_n"))
         every = _each(docs, [(c.name, c.operation) for c in plain]).join(agg, ["doc_id", "target"], "left")
-        value = F.lit(None).cast(V.DECIMAL)
-        for op in ("SUM", "AVG", "MIN", "MAX"):
-            empty = F.lit(0).cast(V.DECIMAL) if op in ("SUM", "AVG") else F.lit(None).cast(V.DECIMAL)
-            value = F.when(F.col("_op") == op, F.when(F.col("_n").isNull(), empty).otherwise(F.col(op).cast(V.DECIMAL))).otherwise(value)
-        out = every.select("doc_id", F.col("target").alias("name"), value.alias("result"))
+        out.append(every.mapInArrow(_folded, _RESULT))
     products = [c for c in ops if c.operation == "PRD"]
     if products:
         found = _named(fields, [(c.name, f) for c in products for f in c.fields])
-        made = folds.product(found, ["doc_id", "target"], "_v", "name", out="result")
-        made = _each(docs, [(c.name, "PRD") for c in products]).join(made, ["doc_id", "target"], "left").select("doc_id", F.col("target").alias("name"), "result")
-        out = made if out is None else out.unionByName(made)
-    if out is None:
-        return docs.select("doc_id", F.lit("").alias("name"), F.lit(None).cast(V.DECIMAL).alias("result")).limit(0)
-    return out
-
-
-_TOKEN = re.compile(r"\s*(?:(?P<num>\d[\d.]*|\.\d+)|(?P<name>(?:\\.|[^\W]|[.])+)|(?P<op>[-+*/()]))")
-
-
-def expression_names(expression: str) -> list[str]:
-    """The field names an expression uses; raises ValueError where it is not one."""
-    names, at, depth = [], 0, 0
-    text = expression.rstrip()
-    while at < len(text):
-        token = _TOKEN.match(text, at)
-        if token is None:
-            raise ValueError(f"not a calculation: {expression!r}")
-        if token["name"]:
-            names.append(re.sub(r"\\(.)", r"\1", token["name"]))
-        depth += {"(": 1, ")": -1}.get(token["op"], 0)
-        if not 0 <= depth <= MAX_DEPTH:
-            raise ValueError("unbalanced or too deep")
-        at = token.end()
-    if depth:
-        raise ValueError("unbalanced")
-    return list(dict.fromkeys(names))
-
-
-def _as_sql(tokens: list[re.Match], operand, divisor, ops: dict[str, str]) -> str:
-    """The expression as SQL: operands written by `operand`, what follows a division wrapped by `divisor`."""
-    out, at = [], 0
-    while at < len(tokens):
-        token = tokens[at]
-        if token["op"] != "/":
-            out.append(ops.get(token["op"], token["op"]) if token["op"] else operand(token))
-            at += 1
-            continue
-        end = at + 1
-        while end < len(tokens) and tokens[end]["op"] in ("+", "-"):
-            end += 1
-        open_ = 0
-        while end < len(tokens):
-            open_ += {"(": 1, ")": -1}.get(tokens[end]["op"], 0)
-            end += 1
-            if open_ == 0:
-                break
-        out.append(divisor(_as_sql(tokens[at + 1:end], operand, divisor, ops)))
-        at = end
-    return " ".join(out)
+        made = folds.product(found, ["doc_id", "target"], ["_place"], "_t", "text")
+        out.append(_each(docs, [(c.name, "PRD") for c in products]).join(made, ["doc_id", "target"], "left").select("doc_id", F.col("target").alias("name"), "text"))
+    if not out:
+        return _with_number(docs.select("doc_id", F.lit("").alias("name"), F.lit(None).cast("string").alias("text")).limit(0))
+    return _with_number(reduce(DataFrame.unionByName, out))
 
 
 def derive(fields: DataFrame, name: str, expression: str) -> DataFrame:
-    """`(doc_id, name, result)` of an expression of + - * / ( ), numbers and field names; null when it divides by zero.
+    """`(doc_id, name, result, text)` of an expression of + - * / ( ), numbers and field names; null when it divides by zero.
 
-    Each name is the sum of the fields it stands for. The expression is checked token by token, its names
-    become columns, and Spark reads and evaluates the rest: in decimals where no step can overflow, else
-    in doubles.
+    Each name is the sum of the fields it stands for. Every step is exact to 28 places or 96 bits (`functions/exactnumbers`).
+    Raises ValueError where the text is no expression.
     """
-    names = expression_names(expression)
+    steps = exact.postfix(expression)
+    names = list(dict.fromkeys(v for kind, v in steps if kind == "field"))
     columns = {n: f"_f{i}" for i, n in enumerate(names)}
-    tokens = list(_TOKEN.finditer(expression.rstrip()))
-    plain = lambda t: t["num"] or columns[re.sub(r"\\(.)", r"\1", t["name"])]
-    exact = _as_sql(tokens, lambda t: f"cast({plain(t)} as decimal(18,6))", lambda d: f"/ nullif({d}, 0)", {})
-    rough = _as_sql(tokens, lambda t: f"cast({plain(t)} as double)", lambda d: f"/ nullif({d}, 0.0D)", {})
-    bound = _as_sql(tokens, lambda t: f"(abs(cast({plain(t)} as double)) + 1)", lambda d: "* 1e10D", {"-": "+"})
-    fits = " and ".join(f"abs({plain(t)}) < 1e12D" for t in tokens if t["num"] or t["name"]) or "true"
     docs = fields.select("doc_id").distinct()
     if names:
-        summed = _named(fields, [(n, n) for n in names]).groupBy("doc_id").pivot("target", names).agg(F.try_sum("_v"))
-        docs = docs.join(summed.toDF("doc_id", *columns.values()), "doc_id", "left").na.fill(0)
-    decimal = f"cast({exact} as {V.DECIMAL})"
-    value = F.expr(f"case when {fits} and {bound} < 1e22D then {decimal} else try_cast(round({rough}, 10) as {V.DECIMAL}) end")
-    return docs.select("doc_id", F.lit(name).alias("name"), value.alias("result"))
+        found = _named(fields, [(n, n) for n in names]).withColumn("_h", _halves(F.col("_t")))
+        summed = found.groupBy("doc_id", "target").agg(_sum("_h").alias("_s")).groupBy("doc_id").pivot("target", names).agg(F.first("_s"))
+        docs = docs.join(summed.toDF("doc_id", *columns.values()), "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for row in batch.to_pylist():
+                known = {n: _joined(row[c]) for n, c in columns.items() if row[c] is not None}
+                texts.append(exact.shown(exact.evaluated(steps, known)))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "name": pa.array([name] * len(texts), pa.string()), "text": pa.array(texts, pa.string())})
+
+    return _with_number(docs.mapInArrow(run, _RESULT))
 
 
 def recalculate(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFrame:
@@ -261,23 +264,21 @@ def recalculate(fields: DataFrame, calculations: Sequence[Calculation]) -> DataF
     Calculations that do not read each other's results run together, so the rounds are the depth of the
     rules, not their number.
     """
-    reads = lambda c: set(c.fields) | set(expression_names(c.expression) if c.expression else ())
+    reads = lambda c: set(c.fields) | ({v for kind, v in exact.postfix(c.expression) if kind == "field"} if c.expression else set())
     uses = lambda c, made: any(m == n or m.startswith(n + ".") for n in reads(c) for m in made)
     rounds: list[list[Calculation]] = []
     for c in calculations:
         if not rounds or uses(c, {m.name for m in rounds[-1]}) or c.name in {m.name for m in rounds[-1]}:
             rounds.append([])
         rounds[-1].append(c)
-    current = fields.select("doc_id", "name", "value")
+    more = [c for c in ("separator_style", "seq") if c in fields.columns]
+    current = fields.select("doc_id", "name", "value", *more)
     for batch in rounds:
         made = [derive(current, c.name, c.expression) for c in batch if c.expression]
         if any(c.operation for c in batch):
             made.append(calculate(current, batch))
-        results = made[0]
-        for more in made[1:]:
-            results = results.unionByName(more)
-        new = results.select("doc_id", "name", F.coalesce(V.canonical(F.col("result")), F.lit("")).alias("_new"))
-        current = cut(current.join(new, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("_new", "value").alias("value")))
+        new = reduce(DataFrame.unionByName, made).select("doc_id", "name", F.coalesce("text", F.lit("")).alias("_new"))
+        current = cut(current.join(new, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("_new", "value").alias("value"), *more))
     before = fields.select("doc_id", "name", F.coalesce("value", F.lit("")).alias("_old"))
     return current.join(before, ["doc_id", "name"]).where("value <> _old").select("doc_id", "name", "value")
 

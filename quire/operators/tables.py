@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions import cellvalues
 
@@ -157,12 +158,30 @@ def sheet_names(typed: DataFrame, layout: str = "table") -> DataFrame:
 
 def export_counts(typed: DataFrame) -> DataFrame:
     """Sheets, tables, cells, numbers, dates and merged cells of each document's export."""
-    cells = typed.where("text <> ''").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("cells"), F.count_if(F.col("kind") == "Number").alias("numbers"), F.count_if(F.col("kind") == "Date").alias("dates"))
-    merged = typed.groupBy("doc_id").agg(F.count_if((F.col("row_span") > 1) | (F.col("col_span") > 1)).alias("merged"))
-    sheets = typed.select("doc_id", "sheet").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("sheets"))
-    tables = typed.select("doc_id", "table_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("tables"))
-    return sheets.join(tables, "doc_id").join(merged, "doc_id").join(cells, "doc_id", "left").na.fill(0)
+    filled = F.col("text") != ""
+    counts = {
+        "merged": F.count_if((F.col("row_span") > 1) | (F.col("col_span") > 1)), "cells": F.count_if(filled),
+        "numbers": F.count_if(filled & (F.col("kind") == "Number")), "dates": F.count_if(filled & (F.col("kind") == "Date"))}
+    sums = [F.sum(c).alias(c) for c in counts]
+    # A table is on one sheet, so tables add up over sheets.
+    by_table = typed.groupBy("doc_id", "sheet", "table_id").agg(*[v.alias(k) for k, v in counts.items()])
+    by_sheet = by_table.groupBy("doc_id", "sheet").agg(F.count(F.lit(1)).alias("tables"), *sums)
+    return by_sheet.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sheets"), F.sum("tables").alias("tables"), *sums)
+
+
+def write_sheets(typed: DataFrame, folder: str) -> None:
+    """The cells of all documents in one folder per sheet name, ordered by document, table, row and column inside its files.
+
+    Rows go to ranges of that order, so a name that most documents have fills as many files as it needs.
+    """
+    parts = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["sheet", "doc_id", "table_id", "row", "col"]
+    typed.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.partitionBy("sheet").parquet(folder)
+
+
+def read_sheets(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """What `write_sheets` wrote; a sheet asked for by name is the only folder read."""
+    return spark.read.schema(schema).parquet(folder)
 
 
 # ---- fixed values: the role of each structure type

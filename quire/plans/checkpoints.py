@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_folder(df: DataFrame) -> None:
@@ -21,6 +22,12 @@ def ensure_folder(df: DataFrame) -> None:
     context.setCheckpointDir(folder)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh place under the shared checkpoint folder."""
+    ensure_folder(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from reliable storage, so a lost executor never replays the past."""
     ensure_folder(df)

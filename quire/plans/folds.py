@@ -1,47 +1,46 @@
-"""Exact products of any number of decimals."""
+"""Products taken in order, each step rounded as form calculations do."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quire.plans.checkpoints import cut
+from quire.functions import exactnumbers as exact
 
-FAN_IN = 4096
 
-# Whole-number mantissas multiply exactly as decimal(38,0); the scales add up beside them.
-_FOLD = (
-    "reduce(collect_list(struct(_u, _e)), named_struct('_u', cast(1 as decimal(38,0)), '_e', 0L),"
-    " (a, v) -> named_struct('_u', try_multiply(a._u, v._u), '_e', a._e + v._e))"
-)
+def product(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "product") -> DataFrame:
+    """`(keys, out)`: the product of the numbers written in `value`, in the given order, as text; null when it overflows.
 
-
-def product(df: DataFrame, keys: Sequence[str], value: str, salt: str, out: str = "product") -> DataFrame:
-    """The exact product of the decimal column `value` per key; null when it needs over 38 digits.
-
-    Groups over FAN_IN rows are folded in rounds of salted subgroups (`salt` is a column that differs
-    between the rows of a group), so an array never holds more than about FAN_IN values.
+    Rounding makes the order matter, so parts of a group cannot be multiplied apart. A group comes sorted to one task, which
+    holds one number of it at a time: a group may have any number of rows.
     """
     keys = list(keys)
-    plain = F.regexp_replace(F.col(value).cast("string"), r"(\.\d*?)0+$", "$1")
-    fraction = F.regexp_extract(plain, r"\.(\d*)$", 1)
-    rows = df.select(
-        *keys,
-        F.regexp_replace(plain, r"\.", "").cast("decimal(38,0)").alias("_u"),
-        F.length(fraction).cast("long").alias("_e"),
-        F.col(salt).cast("string").alias("_s"),
-    )
-    while True:
-        largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        subgroups = 1 if largest <= FAN_IN else -(-largest // (FAN_IN // 2))
-        folded = (
-            rows.withColumn("_g", F.pmod(F.xxhash64("_s"), F.lit(subgroups)))
-            .groupBy(*keys, "_g").agg(F.expr(_FOLD).alias("_p"))
-            .select(*keys, "_p._u", "_p._e", F.col("_g").cast("string").alias("_s"))
-        )
-        if subgroups == 1:
-            number = F.concat(F.col("_u").cast("string"), F.lit("E-"), F.col("_e").cast("string"))
-            return folded.select(*keys, number.try_cast("decimal(38,10)").alias(out))
-        rows = cut(folded)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + f", {out} string"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number = None, None
+        for batch in batches:
+            done = []
+            for *own, text in zip(*[batch[k].to_pylist() for k in keys], batch[value].to_pylist()):
+                if own != key:
+                    if key is not None:
+                        done.append((*key, exact.shown(number)))
+                    key, number = own, (1, 0)
+                if number is not None:
+                    factor = exact.read(text)
+                    number = None if factor is None else exact.multiply(number, factor)
+            yield _rows(done)
+        if key is not None:
+            yield _rows([(*key, exact.shown(number))])
+
+    kinds = df.select(*keys).schema
+
+    def _rows(done: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64() if f.dataType.typeName() in ("long", "bigint") else pa.string() for f in kinds]
+        columns = list(zip(*done)) or [[]] * (len(keys) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [*types, pa.string()])], [*keys, out])
+
+    sorted_ = df.select(*keys, *order, value).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return sorted_.select(*keys, value).mapInArrow(fold, schema)

@@ -97,7 +97,7 @@ def test_cell_placement(spark):
 
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON = {"C5_find_many", "D3_word_diff", "D3_edit_counts", "D5_change_runs"}
+PYTHON = {"C5_find_many", "D3_word_diff", "D3_edit_counts", "D5_change_runs", "F3_calculate", "F3_by_style", "F3_product", "F7_derive"}
 # Streams run when they are built; the plan of what they wrote says nothing.
 LIGHT = [n for n in entry.queries() if not n.startswith("N")]
 

@@ -2,11 +2,12 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import accessibility, arrange, comments, dedupe, forms, links, metrics, revisions, tables
 from quire.operators.forms import Calculation, FieldRule
-from quire.plans import blocks, quantiles, sizes
+from quire.plans import blocks, folds, quantiles, sizes
 from quire.sources import xfdf
 from quire.streaming import arrivals
 
@@ -82,11 +83,36 @@ def test_expressions(spark):
     assert value("-a - (b - 4) / -(2)") == -1.5
 
 
-def test_products_of_large_groups(spark):
-    from quire.plans import folds
-
-    rows = spark.range(20_000).select(F.lit(1).alias("k"), F.when(F.col("id") < 30, F.lit("2")).otherwise(F.lit("1.0")).cast("decimal(38,10)").alias("v"), F.col("id"))
-    assert folds.product(rows, ["k"], "v", "id").first().product == 2**30
+def test_exact_calculations(spark):
+    """Small factors, long products, thirds, and numbers that do not fit."""
+    rows = fields(spark, a="0.0000004", b="3", one="1", big="79228162514264337593543950335", tiny="0.00000000000000000001")
+    text = lambda e: forms.derive(rows, "x", e).first().text
+    assert text("a * 1000000") == "0.4"
+    assert text("one / b") == "0." + "3" * 28 and text("one / b * b") == "0." + "9" * 28
+    assert text("big + 1") is None and text("big - 1") == "79228162514264337593543950334" and text("big / 2") == "39614081257132168796771975168"
+    assert text("tiny * tiny") == "0" and text("2 * -b - -1") == "-5"
+    for wrong in ("", "a b", "(a", "a)", "* a", "a +", "1.2.3", "a & b"):
+        with pytest.raises(ValueError):
+            forms.derive(rows, "x", wrong)
+
+
+def test_products_in_order(spark):
+    thirty = spark.createDataFrame([(1, f"f.{i}", "1.25", i) for i in range(30)], "doc_id long, name string, value string, seq int")
+    assert forms.calculate(thirty, [Calculation("p", "PRD", ("f",))]).first().text == "807.7935669463160887416100508"
+    # Rounded at every step, so the order shows: 0.5 at the last of 28 places goes to the even neighbour, or is doubled first.
+    values = [("0." + "0" * 27 + "1", "0.5", "4"), ("0." + "0" * 27 + "1", "4", "0.5")]
+    made = spark.createDataFrame([(d, f"f.{9 - i}", v, i) for d, row in enumerate(values) for i, v in enumerate(row)], "doc_id long, name string, value string, seq int")
+    assert {r.doc_id: r.text for r in forms.calculate(made, [Calculation("p", "PRD", ("f",))]).collect()} == {0: "0", 1: "0." + "0" * 27 + "2"}
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("k"), F.when(F.col("id") < 30, "2").when(F.col("id") == 30, "-1").otherwise("1.0").alias("v"), "id")
+    assert folds.product(rows, ["k"], ["id"], "v").first().product == str(-(2**30))
+    grown = spark.range(300).select(F.lit(1).cast("long").alias("k"), F.lit("2").alias("v"), "id")
+    assert folds.product(grown, ["k"], ["id"], "v").first().product is None
+
+
+def test_separator_styles(spark):
+    rows = spark.createDataFrame([(1, "n.a", "1.234,56", 2), (1, "n.b", "1,234.56", 0), (1, "n.c", "1234,5", 3), (1, "n.d", "", None)], "doc_id long, name string, value string, separator_style int")
+    rules = [Calculation("sum", "SUM", ("n",)), Calculation("mean", "AVG", ("n",)), Calculation("most", "MAX", ("n",)), Calculation("least", "MIN", ("n",))]
+    assert {r.name: r.text for r in forms.calculate(rows, rules).collect()} == {"sum": "3703.62", "mean": "925.905", "most": "1234.56", "least": "0"}
 
 
 def test_links(spark):
