@@ -115,16 +115,18 @@ def merge_outline(spark, folder):
 @query("P4_split", f"""
 WITH {_MERGED},
 merged AS (SELECT target_id, before + page_no AS page_no FROM src JOIN doc_pages USING (doc_id)),
-parts AS (SELECT DISTINCT target_id, part, part * 3 AS pages FROM merged, range(1, 5) r(part)),
-spans AS (SELECT *, sum(pages) OVER (PARTITION BY target_id ORDER BY part) AS last FROM parts)
+sizes AS (SELECT target_id, count(*) AS n FROM merged GROUP BY 1),
+parts AS (SELECT target_id, unnest(range(1, (n + 29) // 30 + 1)) AS part, n FROM sizes),
+spans AS (SELECT target_id, part, least(30, n - 30 * (part - 1)) AS pages, least(30 * part, n) AS last FROM parts)
 SELECT target_id AS doc_id, part, (page_no - last + pages)::BIGINT AS page_no, page_no::BIGINT AS source_page
 FROM merged JOIN spans USING (target_id) WHERE page_no BETWEEN last - pages + 1 AND last
 """)
 def split(spark, folder):
-    """The merged documents of each source cut into parts of 3, 6, 9 and 12 pages."""
+    """The merged documents of each source cut into parts of 30 pages and a rest."""
     pages = _merge(spark, folder)[0].select(F.col("target_id").alias("doc_id"), "page_no")
-    sources = table(spark, folder, "documents").select(F.col("source").alias("doc_id")).distinct()
-    counts = sources.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("part")).withColumn("pages", F.col("part") * 3)
+    sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    counts = sizes.select("doc_id", "_n", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_n") / 30).cast("int"))).alias("part"))
+    counts = counts.select("doc_id", "part", F.least(F.lit(30), F.col("_n") - 30 * (F.col("part") - 1)).alias("pages"))
     return arrange.split(pages, counts)
 
 

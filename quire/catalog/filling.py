@@ -184,7 +184,7 @@ def import_report(spark, folder):
 SELECT c_custkey AS doc_id, unnest(['segment', 'name']) AS name, unnest(['NONE', c_name]) AS value FROM customer
 """)
 def reset(spark, folder):
-    names = table(spark, folder, "part").where("p_partkey < 3").select(F.when(F.col("p_partkey") >= 0, "segment").alias("name"))
+    names = table(spark, folder, "part").select(F.when(F.col("p_partkey") % 2 == 0, "segment").otherwise(F.concat(F.lit("unknown."), F.col("p_partkey"))).alias("name"))
     return forms.reset(_records(spark, folder), names).select("doc_id", "name", "value")
 
 

@@ -109,6 +109,30 @@ def lists(spark, folder):
     return layout.list_groups(lines_).select("doc_id", "ord", "format", "style", "value", "level", "list_start", "items")
 
 
+# Twelve lines: marker, value, position and level of ten items, and two plain lines. Positions drift up to six points off the
+# first of their level, and levels are ten points apart.
+_LEVELS = [
+    ("1. ", "%1.", 1, 72, 0), ("1) ", "%1)", 1, 82, 1), ("(1) ", "(%1)", 1, 92, 2), ("(2) ", "(%1)", 2, 98, 2), ("2) ", "%1)", 2, 87, 1),
+    ("(1) ", "(%1)", 1, 93, 2), ("2. ", "%1.", 2, 76, 0), ("1) ", "%1)", 1, 80, 1), ("2) ", "%1)", 2, 86, 1), ("3. ", "%1.", 3, 69, 0)]
+
+
+@query("E5_list_levels", f"""
+WITH {derived.LINES},
+t AS (SELECT doc_id, (page_no - 1) * 40 + line_no AS ord FROM lines),
+m(r, style, value, level) AS (VALUES {", ".join(f"({r}, '{style}', {value}, {level})" for r, (_, style, value, _, level) in enumerate(_LEVELS))}),
+g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, ord // 12) AS items FROM t JOIN m ON r = ord % 12)
+SELECT doc_id, ord::BIGINT AS ord, 'decimal' AS format, style, value::BIGINT AS value, level::BIGINT AS level, (ord // 12 * 12)::BIGINT AS list_start, items FROM g WHERE items > 1
+""")
+def list_levels(spark, folder):
+    """Lists of three levels whose markers drift."""
+    rows = derived.lines(spark, folder).withColumn("ord", ((F.col("page_no") - 1) * 40 + F.col("line_no")).cast("long"))
+    r = (F.col("ord") % 12).cast("int")
+    mark = F.get(F.array(*[F.lit(m) for m, *_ in _LEVELS]), r)
+    x = F.get(F.array(*[F.lit(float(x)) for *_, x, _ in _LEVELS]), r)
+    lines_ = rows.select("doc_id", "ord", F.concat(F.coalesce(mark, F.lit("Plain")), F.lit("x"), "text").alias("text"), F.coalesce(x, F.lit(72.0)).alias("x"), "w")
+    return layout.list_groups(lines_).select("doc_id", "ord", "format", "style", "value", "level", "list_start", "items")
+
+
 _REPEATED = derived.LINES + r""",
 edge AS (SELECT source AS doc_id, doc_id * 100 + page_no AS page_no, line_no AS ord, text, (line_no * 19.5)::DOUBLE AS y, 12.0 AS h,
   CASE WHEN line_no * 19.5 < 0.09 * 792 AND line_no * 19.5 + 12 < 0.12 * 792 THEN 'top' WHEN line_no * 19.5 + 12 > 0.91 * 792 AND line_no * 19.5 > 0.88 * 792 THEN 'bottom' END AS zone FROM lines),

@@ -92,7 +92,7 @@ _HEADS = derived.LINES + """,
 heads AS (
   SELECT doc_id, page_no AS parent_id, page_no * 100 + line_no AS ord,
          CASE WHEN doc_id % 17 = 0 AND line_no IN (5, 10) THEN 'H' ELSE 'H' || (1 + (line_no // 5 * (1 + doc_id % 3) + page_no - 1) % 4) END AS type
-  FROM lines WHERE line_no % 5 = 0),
+  FROM lines),
 n AS (SELECT *, substring(type, 2, 1)::INT AS level, lag(substring(type, 2, 1)::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM heads WHERE type <> 'H')"""
 
 
@@ -103,7 +103,7 @@ UNION ALL SELECT doc_id, '14-007', min(ord) FILTER (type <> 'H') FROM heads GROU
 UNION ALL SELECT doc_id, '14-006', min(ord) FROM heads WHERE type = 'H' GROUP BY doc_id, parent_id HAVING count(*) > 1
 """)
 def headings(spark, folder):
-    lines = derived.lines(spark, folder).where("line_no % 5 = 0")
+    lines = derived.lines(spark, folder)
     level = 1 + F.pmod(F.floor(F.col("line_no") / 5) * (1 + F.col("doc_id") % 3) + F.col("page_no") - 1, F.lit(4))
     kind = F.when((F.col("doc_id") % 17 == 0) & F.col("line_no").isin(5, 10), "H").otherwise(F.concat(F.lit("H"), level.cast("string")))
     return accessibility.check_headings(lines.select(
@@ -125,7 +125,7 @@ cells AS (
   SELECT doc_id, page_no AS table_id, line_no AS "row", ord AS col, 1 + (line_no = 0 AND ord = 1)::INT AS row_span,
          CASE WHEN line_no = 0 OR (ord = 0 AND doc_id % 2 = 0) THEN 'TH' ELSE 'TD' END AS type,
          CASE WHEN line_no = 0 AND doc_id % 3 <> 0 AND ord < 3 THEN 'Column' WHEN line_no > 0 AND line_no % 4 = 0 THEN 'Row' WHEN line_no % 9 = 5 THEN 'Both' END AS scope, (doc_id + line_no) % 7 = 0 AS headers
-  FROM words WHERE ord < 5)
+  FROM words)
 SELECT doc_id, table_id::BIGINT AS table_id, "row"::BIGINT AS "row", col::BIGINT AS col FROM cells d
 WHERE type = 'TD' AND NOT headers AND EXISTS (SELECT 1 FROM cells h WHERE h.doc_id = d.doc_id AND h.table_id = d.table_id AND h.type = 'TH')
   AND NOT EXISTS (SELECT 1 FROM cells h WHERE h.doc_id = d.doc_id AND h.table_id = d.table_id AND h.type = 'TH'
@@ -134,7 +134,7 @@ WHERE type = 'TD' AND NOT headers AND EXISTS (SELECT 1 FROM cells h WHERE h.doc_
 def cells(spark, folder):
     from quire.operators import units
 
-    words = units.words(derived.lines(spark, folder).select("doc_id", "page_no", "line_no", "text")).where("ord < 5")
+    words = units.words(derived.lines(spark, folder).select("doc_id", "page_no", "line_no", "text"))
     top, line = F.col("line_no") == 0, F.col("line_no")
     return accessibility.unassociated_cells(words.select(
         "doc_id", F.col("page_no").alias("table_id"), line.alias("row"), F.col("ord").alias("col"), (1 + (top & (F.col("ord") == 1)).cast("int")).alias("row_span"), F.lit(1).alias("col_span"),

@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.functions import cellvalues
+from quire.plans import walks
 
 PAGE = ["doc_id", "page_no"]
 
 
+def _same_row(row: tuple, base: float, size: float) -> tuple:
+    """The row a box is on, the one above it being `row` (baseline and size of its first box, number)."""
+    first, first_size, number = row
+    if first is None or abs(first - base) > 0.3 * max(size, first_size):
+        row = (base, size, number + 1)
+    return row, (row[2],)
+
+
 def grid_tables(boxes: DataFrame) -> DataFrame:
     """Tables without ruling lines: short texts `(doc_id, page_no, x, y, w, h, size, text)` in aligned columns.
 
@@ -20,11 +29,8 @@ def grid_tables(boxes: DataFrame) -> DataFrame:
     """
     content = boxes.groupBy(*PAGE).agg((F.max(F.col("x") + F.col("w")) - F.min("x")).alias("_width"), F.count(F.lit(1)).alias("_n")).where("_n >= 6")
     placed = boxes.join(content, PAGE).withColumn("_base", F.col("y") + F.col("h"))
-    # Rows: boxes on one baseline, within a third of the text size of the row's first.
-    down = W.partitionBy(*PAGE).orderBy("_base", "x")
-    step = F.col("_base") - F.lag("_base").over(down) > F.greatest("size", F.lag("size").over(down)) * 0.3
-    rows = placed.withColumn("_new", F.coalesce(step, F.lit(True)).cast("int"))
-    rows = rows.withColumn("_row", F.sum("_new").over(down.rowsBetween(W.unboundedPreceding, 0)))
+    # Rows: boxes on the baseline of the row's first, within a third of the larger text size.
+    rows = walks.walk(placed, PAGE, ["_base", "x"], ["_base", "size"], {"_row": "long"}, lambda: (None, 0.0, 0), _same_row)
     rows = rows.withColumn("_cell", F.col("w") <= F.greatest("_width", F.lit(1.0)) * 0.6)
     facts = rows.groupBy(*PAGE, "_row").agg(
         F.min("y").alias("_top"), F.max("_base").alias("_bottom"), F.max("size").alias("_size"), F.bool_and("_cell").alias("_cells"), F.count(F.lit(1)).alias("_k"))
@@ -38,7 +44,7 @@ def grid_tables(boxes: DataFrame) -> DataFrame:
     runs = runs.where("_rows >= 3 and _multi >= 3 and _multi >= 0.6 * _rows")
     members = rows.join(facts.select(*PAGE, "_row", "_run"), [*PAGE, "_row"]).join(runs, run)
     shape = members.groupBy(*run).agg(
-        F.avg(F.length("text")).alias("_avg"), F.min("x").alias("_l"), F.max(F.col("x") + F.col("w")).alias("_r"), F.percentile("size", F.lit(0.5)).alias("_mid"))
+        F.avg(F.length("text")).alias("_avg"), F.min("x").alias("_l"), F.max(F.col("x") + F.col("w")).alias("_r"), F.get(F.sort_array(F.collect_list("size")), F.floor(F.count(F.lit(1)) / 2).cast("int")).alias("_mid"))
     shape = shape.where("_avg <= 40")
     members = members.join(shape, run)
 

@@ -5,9 +5,11 @@ import pathlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quire.operators import layout, tables
+from quire.plans import walks
 
 
 def boxes(spark, rows):
@@ -83,6 +85,33 @@ def test_lists(spark):
     assert [(v, level, start) for _, _, v, level, start in nested] == [(1, 0, 0), (1, 1, 0), (2, 1, 0), (2, 0, 0), (1, 1, 0), (2, 1, 0)]
 
 
+def test_levels_by_their_first_marker(spark):
+    """A chain of near markers is no level: 72 takes 76 and 66, but 80 and 86 are on the next one."""
+    found = items(spark, ["1. a", "2. b", "1) c", "2) d", "3. e", "(1) f", "4. g"], [72, 76, 80, 86, 66, 92, 74])
+    assert [(v, level) for _, _, v, level, _ in found] == [(1, 0), (2, 0), (1, 1), (2, 1), (3, 0), (1, 2), (4, 0)]
+
+
+def test_rows_by_their_first_box(spark):
+    """Baselines 0, 3, 6, 9 at size 11: the third is over 3.3 points from the first, so rows are 0, 3 and 6, 9."""
+    rows = [(72.0 + 150 * c, 30.0 * r + 3 * c, f"r{r}c{c}") for r in range(4) for c in range(2)] + [(72.0 + 150 * c, 30.0 * r + 3 * c, f"r{r}c{c}") for r in range(4) for c in (2, 3)]
+    df = spark.createDataFrame([(1, 1, x, y, 60.0, 12.0, 11.0, t) for x, y, t in rows], "doc_id long, page_no int, x double, y double, w double, h double, size double, text string")
+    found = {r.text: (r.row, r.col) for r in tables.grid_tables(df).collect()}
+    assert found == {f"r{r}c{c}": (2 * r + c // 2, c) for r in range(4) for c in range(4)}
+    walked = walks.walk(df.withColumn("_base", F.col("y") + F.col("h")), ["doc_id", "page_no"], ["_base", "x"], ["_base", "size"], {"row": "long"}, lambda: (None, 0.0, 0), tables._same_row)
+    assert [r.row for r in walked.where("y < 30").orderBy("y").collect()] == [1, 1, 2, 2]
+
+
+def test_walks_carry_state_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(100).select((F.col("id") % 3).alias("k"), "id", F.lit(None).cast("string").alias("other"))
+        sums = walks.walk(df, ["k"], ["id"], ["id"], {"total": "long"}, lambda: 0, lambda s, v: (s + v, (s + v,)))
+        assert all(r.total == sum(range(r.k, r.id + 1, 3)) for r in sums.collect()) and sums.count() == 100
+        assert walks.walk(df.where("false"), ["k"], ["id"], ["id"], {"total": "long"}, lambda: 0, lambda s, v: (s + v, (s + v,))).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_aligned_table(spark):
     rows = [(72 + 150 * c, 20 * r, 60, 12, 11.0, f"r{r}c{c}") for r in range(4) for c in range(3)] + [(72, 300, 460, 12, 11.0, "A line of plain text under the table")]
     df = spark.createDataFrame([(1, 1, float(x), float(y), float(w), float(h), s, t) for x, y, w, h, s, t in rows], "doc_id long, page_no int, x double, y double, w double, h double, size double, text string")
@@ -97,7 +126,7 @@ def test_cell_placement(spark):
 
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON = {"C5_find_many", "D3_word_diff", "D3_edit_counts", "D5_change_runs", "F3_calculate", "F3_by_style", "F3_product", "F7_derive"}
+PYTHON = {"C5_find_many", "D3_word_diff", "D3_edit_counts", "D5_change_runs", "F3_calculate", "F3_by_style", "F3_product", "F7_derive", "E5_list_groups", "E5_list_levels", "E10_grid_tables"}
 # Streams run when they are built; the plan of what they wrote says nothing.
 LIGHT = [n for n in entry.queries() if not n.startswith("N")]
 
