@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.base import query, table
 from quire.catalog.linkage import ITEMS
-from quire.plans.checkpoints import ensure_folder
+from quire.plans.checkpoints import ensure_folder, new_folder
 from quire.operators import links
 from quire.streaming import arrivals
 
@@ -34,6 +34,22 @@ def inspect(spark, folder):
     return arrivals.findings_so_far(spark, place).withColumn("details", F.array_join("details", " | "))
 
 
+@query("N2_recent_stream", """
+WITH s AS (SELECT user_id, props AS location, arg_max(event_id, (ts, event_id)) AS seq, max(ts) AS ts, (arg_max(event_id, (ts, event_id)) % 40 + 1)::BIGINT AS page FROM events GROUP BY ALL)
+SELECT user_id, location, seq, page, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) <= 12
+""")
+def recent_stream(spark, folder):
+    """Recent lists of users as events arrive in five batches."""
+    place = new_folder(spark, "recent")
+    rows = table(spark, folder, "events").select(
+        "user_id", F.col("props").alias("location"), F.col("ts").cast("timestamp").alias("opened_at"), F.col("event_id").cast("long").alias("seq"), (F.pmod("event_id", F.lit(40)) + 1).cast("long").alias("page"))
+    rows.repartition(5, "seq").write.parquet(f"{place}/in")
+    opened = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    arrivals.recent_stream(opened, f"{place}/out", f"{place}/state").awaitTermination()
+    return arrivals.recent_so_far(spark, f"{place}/out").drop("opened_at")
+
+
 @query("N3_pages_once", """
 SELECT user_id AS doc_id, count(DISTINCT event_id % 20) AS pages FROM events GROUP BY user_id
 """)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quire.operators import links, metrics
 
@@ -42,17 +45,61 @@ def findings_so_far(spark: SparkSession, sink: str) -> DataFrame:
     return found.join(last, ["doc_id", "batch"], "left_semi").drop("batch")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_RECENT = "user_id long, location string, opened_at timestamp, seq long, page long, rank long"
+
+
+class _RecentList(StatefulProcessor):
+    """One user's list as keyed state: at most `capacity` entries, newest first."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getListState("recent", "location string, opened_at timestamp, seq bigint, page bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = {e[0]: e for e in self.entries.get()}
+        for frame in rows:
+            for location, opened, seq, page in zip(*[frame[c].tolist() for c in ("location", "opened_at", "seq", "page")]):
+                opened, page = pd.Timestamp(opened).to_pydatetime(), None if pd.isna(page) else int(page)
+                old = known.get(location)
+                if old is None:
+                    known[location] = (location, opened, seq, page or 1)
+                elif (opened, seq) >= (old[1], old[2]):
+                    known[location] = (location, opened, seq, page or old[3])
+        newest = sorted(known.values(), key=lambda e: (e[1], e[2]), reverse=True)[: self.capacity]
+        self.entries.put(newest)
+        columns = list(zip(*newest))
+        yield pd.DataFrame({"user_id": key[0], "location": columns[0], "opened_at": columns[1], "seq": columns[2], "page": columns[3], "rank": range(1, len(newest) + 1)})
+
+    def close(self) -> None:
+        pass
+
+
 def recent_stream(opened: DataFrame, sink: str, checkpoint: str, capacity: int = 12) -> StreamingQuery:
-    """Recent lists kept up to date: each batch merges into the version the batch before it wrote."""
+    """Recent lists of users as documents `(user_id, location, opened_at, seq, page)` are opened, one bounded list per user in
+    keyed state; `recent_so_far` reads them.
+
+    A batch writes the lists of the users it met to a folder of its own, so one that runs again after a failure replaces
+    what it wrote, and no other list is touched. A page not given is the entry's last one; an entry that fell off the list
+    has none. Rows that come late count by their own time.
+    """
+    opened.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    lists = opened.select("user_id", "location", "opened_at", "seq", "page").groupBy("user_id").transformWithStateInPandas(
+        _RecentList(capacity), outputStructType=_RECENT, outputMode="Update", timeMode="None")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return lists.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select("user_id", "location", "opened_at", "seq", "page")
-        last = f"{sink}/version={number - 1}"
-        if number > 0 and _there(batch, last):
-            rows = rows.unionByName(batch.sparkSession.read.parquet(last).select(*rows.columns))
-        metrics.recent(rows, capacity).write.mode("overwrite").parquet(f"{sink}/version={number}")
 
-    return opened.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def recent_so_far(spark: SparkSession, sink: str) -> DataFrame:
+    """The last list of every user."""
+    lists = spark.read.parquet(sink)
+    last = lists.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return lists.join(last, ["user_id", "batch"], "left_semi").drop("batch")
 
 
 def first_pages_stream(pages: DataFrame, sink: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
@@ -60,6 +107,7 @@ def first_pages_stream(pages: DataFrame, sink: str, checkpoint: str, late: str =
 
     The watermark bounds what is remembered: repeats are recognised within it.
     """
+    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     once = pages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["doc_id", "page_no"])
     return once.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

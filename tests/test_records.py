@@ -1,6 +1,8 @@
 """Values, forms, links, comments, revisions and metrics on fixtures with known answers."""
 
+import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,3 +274,24 @@ def test_pages_that_arrive_later(spark, tmp_path):
         arrivals.inspect_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
         counts.append({r.doc_id: r["count"] for r in arrivals.findings_so_far(spark, str(tmp_path / "out")).collect()})
     assert counts == [{1: 1}, {1: 3}, {1: 3, 2: 1}]
+
+
+def test_recent_lists_as_a_stream(spark, tmp_path):
+    """Five batches, the last of them run twice, give what one batch over everything gives."""
+    dice = random.Random(7)
+    rows = [(i % 3, f"doc{dice.randrange(9)}", datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=dice.randrange(500)), i, dice.randrange(1, 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "user_id long, location string, opened_at timestamp, seq long, page long")
+    df.repartition(5, "seq").write.parquet(f"{tmp_path}/in")
+
+    def run():
+        opened = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        arrivals.recent_stream(opened, f"{tmp_path}/out", f"{tmp_path}/state", 4).awaitTermination()
+        return sorted(tuple(r) for r in arrivals.recent_so_far(spark, f"{tmp_path}/out").select("user_id", "location", "seq", "page", "rank").collect())
+
+    want = sorted(tuple(r) for r in metrics.recent(df, 4).select("user_id", "location", "seq", "page", "rank").collect())
+    assert run() == want
+    last = max(int(p.name) for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())
+    assert last == 4
+    for name in (f"{last}", f".{last}.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    assert run() == want
