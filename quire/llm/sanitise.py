@@ -2,19 +2,22 @@
 
 Entities are e-mail addresses, IPv4 addresses, payment cards and phone numbers. How strongly a term reveals an entity
 kind is estimated from lines of the whole corpus: PMI(term; kind) = log(p(term, kind) / (p(term) p(kind))), as a share of
-the kind's own information -log p(kind). A term at or above `remove` is a disclosure and goes with the entities; one at
-or above `generalise` is replaced by a general word for the kind.
+the kind's own information -log p(kind). Terms are judged by what their share is at least, with p(kind | term) at the
+lower end of its Wilson interval: a term met once or twice says little, and no term is left unjudged for being rare. A term
+surely at or above `remove` is a disclosure and goes with the entities; one at or above `generalise` is replaced by a
+general word for the kind.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import common
@@ -22,8 +25,12 @@ from quire.llm import common
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {k: f"[{k.upper()}]" for k in KINDS}
 GENERAL = {"email": "contact", "ip": "address", "card": "payment", "phone": "contact"}
-# Terms a task looks up at a time; more of them are looked up in further passes over the texts.
+# Disclosing terms a task looks up at a time; more of them are looked up in further passes over the texts.
 TERMS = 200_000
+# Terms a task counts before it hands its counts on; they are summed after the shuffle.
+COUNTED = 500_000
+# Half width of the Wilson interval in standard deviations (99 %).
+DEVIATIONS = 2.576
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -76,10 +83,9 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def _lines(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kinds as bits) of every line."""
-    out, at, held = [], 0, entities(text)
-    k = 0
+def _lines(text: str, held: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int]]:
+    """(start, end, kinds of the entities `held` as bits) of every line."""
+    out, at, k = [], 0, 0
     for line in text.split("\n"):
         end, bits = at + len(line), 0
         while k < len(held) and held[k][0] <= end:
@@ -91,41 +97,64 @@ def _lines(text: str) -> list[tuple[int, int, int]]:
 
 
 def _terms(line: str) -> set[str]:
-    return set(WORD.findall(line.lower()))
+    """Words found in the text as it stands, each lower-cased by itself: offsets stay those of the text."""
+    if line.isascii():
+        return set(WORD.findall(line.lower()))
+    return {w.lower() for w in WORD.findall(line)}
+
+
+def _meetings(text: str) -> Iterator[tuple[int, set[str]]]:
+    """Per line with entities: their kinds as bits and the terms beside them; entities' own letters are no terms."""
+    held = entities(text)
+    for a, b, bits in _lines(text, held) if held else ():
+        if bits:
+            bare, at = [], a
+            for s, _, e, _ in held:
+                if a <= s <= b:
+                    bare.append(text[at:s])
+                    at = max(at, min(e, b))
+            bare.append(text[at:b])
+            yield bits, _terms(" ".join(bare))
+
+
+def company(docs: DataFrame) -> DataFrame:
+    """`(term, n, email, ip, card, phone)`: in how many lines of the corpus a term stands, and in how many of those with a
+    kind. Only terms that stand with some kind are kept; the row with a null term counts all lines. Staged.
+
+    One pass over the texts: a task hands on its counts whenever they hold COUNTED terms.
+    """
+    schema = "term string, n bigint, " + ", ".join(f"{k} bigint" for k in KINDS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every: Counter[str | None] = Counter()
+        near: tuple[Counter[str | None], ...] = tuple(Counter() for _ in KINDS)
 
-def company(docs: DataFrame, least: int) -> DataFrame:
-    """`(term, kind, n)`: lines in which a term stands with a kind, from `least` lines on; entities' own letters are no
-    terms. A row with a null term counts the lines with the kind, kind -1 all lines."""
+        def counts() -> pa.RecordBatch:
+            terms = list(every)
+            found = {"term": pa.array(terms, pa.string()), "n": pa.array(list(every.values()), pa.int64())}
+            return pa.RecordBatch.from_pydict(found | {k: pa.array([c[t] for t in terms], pa.int64()) for k, c in zip(KINDS, near)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, 2000):
-            met: dict[tuple[str | None, int], int] = {}
+        for batch in common.slices(batches, 100):
             for text in batch["text"].to_pylist():
-                held = entities(text)
-                met[None, -1] = met.get((None, -1), 0) + text.count("\n") + 1
-                if not held:
-                    continue
-                for a, b, bits in _lines(text):
-                    if not bits:
-                        continue
-                    bare, at = [], a
-                    for s, _, e, _ in held:
-                        if a <= s <= b:
-                            bare.append(text[at:s])
-                            at = max(at, min(e, b))
-                    bare.append(text[at:b])
-                    terms = _terms(" ".join(bare))
-                    for kind in range(len(KINDS)):
+                lines = text.split("\n")
+                every[None] += len(lines)
+                for line in lines:
+                    every.update(_terms(line))
+                for bits, terms in _meetings(text):
+                    for kind, met in enumerate(near):
                         if bits >> kind & 1:
-                            met[None, kind] = met.get((None, kind), 0) + 1
-                            for t in terms:
-                                met[t, kind] = met.get((t, kind), 0) + 1
-            keys = list(met)
-            yield pa.RecordBatch.from_pydict({"term": pa.array([k[0] for k in keys], pa.string()), "kind": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([met[k] for k in keys], pa.int64())})
+                            met[None] += 1
+                            met.update(terms)
+                            every.update(dict.fromkeys(terms - every.keys(), 0))
+            if len(every) > COUNTED:
+                yield counts()
+                every.clear()
+                for met in near:
+                    met.clear()
+        yield counts()
 
-    counted = common.texts(docs).select("text").mapInArrow(run, "term string, kind int, n bigint").groupBy("term", "kind").agg(F.sum("n").alias("n"))
-    return common.staged(counted.where(f"term is null or n >= {least}"), "company")
+    counted = common.texts(docs).select("text").mapInArrow(run, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", *KINDS)])
+    return common.staged(counted.where(F.col("term").isNull() | (F.greatest(*KINDS) > 0)), "company")
 
 
 def _blocks(terms: DataFrame, columns: list[str]) -> Iterator[list[tuple]]:
@@ -136,113 +165,106 @@ def _blocks(terms: DataFrame, columns: list[str]) -> Iterator[list[tuple]]:
         yield [tuple(r) for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).select(*columns).collect()] if n else []
 
 
-def totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """`(term, n)`: in how many lines of the corpus each of `terms (term)` stands."""
-    spark, out = docs.sparkSession, None
-    for block in _blocks(terms, ["term"]):
-        wanted = spark.sparkContext.broadcast(frozenset(t for t, in block))
+def _at_least(together: Column, n: Column) -> Column:
+    """The lower end of the Wilson interval of together / n."""
+    z2, p = DEVIATIONS * DEVIATIONS, together / n
+    spread = DEVIATIONS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
+    return (p + z2 / (2 * n) - spread) / (1 + z2 / n)
 
-        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            names, met = wanted.value, {}  # a task's counts: at most TERMS of them
-            for batch in common.slices(batches, 2000):
-                for text in batch["text"].to_pylist():
-                    for line in text.lower().split("\n"):
-                        for t in names.intersection(WORD.findall(line)):
-                            met[t] = met.get(t, 0) + 1
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(met), pa.string()), "n": pa.array(list(met.values()), pa.int64())})
-
-        part = common.texts(docs).select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def disclosures(docs: DataFrame, generalise: float = 0.6, remove: float = 0.8) -> DataFrame:
+    """`(term, kind, share, sure, action)` of terms whose PMI with a kind is surely at least `generalise` of the kind's
+    information; of several kinds the surest, then the first listed. `share` is the plain estimate. Staged."""
+    met = company(docs)
+    lines = met.where("term is null").agg(*[F.sum(c).alias(c) for c in ("n", *KINDS)]).first()
+    every = lines["n"] or 0
+    info = [(k, lines[name], -log(lines[name] / every)) for k, name in enumerate(KINDS) if 0 < (lines[name] or 0) < every]
+    kinds = docs.sparkSession.createDataFrame(info, "kind int, of_kind bigint, info double")  # one row per kind
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(name).alias("together")) for k, name in enumerate(KINDS)])
+    pairs = met.where("term is not null").select("term", "n", F.explode(each).alias("_m")).select("term", "n", "_m.*").where("together > 0")
+    share = lambda p: F.log(p * F.lit(float(every)) / F.col("of_kind")) / F.col("info")
+    rated = pairs.join(F.broadcast(kinds), "kind").withColumns(
+        {"share": share(F.col("together") / F.col("n")), "sure": share(_at_least(F.col("together"), F.col("n")))})
+    best = rated.groupBy("term").agg(F.max_by(F.struct("kind", "share", "sure"), F.struct("sure", -F.col("kind"))).alias("b")).select("term", "b.*")
+    action = F.when(F.col("sure") >= remove, "remove").otherwise("generalise")
+    return common.staged(best.where(F.col("sure") >= generalise).withColumn("action", action), "disclosures")
 
 
-def disclosures(docs: DataFrame, least: int = 8, generalise: float = 0.6, remove: float = 0.8) -> DataFrame:
-    """`(term, kind, share, action)` of terms whose PMI with a kind is at least `generalise` of the kind's information, over
-    at least `least` lines with it; of several kinds the strongest, then the first listed. Staged."""
-    met = company(docs, least)
-    lines = {r["kind"]: r["n"] for r in met.where("term is null").collect()}  # one per kind
-    every = lines.get(-1, 0)
-    info = [(k, lines[k], -log(lines[k] / every)) for k in range(len(KINDS)) if 0 < lines.get(k, 0) < every]
-    kinds = docs.sparkSession.createDataFrame(info, "kind int, of_kind bigint, info double")
-    with_terms = met.where("term is not null")
-    counted = totals(docs, with_terms.select("term").distinct())
-    pmi = F.log(F.col("together") * F.lit(float(every)) / (F.col("n") * F.col("of_kind")))
-    rated = with_terms.withColumnRenamed("n", "together").join(F.broadcast(kinds), "kind").join(counted, "term").withColumn("share", pmi / F.col("info"))
-    best = rated.groupBy("term").agg(F.max_by(F.struct("kind", "share"), F.struct("share", -F.col("kind"))).alias("b")).select("term", "b.kind", "b.share")
-    action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
-    return common.staged(best.where(F.col("share") >= generalise).withColumn("action", action), "disclosures")
+SPANS = "doc_id bigint, text string, starts array<bigint>, ends array<bigint>, kinds array<string>, general array<string>"
 
 
 def spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """`(doc_id, text, starts, ends, kinds)` for every row: entities, then terms as kinds `term_remove` and
-    `term_generalise`, sorted by start and then as listed. Terms inside an entity are not marked again."""
+    """`(doc_id, text, starts, ends, kinds, general)` for every row: entities, then terms as kinds `term_remove` and
+    `term_generalise`, sorted by start and then as listed; `general` is what a term to generalise becomes. Terms inside an
+    entity are not marked again."""
     order = {k: i for i, k in enumerate((*KINDS, "term_remove", "term_generalise"))}
-    spark = docs.sparkSession
-    rows = common.texts(docs).withColumn("starts", F.array().cast("array<bigint>")).withColumn("ends", F.array().cast("array<bigint>")).withColumn("kinds", F.array().cast("array<string>"))
-    first = True
-    for block in _blocks(terms, ["term", "action"]):
-        wanted = spark.sparkContext.broadcast(dict(block))
 
-        def run(batches: Iterator[pa.RecordBatch], wanted=wanted, first=first) -> Iterator[pa.RecordBatch]:
+    def written(batch: pa.RecordBatch, rows: list[list[tuple]]) -> pa.RecordBatch:
+        column = lambda k, kind: pa.array([[f[k] for f in row] for row in rows], pa.list_(kind))
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch["doc_id"], "text": batch["text"], "starts": column(0, pa.int64()), "ends": column(2, pa.int64()),
+            "kinds": column(3, pa.string()), "general": column(4, pa.string())})
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            yield written(batch, [[(*found, None) for found in entities(text)] for text in batch["text"].to_pylist()])
+
+    rows = common.texts(docs).mapInArrow(plain, SPANS)
+    for block in _blocks(terms, ["term", "action", "kind"]):
+        wanted = docs.sparkSession.sparkContext.broadcast({t: (f"term_{action}", GENERAL[KINDS[kind]] if action == "generalise" else None) for t, action, kind in block})
+
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
             names = wanted.value
             for batch in common.slices(batches):
-                texts = batch["text"].to_pylist()
-                out: tuple[list, list, list] = ([], [], [])
-                for text, *held in zip(texts, batch["starts"].to_pylist(), batch["ends"].to_pylist(), batch["kinds"].to_pylist()):
-                    base = entities(text)
-                    found = [(a, i, b, k) for a, i, b, k in base] if first else [(a, order[k], b, k) for a, b, k in zip(*held)]
-                    low = text.lower()
-                    if names and len(low) == len(text) and not names.keys().isdisjoint(WORD.findall(low)):
+                out = []
+                for text, *held in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends", "kinds", "general"))):
+                    found = [(a, order[k], b, k, g) for a, b, k, g in zip(*held)]
+                    if names and not names.keys().isdisjoint(_terms(text)):
+                        base = [s for s in found if s[3] in MARKS]
                         begins = np.array([s[0] for s in base] or [0])
                         reach = np.maximum.accumulate(np.array([s[2] for s in base] or [0]))
-                        for m in WORD.finditer(low):
-                            action = names.get(m[0])
-                            if action:
+                        for m in WORD.finditer(text):
+                            kind, general = names.get(m[0].lower(), (None, None))
+                            if kind:
                                 k = int(np.searchsorted(begins, m.end() - 1, "right")) - 1
                                 if k < 0 or reach[k] <= m.start():
-                                    kind = f"term_{action}"
-                                    found.append((m.start(), order[kind], m.end(), kind))
-                    found.sort()
-                    for column, k in zip(out, (0, 2, 3)):
-                        column.append([f[k] for f in found])
-                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": batch["text"], "starts": pa.array(out[0], pa.list_(pa.int64())), "ends": pa.array(out[1], pa.list_(pa.int64())), "kinds": pa.array(out[2], pa.list_(pa.string()))})
-
-        rows = rows.mapInArrow(run, "doc_id bigint, text string, starts array<bigint>, ends array<bigint>, kinds array<string>")
-        first = False
+                                    found.append((m.start(), order[kind], m.end(), kind, general))
+                        found.sort(key=lambda s: s[:3])
+                    out.append(found)
+                yield written(batch, out)
+
+        rows = rows.mapInArrow(run, SPANS)
     return rows
 
 
-def sanitised(docs: DataFrame, least: int = 8, generalise: float = 0.6, remove: float = 0.8) -> DataFrame:
+def sanitised(docs: DataFrame, generalise: float = 0.6, remove: float = 0.8) -> DataFrame:
     """`(doc_id, text)`: entities become their mark, terms to remove nothing, terms to generalise their kind's general word.
 
     A null or empty text becomes an empty one; the rest is as in `digest`.
     """
-    terms = disclosures(docs, least, generalise, remove)
-    general = {r["term"]: GENERAL[KINDS[r["kind"]]] for r in terms.where("action = 'generalise'").limit(TERMS).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(general)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             out = []
-            for text, starts, ends, kinds in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends", "kinds"))):
+            for text, starts, ends, kinds, general in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends", "kinds", "general"))):
                 parts, at = [], 0
-                for a, b, kind in zip(starts, ends, kinds):
+                for a, b, kind, word in zip(starts, ends, kinds, general):
                     if a >= at:
-                        parts += [text[at:a], MARKS.get(kind) or (shared.value.get(text[a:b].lower(), "something") if kind == "term_generalise" else "")]
+                        parts += [text[at:a], MARKS.get(kind) or word or ""]
                     at = max(at, b)
                 out.append("".join(parts) + text[at:])
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": pa.array(out, pa.string())})
 
-    return spans(docs, terms).mapInArrow(run, "doc_id bigint, text string")
+    return spans(docs, disclosures(docs, generalise, remove)).mapInArrow(run, "doc_id bigint, text string")
 
 
-def digest(docs: DataFrame, least: int = 8, generalise: float = 0.6, remove: float = 0.8) -> DataFrame:
+def digest(docs: DataFrame, generalise: float = 0.6, remove: float = 0.8) -> DataFrame:
     """Per row the number of entities of each kind, the SHA-256 of their list and the list of all spans.
 
     A null or empty text has none; rows of equal id and text are counted as often as they come; a null id is an id like
     any other; an empty table gives an empty one; other columns stay behind.
     """
-    terms = disclosures(docs, least, generalise, remove)
+    terms = disclosures(docs, generalise, remove)
     shown = lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"])
     every = F.arrays_zip("kinds", "starts", "ends")
     base = F.filter(every, lambda s: s["kinds"].isin(*KINDS))

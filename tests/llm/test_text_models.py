@@ -130,6 +130,49 @@ def test_disclosing_terms(spark, monkeypatch):
     assert "[EMAIL]" in sanitise.sanitised(docs).first()["text"] and "holder" not in sanitise.sanitised(docs).first()["text"]
 
 
+def test_rare_terms_and_long_lower_case(spark):
+    """A name beside seven addresses goes, one beside a single address stays; İ, whose lower case is longer, switches nothing off."""
+    rows = [(i, f"İstanbul Smithson wrote user{i}@example.org" if i < 7 else "many plain words stand here") for i in range(1000)]
+    rows += [(1000, "İİ Smithson came"), (1001, "Oncemet wrote me@example.org")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["term"]: r["action"] for r in sanitise.disclosures(docs).collect()}
+    assert {"smithson", "wrote", "i̇stanbul"} <= found.keys() and not {"many", "plain", "oncemet", "came"} & found.keys()
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitised(docs).where("doc_id in (0, 999, 1000)").collect()}
+    assert "Smithson" not in clean[0] + clean[1000] and "İstanbul" not in clean[0] and clean[999] == rows[999][1] and clean[1000].startswith("İİ ")
+
+
+def test_term_spans_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    lines, of_kind, n, together = 0, [0] * 4, {}, {}
+    words = lambda t: {m[0].lower() for m in sanitise.WORD.finditer(t)}
+    for text in texts.values():
+        spans, at = naive(text), 0
+        for line in text.split("\n"):
+            end, lines = at + len(line), lines + 1
+            here = [s for s in spans if at <= s[0] <= end]
+            outside = "".join(" " if any(s[0] <= i < s[2] for s in here) else text[i] for i in range(at, end))
+            for t in words(line):
+                n[t] = n.get(t, 0) + 1
+            for kind in {s[1] for s in here}:
+                of_kind[kind] += 1
+                for t in words(outside):
+                    together[t, kind] = together.get((t, kind), 0) + 1
+            at = end + 1
+    z, best = sanitise.DEVIATIONS, {}
+    for (t, kind), k in together.items():
+        p = k / n[t]
+        low = (p + z * z / 2 / n[t] - z * (p * (1 - p) / n[t] + z * z / 4 / n[t] ** 2) ** 0.5) / (1 + z * z / n[t])
+        sure = np.log(low * lines / of_kind[kind]) / np.log(lines / of_kind[kind])
+        best[t] = max(best.get(t, (-9, 0)), (sure, -kind))
+    want = {t: "term_remove" if s >= 0.8 else "term_generalise" for t, (s, _) in best.items() if s >= 0.6}
+    got = {r["doc_id"]: r for r in sanitise.spans(docs, sanitise.disclosures(docs)).collect()}
+    for i, text in texts.items():
+        base = naive(text)
+        terms = [(m.start(), m.end(), want[m[0].lower()]) for m in sanitise.WORD.finditer(text) if m[0].lower() in want and not any(s[0] < m.end() and m.start() < s[2] for s in base)]
+        assert sorted(zip(got[i]["starts"], got[i]["ends"], got[i]["kinds"])) == sorted([(a, b, k) for a, _, b, k in base] + terms)
+
+
 def test_trigram_queries():
     assert secretscan.trigram_query("abc+d") == {frozenset({"abc"})}
     assert secretscan.trigram_query("ab?cde") == {frozenset({"acd", "cde"}), frozenset({"abc", "bcd", "cde"})}
