@@ -29,10 +29,12 @@ GENERAL = {"email": "contact", "ip": "address", "card": "payment", "phone": "con
 # Disclosing terms a task looks up at a time; more of them are looked up in further passes over the texts.
 TERMS = 200_000
 # Terms a task counts before it hands its counts on; they are summed after the shuffle.
-COUNTED = 500_000
+COUNTED = 100_000
 # Half width of the Wilson interval in standard deviations (99 %).
 DEVIATIONS = 2.576
 
+TYPES = pa.schema([("term", pa.string()), *((c, pa.int64()) for c in ("n", *KINDS))])
+
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A number that another digit precedes is the tail of one already read; this keeps long runs of digits linear.
@@ -97,11 +99,16 @@ def _lines(text: str, held: list[tuple[int, int, int, str]]) -> list[tuple[int,
     return out
 
 
+def _lowers_in_place(text: str) -> bool:
+    """Without the only letters whose lower case is longer, or hangs on their neighbours."""
+    return "İ" not in text and "Σ" not in text
+
+
 def _terms(line: str) -> set[str]:
     """Words found in the text as it stands, each lower-cased by itself: offsets stay those of the text."""
-    if "İ" in line or "Σ" in line:  # the only letters whose lower case is longer, or hangs on their neighbours
-        return {w.lower() for w in WORD.findall(line)}
-    return set(WORD.findall(line.lower()))
+    if _lowers_in_place(line):
+        return set(WORD.findall(line.lower()))
+    return {w.lower() for w in WORD.findall(line)}
 
 
 def _meetings(text: str) -> Iterator[tuple[int, set[str]]]:
@@ -119,42 +126,31 @@ def _meetings(text: str) -> Iterator[tuple[int, set[str]]]:
 
 
 def company(docs: DataFrame) -> DataFrame:
-    """`(term, n, email, ip, card, phone)`: in how many lines of the corpus a term stands, and in how many of those with a
-    kind. Only terms that stand with some kind are kept; the row with a null term counts all lines. Staged.
-
-    One pass over the texts: a task hands on its counts whenever they hold COUNTED terms.
-    """
+    """`(term, n, email, ip, card, phone)`: in how many lines with a kind each term stands; the row with a null term counts
+    all lines, `n` without regard to kinds. A task hands on its counts whenever they hold COUNTED terms. Staged."""
     schema = "term string, n bigint, " + ", ".join(f"{k} bigint" for k in KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter[str | None] = Counter()
-        near: tuple[Counter[str | None], ...] = tuple(Counter() for _ in KINDS)
+        lines, met = 0, {}
 
         def counts() -> pa.RecordBatch:
-            terms = list(every)
-            found = {"term": pa.array(terms, pa.string()), "n": pa.array(list(every.values()), pa.int64())}
-            return pa.RecordBatch.from_pydict(found | {k: pa.array([c[t] for t in terms], pa.int64()) for k, c in zip(KINDS, near)})
+            rows = [(None, lines, 0, 0, 0, 0), *((t, 0, *c) for t, c in met.items())]
+            return pa.RecordBatch.from_pylist([dict(zip(("term", "n", *KINDS), r)) for r in rows], TYPES)
 
         for batch in common.slices(batches, 100):
             for text in batch["text"].to_pylist():
-                lines = text.split("\n")
-                every[None] += len(lines)
-                every.update(chain.from_iterable(map(_terms, lines)))
+                lines += text.count("\n") + 1
                 for bits, terms in _meetings(text):
-                    for kind, met in enumerate(near):
-                        if bits >> kind & 1:
-                            met[None] += 1
-                            met.update(terms)
-                            every.update(dict.fromkeys(terms - every.keys(), 0))
-            if len(every) > COUNTED:
+                    for t in (None, *terms):
+                        held = met.setdefault(t, [0] * len(KINDS))
+                        for kind in range(len(KINDS)):
+                            held[kind] += bits >> kind & 1
+            if len(met) > COUNTED:
                 yield counts()
-                every.clear()
-                for met in near:
-                    met.clear()
+                lines, met = 0, {}
         yield counts()
 
-    counted = common.texts(docs).select("text").mapInArrow(run, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", *KINDS)])
-    return common.staged(counted.where(F.col("term").isNull() | (F.greatest(*KINDS) > 0)), "company")
+    return common.staged(common.texts(docs).select("text").mapInArrow(run, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", *KINDS)]), "company")
 
 
 def _blocks(terms: DataFrame, columns: list[str]) -> Iterator[list[tuple]]:
@@ -165,6 +161,29 @@ def _blocks(terms: DataFrame, columns: list[str]) -> Iterator[list[tuple]]:
         yield [tuple(r) for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).select(*columns).collect()] if n else []
 
 
+def totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """`(term, n)`: in how many lines of the corpus each of `terms (term)` stands."""
+    spark = docs.sparkSession
+    out = spark.createDataFrame([], "term string, n bigint")
+    for block in _blocks(terms, ["term"]):
+        wanted = spark.sparkContext.broadcast(frozenset(t for t, in block))
+
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            names, met = wanted.value, Counter()  # a task's counts: at most TERMS of them
+            for batch in common.slices(batches, 2000):
+                for text in batch["text"].to_pylist():
+                    if _lowers_in_place(text):
+                        words = map(WORD.findall, text.lower().split("\n"))
+                    else:
+                        words = map(_terms, text.split("\n"))
+                    met.update(chain.from_iterable(map(names.intersection, words)))
+            yield pa.RecordBatch.from_pydict({"term": pa.array(list(met), pa.string()), "n": pa.array(list(met.values()), pa.int64())})
+
+        part = common.texts(docs).select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+        out = out.unionByName(part)
+    return out
+
+
 def _at_least(together: Column, n: Column) -> Column:
     """The lower end of the Wilson interval of together / n."""
     z2, p = DEVIATIONS * DEVIATIONS, together / n
@@ -181,9 +200,12 @@ def disclosures(docs: DataFrame, generalise: float = 0.6, remove: float = 0.8) -
     info = [(k, lines[name], -log(lines[name] / every)) for k, name in enumerate(KINDS) if 0 < (lines[name] or 0) < every]
     kinds = docs.sparkSession.createDataFrame(info, "kind int, of_kind bigint, info double")  # one row per kind
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(name).alias("together")) for k, name in enumerate(KINDS)])
-    pairs = met.where("term is not null").select("term", "n", F.explode(each).alias("_m")).select("term", "n", "_m.*").where("together > 0")
     share = lambda p: F.log(p * F.lit(float(every)) / F.col("of_kind")) / F.col("info")
-    rated = pairs.join(F.broadcast(kinds), "kind").withColumns(
+    pairs = met.where("term is not null").select("term", F.explode(each).alias("_m")).select("term", "_m.*").where("together > 0")
+    # A term stands in at least as many lines as it stands beside a kind; no count of all its lines can make it surer.
+    able = pairs.join(F.broadcast(kinds), "kind").where(share(_at_least(F.col("together"), F.col("together"))) >= generalise)
+    able = common.staged(able, "able")
+    rated = able.join(totals(docs, able.select("term").distinct()), "term").withColumns(
         {"share": share(F.col("together") / F.col("n")), "sure": share(_at_least(F.col("together"), F.col("n")))})
     best = rated.groupBy("term").agg(F.max_by(F.struct("kind", "share", "sure"), F.struct("sure", -F.col("kind"))).alias("b")).select("term", "b.*")
     action = F.when(F.col("sure") >= remove, "remove").otherwise("generalise")
