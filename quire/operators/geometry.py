@@ -69,35 +69,33 @@ def snap(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
     """Where each point `(doc_id, page_no, id, x, y)` snaps to on segments `(doc_id, page_no, seg_id, x0, y0, x1, y1)`.
 
     The nearest end within the tolerance, else the nearest middle, else the nearest point on a segment.
-    Points look into the cells their tolerance touches (four at most); equal targets count once.
+    Segments are dealt to the cells within the tolerance and listed there; a point is moved once, to the list of
+    its own cell, and nothing is counted or sorted per pair. Equal segments count once.
     """
-    size, key = tolerance * 4, ["doc_id", "page_no", "_c"]
+    size, key = tolerance * 16, ["doc_id", "page_no", "_c"]
     segments = segments.withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")})
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    probes = points.select("doc_id", "page_no", "id", "x", "y", F.explode(spatial.box_cells(
-        F.col("x") - tolerance, F.col("y") - tolerance, F.col("x") + tolerance, F.col("y") + tolerance, size)).alias("_c"))
-    spot = lambda rank, x, y: F.struct(F.lit(rank).alias("rank"), x.alias("tx"), y.alias("ty"))
-    spots = segments.select("doc_id", "page_no", "seg_id", F.explode(F.array(
-        spot(0, x0, y0), spot(0, x1, y1), spot(1, (x0 + x1) / 2, (y0 + y1) / 2))).alias("_s")).select("doc_id", "page_no", "seg_id", "_s.*")
-    spots = spots.groupBy("doc_id", "page_no", "rank", "tx", "ty").agg(F.min("seg_id").alias("seg_id"))
-    spots = spots.withColumn("_c", F.struct(spatial.cell(F.col("tx"), size).alias("cx"), spatial.cell(F.col("ty"), size).alias("cy")))
-    near_spots = probes.join(spots, key).select("doc_id", "page_no", "id", "x", "y", "rank", "seg_id", "tx", "ty")
-
-    paths = segments.dropDuplicates(["doc_id", "page_no", "x0", "y0", "x1", "y1"]).select(
-        "doc_id", "page_no", "seg_id", "x0", "y0", "x1", "y1",
-        F.explode(spatial.segment_cells(x0, y0, x1, y1, size)).alias("_c"))
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    long2 = dx * dx + dy * dy
-    along = F.when(long2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / F.when(long2 > 0, long2).otherwise(1.0)))).otherwise(0.0)
-    near_paths = probes.join(paths, key).withColumn("_t", along).select(
-        "doc_id", "page_no", "id", "x", "y", F.lit(2).alias("rank"), "seg_id",
-        (F.col("x0") + F.col("_t") * dx).alias("tx"), (F.col("y0") + F.col("_t") * dy).alias("ty"))
-    d2 = (F.col("tx") - F.col("x")) * (F.col("tx") - F.col("x")) + (F.col("ty") - F.col("y")) * (F.col("ty") - F.col("y"))
-    found = near_spots.unionByName(near_paths).withColumn("_d", d2).where(F.col("_d") <= tolerance * tolerance)
-    best = found.groupBy("doc_id", "page_no", "id").agg(F.min(F.struct("rank", "_d", "seg_id", "tx", "ty")).alias("_b"))
+    ends = ("x0", "y0", "x1", "y1")
+    paths = segments.groupBy("doc_id", "page_no", *ends).agg(F.min("seg_id").alias("seg_id"))
+    paths = paths.withColumn("_c", F.explode(spatial.segment_cells(*map(F.col, ends), size, tolerance)))
+    listed = paths.groupBy(*key).agg(F.collect_list(F.struct("seg_id", *ends)).alias("_segments"))
+    at = points.withColumn("_c", F.struct(spatial.cell(F.col("x"), size).alias("cx"), spatial.cell(F.col("y"), size).alias("cy")))
+
+    def spots(s: Column) -> Column:
+        x0, y0, x1, y1 = (s[c] for c in ends)
+        dx, dy = x1 - x0, y1 - y0
+        long2 = dx * dx + dy * dy
+        along = F.when(long2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - x0) * dx + (F.col("y") - y0) * dy) / F.when(long2 > 0, long2).otherwise(1.0)))).otherwise(0.0)
+        spot = lambda rank, x, y: F.struct(F.lit(rank).alias("rank"), s["seg_id"].alias("seg_id"), x.alias("tx"), y.alias("ty"))
+        return F.array(spot(0, x0, y0), spot(0, x1, y1), spot(1, (x0 + x1) / 2, (y0 + y1) / 2), spot(2, x0 + along * dx, y0 + along * dy))
+
+    def near(s: Column) -> Column:
+        d2 = (s["tx"] - F.col("x")) * (s["tx"] - F.col("x")) + (s["ty"] - F.col("y")) * (s["ty"] - F.col("y"))
+        return F.when(d2 <= tolerance * tolerance, F.struct(s["rank"].alias("rank"), d2.alias("_d"), s["seg_id"].alias("seg_id"), s["tx"].alias("tx"), s["ty"].alias("ty")))
+
+    best = F.array_min(F.transform(F.flatten(F.transform("_segments", spots)), near))
+    found = at.join(listed, key, "left").select("doc_id", "page_no", "id", "x", "y", best.alias("_b"))
     kind = F.when(F.col("_b.rank") == 0, "Endpoint").when(F.col("_b.rank") == 1, "Midpoint").when(F.col("_b.rank") == 2, "OnPath").otherwise("None")
-    return points.join(best, ["doc_id", "page_no", "id"], "left").select(
-        "doc_id", "page_no", "id", kind.alias("kind"), F.coalesce("_b.tx", "x").alias("x"), F.coalesce("_b.ty", "y").alias("y"))
+    return found.select("doc_id", "page_no", "id", kind.alias("kind"), F.coalesce("_b.tx", "x").alias("x"), F.coalesce("_b.ty", "y").alias("y"))
 
 
 def hit_test(points: DataFrame, rects: DataFrame, slack: float = 0.0, size: float = 64.0) -> DataFrame:
