@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quire.operators import compare as comparing
-from quire.operators import geometry
+from quire.operators import geometry, tables
 from tests.oracle import compare
 
 SMALL = pathlib.Path("/root/testdata/sf0.001")
@@ -68,3 +68,16 @@ def test_snapping_near_cell_edges(spark):
                 if d <= 36 and (best is None or (rank, d, s, tx, ty) < best):
                     best = (rank, d, s, tx, ty)
         assert found[p, i] == (("None", x, y) if best is None else (("Endpoint", "Midpoint", "OnPath")[best[0]], *best[3:]))
+
+
+def test_sheets_work_cells_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(number):
+        seen.add(1)
+        return str(number)
+
+    cells = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("table_id"), F.lit(0).alias("row"), F.lit(0).alias("col"), text("id").alias("text"), F.lit("Page 1").alias("sheet"))
+    tables.write_sheets(cells, f"{tmp_path}/sheets")
+    assert seen.value == 1000 and tables.read_sheets(spark, f"{tmp_path}/sheets", cells.schema).count() == 1000
