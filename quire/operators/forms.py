@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,14 +142,31 @@ def _numbers(fields: DataFrame) -> DataFrame:
     return fields.select("doc_id", "name", place.alias("_place"), F.coalesce(V.number_text(F.col("value"), style), F.lit("0")).alias("_t"))
 
 
+def _prefixes() -> Column:
+    """A field's own name and the dotted prefixes of it."""
+    parts = F.split("name", r"\.")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ".")))
+
+
+def _under(name: str) -> Column:
+    return (F.col("name") == name) | F.col("name").startswith(name + ".")
+
+
+def _matching(names: Sequence[str]) -> Column:
+    """The names a field counts under: a few are compared with it one by one, many are looked up by its prefixes."""
+    if not names:
+        return F.array().cast("array<string>")
+    if len(names) <= 16:
+        return F.array_compact(F.array(*[F.when(_under(n), F.lit(n)) for n in names]))
+    return F.filter(_prefixes(), lambda p: p.isin(*names))
+
+
 def _named(fields: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
     """The numbers behind each (target, name): the field of that name or every field under it.
 
     A field meets its own name and the dotted prefixes of it, never a whole document's names.
     """
-    parts = F.split("name", r"\.")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    spread = _numbers(fields).select("doc_id", "_place", "_t", F.explode(F.array_distinct(prefixes)).alias("_key"))
+    spread = _numbers(fields).select("doc_id", "_place", "_t", F.explode(_prefixes()).alias("_key"))
     wanted = sizes.rules(fields.sparkSession, names, "target string, _key string")
     return spread.join(wanted, "_key")
 
@@ -159,27 +177,99 @@ def _each(docs: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:
     return docs.select("doc_id", F.explode(rows).alias("_r")).select("doc_id", "_r.*")
 
 
-# A number as two decimals that add up exactly: before the point, and after it.
-_HALVES = "struct<w:decimal(38,0),f:decimal(38,28)>"
+# Numbers of few digits are added up as they are; ten thousand million of them fit their sum.
+_FEW, _FEW_DIGITS = "decimal(18,6)", r"^[+-]?(?:\d{1,12}(?:\.\d{0,6})?|\.\d{1,6})$"
 
 
-def _halves(text: Column) -> Column:
+def _halves(text: Column) -> tuple[Column, Column]:
+    """Any number as two decimals that add up exactly: before the point, and after it."""
     plain = F.when(F.regexp_like(text, F.lit("[eE]")), text.try_cast(V.DECIMAL).cast("string")).otherwise(text)
     sign = F.when(plain.startswith("-"), "-").otherwise("")
     digits = F.translate(plain, "+-", "")
     whole = F.concat(sign, F.lit("0"), F.substring_index(digits, ".", 1)).try_cast("decimal(38,0)")
     after = F.when(F.contains(digits, F.lit(".")), F.substring_index(digits, ".", -1)).otherwise("")
-    return F.struct(whole.alias("w"), F.concat(sign, F.lit("0."), after, F.lit("0")).try_cast("decimal(38,28)").alias("f"))
-
+    return whole, F.concat(sign, F.lit("0."), after, F.lit("0")).try_cast("decimal(38,28)")
 
-def _sum(halves: str) -> Column:
-    return F.struct(F.try_sum(F.col(f"{halves}.w")).alias("w"), F.try_sum(F.col(f"{halves}.f")).alias("f"))
 
+def _totals(fields: DataFrame, names: Sequence[str], apart: Sequence[str] = (), ends: bool = True) -> DataFrame:
+    """`(doc_id, _by)`: per document and name the count, sum, least and greatest of the fields the name stands for, as a map by name.
 
-def _joined(halves: dict | None) -> exact.Number | None:
-    """The number of two halves; null where one of them overflowed."""
-    w, f = (None, None) if halves is None else (exact.read(halves["w"]), exact.read(halves["f"]))
-    return None if w is None or f is None else exact.add(w, f)
+    Fields named in `apart` count under `=name` alone; without `ends` least and greatest are left null. Every document has a row. Numbers of few digits are summed at once;
+    others are counted by their whole part first, so the least and greatest need no order over both parts.
+    """
+    keys = _matching(names)
+    if apart:
+        keys = F.when(F.col("name").isin(*apart), F.array(F.concat(F.lit("="), "name"))).otherwise(keys)
+    rows = _numbers(fields).select("doc_id", "_t", F.explode_outer(keys).alias("_key"))
+    rows = rows.withColumn("_long", ~F.regexp_like("_t", F.lit(_FEW_DIGITS)))
+    whole, rest = _halves(F.col("_t"))
+    rows = rows.select("doc_id", "_key", "_long", F.when(~F.col("_long"), F.col("_t").try_cast(_FEW)).alias("_v"),
+                       F.when(F.col("_long"), whole).alias("_w"), F.when(F.col("_long"), rest).alias("_f"))
+    end = lambda f, c: f(c) if ends else F.max(F.lit(None).cast("decimal(18,6)"))
+    once = rows.groupBy("doc_id", "_key", "_long", "_w").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"), end(F.min, "_v").alias("_lo"), end(F.max, "_v").alias("_hi"),
+        F.try_sum("_w").alias("_sw"), F.try_sum("_f").alias("_sf"), end(F.min, "_f").alias("_flo"), end(F.max, "_f").alias("_fhi"))
+    lost = F.col("_w").isNotNull() & F.col("_sw").isNull()
+    parts = once.repartition("doc_id").groupBy("doc_id", "_key").agg(
+        F.sum("_n").alias("n"), F.sum("_s").alias("s"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), F.max("_long").alias("long"),
+        F.try_sum("_sw").alias("w"), F.try_sum("_sf").alias("f"), F.max(lost).alias("_lost"), F.count("_w").alias("_ws"),
+        F.max(F.col("_long") & F.col("_w").isNull()).alias("unread"),
+        F.min("_w").alias("lo_w"), F.min_by("_flo", "_w").alias("lo_f"), F.max("_w").alias("hi_w"), F.max_by("_fhi", "_w").alias("hi_f"))
+    over = F.col("_lost") | ((F.col("_ws") > 0) & F.col("w").isNull())
+    far = F.struct(*[F.col(c).cast("string").alias(c) for c in ("w", "f", "lo_w", "lo_f", "hi_w", "hi_f")], over.alias("over"), F.col("unread"))
+    text = lambda c: F.rtrim(F.rtrim(F.col(c).cast("string"), F.lit("0")), F.lit(".")).alias(c)
+    part = F.struct("n", text("s"), text("lo"), text("hi"), F.when(F.col("long"), far).alias("far"))
+    return parts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("_key", part)))).alias("_by"))
+
+
+# Count, sum (not yet rounded), least and greatest of some numbers; None in them is what does not fit.
+_Part = tuple[int, exact.Number | None, exact.Number | None, exact.Number | None]
+
+
+def _part(n: int | None, s: str | None, lo: str | None, hi: str | None, far: dict | None) -> _Part | None:
+    if n is None:
+        return None
+    if far is None:
+        return n, exact.plain(s), None if lo is None else exact.plain(lo), None if hi is None else exact.plain(hi)
+    number = lambda w, f: None if w is None or f is None else exact.fitted(*exact.whole_and_rest(w, f))
+    few = exact.plain(s or "0")
+    total = None if far["over"] else exact.whole_and_rest(far["w"] or "0", far["f"] or "0", few)
+    least = None if far["unread"] else _first([number(far["lo_w"], far["lo_f"]), exact.plain(lo) if lo else None], [far["lo_w"], lo], min)
+    most = _first([number(far["hi_w"], far["hi_f"]), exact.plain(hi) if hi else None], [far["hi_w"], hi], max)
+    return n, total, least, most
+
+
+def _first(numbers: list, texts: list, pick) -> exact.Number | None:
+    """The least or greatest of the numbers that are there; None where one that is there does not fit and comes first."""
+    there = [(n, t) for n, t in zip(numbers, texts) if t is not None]
+    if not there:
+        return None
+    size = lambda nt: exact.compared(nt[0]) if nt[0] is not None else exact.compared((int(nt[1].partition(".")[0]), 0))
+    return pick(there, key=size)[0]
+
+
+def _together(parts: Sequence[_Part | None]) -> _Part | None:
+    """Several parts as one."""
+    there = [p for p in parts if p is not None]
+    if len(there) < 2:
+        return there[0] if there else None
+    n, total, least, most = there[0]
+    for k, s, lo, hi in there[1:]:
+        n, total = n + k, None if total is None or s is None else exact.joined(total, s)
+        least = None if least is None or lo is None else min(least, lo, key=exact.compared)
+        most = None if most is None or hi is None else max(most, hi, key=exact.compared)
+    return n, total, least, most
+
+
+def _folded(operation: str, part: _Part | None) -> exact.Number | None:
+    """A part to the result of an operation."""
+    if part is None:
+        return exact.ZERO if operation in ("SUM", "AVG") else None
+    n, total, least, most = part
+    total = None if total is None else exact.fitted(*total)
+    if operation == "AVG":
+        return None if total is None else exact.divide(total, (n, 0))
+    return total if operation == "SUM" else least if operation == "MIN" else most
 
 
 _RESULT = "doc_id long, name string, text string"
@@ -190,21 +280,36 @@ def _with_number(results: DataFrame) -> DataFrame:
     return results.select("doc_id", "name", F.col("text").try_cast(V.DECIMAL).alias("result"), "text")
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums and the like to their results."""
+def _apart(totals: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`_totals` with the part of each name as a column of its own, looked up once."""
+    return totals.select("doc_id", *[F.try_element_at("_by", F.lit(n)).alias(f"_p{i}") for i, n in enumerate(names)])
+
+
+_PART = "struct<n:bigint,s:string,lo:string,hi:string,far:struct<w:string,f:string,lo_w:string,lo_f:string,hi_w:string,hi_f:string,over:boolean,unread:boolean>>"
+
+
+def _operation(c: Calculation, parts: Sequence[Column]) -> Column:
+    """A calculation's result as text where it needs no rounding; else the parts it is made of."""
+    none = reduce(lambda a, b: a & b, [p.isNull() for p in parts], F.lit(True))
+    text = F.when(none, F.lit("0" if c.operation in ("SUM", "AVG") else None).cast("string"))
+    known = none
+    if len(parts) == 1 and c.operation != "AVG":
+        known = none | parts[0]["far"].isNull()
+        text = text.otherwise(parts[0][{"SUM": "s", "MIN": "lo", "MAX": "hi"}[c.operation]])
+    return F.struct(
+        F.lit(c.name).alias("name"), F.lit(c.operation).alias("_op"), F.when(known, text).alias("text"), (~known).alias("_open"),
+        F.when(~known, F.array(*parts) if parts else F.array()).cast(f"array<{_PART}>").alias("_parts"))
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Averages, sums over several names and numbers of many digits to their results; the others are there already."""
     for batch in batches:
-        rows = batch.to_pylist()
+        rows = batch.select(["_op", "_parts"]).filter(batch["_open"])
         texts = []
-        for row in rows:
-            op, n = row["_op"], row["_n"]
-            if n is None:
-                number = exact.ZERO if op in ("SUM", "AVG") else None
-            else:
-                number = _joined(row["_sum"] if op in ("SUM", "AVG") else row["_least"] if op == "MIN" else row["_most"])
-                if op == "AVG" and number is not None:
-                    number = exact.divide(number, (n, 0))
-            texts.append(exact.shown(number))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "name": batch["target"], "text": pa.array(texts, pa.string())})
+        for op, parts in zip(rows["_op"].to_pylist(), rows["_parts"].to_pylist()):
+            texts.append(exact.shown(_folded(op, _together([_part(**p) for p in parts]))))
+        text = pc.replace_with_mask(batch["text"], batch["_open"], pa.array(texts, pa.string()))
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "name": batch["name"], "text": text})
 
 
 def calculate(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFrame:
@@ -215,14 +320,14 @@ def calculate(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFra
     """
     ops = [c for c in calculations if c.operation]
     plain = [c for c in ops if c.operation != "PRD"]
-    docs = fields.select("doc_id").distinct()
     out: list[DataFrame] = []
     if plain:
-        found = _named(fields, [(c.name, f) for c in plain for f in c.fields]).withColumn("_h", _halves(F.col("_t")))
-        agg = found.groupBy("doc_id", "target").agg(_sum("_h").alias("_sum"), F.min("_h").alias("_least"), F.max("_h").alias("_most"), F.count(F.lit(1)).alias("_n"))
-        every = _each(docs, [(c.name, c.operation) for c in plain]).join(agg, ["doc_id", "target"], "left")
-        out.append(every.mapInArrow(_folded, _RESULT))
+        names = list(dict.fromkeys(f for c in plain for f in c.fields))
+        made = [_operation(c, [F.col(f"_p{names.index(f)}") for f in c.fields]) for c in plain]
+        every = _apart(_totals(fields, names), names).select("doc_id", F.explode(F.array(*made)).alias("_r")).select("doc_id", "_r.*")
+        out.append(every.mapInArrow(_finished, _RESULT))
     products = [c for c in ops if c.operation == "PRD"]
+    docs = fields.select("doc_id").distinct()
     if products:
         found = _named(fields, [(c.name, f) for c in products for f in c.fields])
         made = folds.product(found, ["doc_id", "target"], ["_place"], "_t", "text")
@@ -238,49 +343,77 @@ def derive(fields: DataFrame, name: str, expression: str) -> DataFrame:
     Each name is the sum of the fields it stands for. Every step is exact to 28 places or 96 bits (`functions/exactnumbers`).
     Raises ValueError where the text is no expression.
     """
-    steps = exact.postfix(expression)
-    names = list(dict.fromkeys(v for kind, v in steps if kind == "field"))
-    columns = {n: f"_f{i}" for i, n in enumerate(names)}
-    docs = fields.select("doc_id").distinct()
-    if names:
-        found = _named(fields, [(n, n) for n in names]).withColumn("_h", _halves(F.col("_t")))
-        summed = found.groupBy("doc_id", "target").agg(_sum("_h").alias("_s")).groupBy("doc_id").pivot("target", names).agg(F.first("_s"))
-        docs = docs.join(summed.toDF("doc_id", *columns.values()), "doc_id", "left")
+    return _with_number(_in_turn(fields, [Calculation(name, expression=expression)]))
+
+
+def _in_turn(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFrame:
+    """`(doc_id, name, text)` of calculations without products, each seeing the results before it.
+
+    A document comes as the totals of the names that are read, so its calculations are worked out one after the other on one row.
+    """
+    steps = [None if c.operation else exact.compiled(c.expression) for c in calculations]
+    reads = [list(c.fields) if s is None else s.names for c, s in zip(calculations, steps)]
+    names = list(dict.fromkeys(n for r in reads for n in r))
+    # A result is seen by later calculations where the document has a field of that name.
+    made = list(dict.fromkeys(c.name for c in calculations[:-1]))
+    stands = {n: [m for m in made if m == n or m.startswith(n + ".")] for n in names}
+    made = [m for m in made if any(m in ms for ms in stands.values())]
+    columns = [*names, *("=" + m for m in made)]
+    ends = any(c.operation in ("MIN", "MAX") for c in calculations)
+    kinds = ("n", "s", *(("lo", "hi") if ends else ()), "far")
+    rows = _apart(_totals(fields, names, made, ends), columns).select("doc_id", *[F.col(f"_p{i}.{k}").alias(f"_p{i}_{k}") for i in range(len(columns)) for k in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for row in batch.to_pylist():
-                known = {n: _joined(row[c]) for n, c in columns.items() if row[c] is not None}
-                texts.append(exact.shown(exact.evaluated(steps, known)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "name": pa.array([name] * len(texts), pa.string()), "text": pa.array(texts, pa.string())})
-
-    return _with_number(docs.mapInArrow(run, _RESULT))
+            given = {}
+            for at, n in enumerate(columns):
+                own = {k: batch[f"_p{at}_{k}"] for k in kinds}
+                read = {k: [None] * batch.num_rows if c.null_count == batch.num_rows else c.to_pylist() for k, c in own.items()}
+                none = [None] * batch.num_rows
+                given[n] = list(map(_part, read["n"], read["s"], read.get("lo", none), read.get("hi", none), read["far"]))
+            texts: list[list[str | None]] = []
+            for i in range(batch.num_rows):
+                now = {m: given["=" + m][i] for m in made}
+                own = []
+                for c, s, r in zip(calculations, steps, reads):
+                    parts = {n: _together([given[n][i], *[now[m] for m in stands[n]]]) if stands[n] else given[n][i] for n in r}
+                    if s is None:
+                        number = _folded(c.operation, _together([parts[n] for n in c.fields]))
+                    else:
+                        number = s({n: p[1] and exact.fitted(*p[1]) for n, p in parts.items() if p is not None})
+                    own.append(exact.shown(number))
+                    if now.get(c.name) is not None:
+                        n, value = now[c.name][0], number or exact.ZERO
+                        now[c.name] = (n, value if n == 1 else exact.multiply(value, (n, 0)), value, value)
+                texts.append(own)
+            for at, c in enumerate(calculations):
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch["doc_id"], "name": pa.array([c.name] * batch.num_rows, pa.string()), "text": pa.array([t[at] for t in texts], pa.string())})
+
+    return rows.mapInArrow(run, _RESULT)
 
 
 def recalculate(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFrame:
     """Every calculated field in the order given, each seeing the results before it; the changed ones with their new value.
 
-    Calculations that do not read each other's results run together, so the rounds are the depth of the
-    rules, not their number.
+    Calculations follow each other on a document's row until a product, or a name calculated again, needs the fields anew.
     """
-    reads = lambda c: set(c.fields) | ({v for kind, v in exact.postfix(c.expression) if kind == "field"} if c.expression else set())
-    uses = lambda c, made: any(m == n or m.startswith(n + ".") for n in reads(c) for m in made)
     rounds: list[list[Calculation]] = []
     for c in calculations:
-        if not rounds or uses(c, {m.name for m in rounds[-1]}) or c.name in {m.name for m in rounds[-1]}:
+        product = c.operation == "PRD"
+        if not rounds or product or rounds[-1][0].operation == "PRD" or c.name in {m.name for m in rounds[-1]}:
             rounds.append([])
         rounds[-1].append(c)
     more = [c for c in ("separator_style", "seq") if c in fields.columns]
-    current = fields.select("doc_id", "name", "value", *more)
-    for batch in rounds:
-        made = [derive(current, c.name, c.expression) for c in batch if c.expression]
-        if any(c.operation for c in batch):
-            made.append(calculate(current, batch))
-        new = reduce(DataFrame.unionByName, made).select("doc_id", "name", F.coalesce("text", F.lit("")).alias("_new"))
-        current = cut(current.join(new, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("_new", "value").alias("value"), *more))
-    before = fields.select("doc_id", "name", F.coalesce("value", F.lit("")).alias("_old"))
-    return current.join(before, ["doc_id", "name"]).where("value <> _old").select("doc_id", "name", "value")
+    current = fields.select("doc_id", "name", "value", F.coalesce("value", F.lit("")).alias("_old"), *more)
+    for at, batch in enumerate(rounds, 1):
+        new = calculate(current, batch) if batch[0].operation == "PRD" else _in_turn(current, batch)
+        new = new.select("doc_id", "name", F.coalesce("text", F.lit("")).alias("_new"))
+        if at == len(rounds):  # what no calculation names cannot have changed
+            current = current.where(F.col("name").isin(*{c.name for c in calculations}))
+        current = current.join(new, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("_new", "value").alias("value"), "_old", *more)
+        current = current if at == len(rounds) else cut(current)
+    return current.where("value <> _old").select("doc_id", "name", "value")
 
 
 def import_values(fields: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
