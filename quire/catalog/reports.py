@@ -134,7 +134,7 @@ WHERE type = 'TD' AND NOT headers AND EXISTS (SELECT 1 FROM cells h WHERE h.doc_
 def cells(spark, folder):
     from quire.operators import units
 
-    words = units.words(derived.lines(spark, folder).select("doc_id", "page_no", "line_no", "text"))
+    words = units.words(derived.lines(spark, folder).select("doc_id", "page_no", "line_no", "text"), places=False)
     top, line = F.col("line_no") == 0, F.col("line_no")
     return accessibility.unassociated_cells(words.select(
         "doc_id", F.col("page_no").alias("table_id"), line.alias("row"), F.col("ord").alias("col"), (1 + (top & (F.col("ord") == 1)).cast("int")).alias("row_span"), F.lit(1).alias("col_span"),

@@ -11,22 +11,17 @@ STEP = 16
 def exclusive_prefix(values: Column) -> Column:
     """[0, v1, v1+v2, …] for an array<int>, one entry per value.
 
-    Sums run in strides, so a long array costs about n·STEP/2 + (n/STEP)²/2 copies rather than n²/2.
-    Materialise `values` as a column first: it is used several times.
+    Strides are taken one after the other with the sum before them, so nothing is worked out again for every entry: a long
+    array costs n·STEP/2 additions and n²/(2·STEP) copies. Materialise `values` as a column first: it is used several times.
     """
-    strides = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int")),
-        lambda s: F.slice(values, s * STEP + 1, STEP),
-    )
-
-    def run(items: Column, start: Column) -> Column:
-        begin = F.array(start)
-        return F.aggregate(items, begin, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-
-    totals = F.transform(strides, lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + x))
-    bases = run(totals, F.lit(0))
-    inner = F.transform(strides, lambda s, i: F.slice(run(s, F.get(bases, i)), 1, F.size(s)))
-    return F.when(F.size(values) > 0, F.flatten(inner)).otherwise(F.array().cast("array<int>"))
+    begin = F.struct(F.lit(0).alias("base"), F.array().cast("array<int>").alias("out"))
+
+    def stride(acc: Column, s: Column) -> Column:
+        inside = F.transform(F.slice(values, s * STEP + 1, STEP), lambda x, j: acc["base"] + total(F.slice(values, s * STEP + 1, j)))
+        return F.struct((acc["base"] + total(F.slice(values, s * STEP + 1, STEP))).alias("base"), F.concat(acc["out"], inside).alias("out"))
+
+    strides = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int"))
+    return F.when(F.size(values) > 0, F.aggregate(strides, begin, stride, lambda acc: acc["out"])).otherwise(F.array().cast("array<int>"))
 
 
 def total(values: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.plans import blocks, closure, sizes
@@ -55,18 +56,18 @@ def unassociated_cells(cells: DataFrame) -> DataFrame:
     """Data cells `(doc_id, table_id, row, col, row_span, col_span, type, scope, headers, empty)` no header can be read with.
 
     Headers and cells meet on the row or column squares they cover, so a table's cells are never paired
-    with all of its headers. Tables without header cells are left alone.
+    with all of its headers. Cells are read and moved once, to the task of their table, and stand there once for every
+    row and column they cover. Tables without header cells are left alone.
     """
     key = ["doc_id", "table_id"]
-    over = lambda start, span: F.explode(F.sequence(F.col(start), F.col(start) + F.col(span) - 1))
-    heads = cells.where("type = 'TH'")
-    rows = heads.where("scope in ('Row', 'Both')").select(*key, over("row", "row_span").alias("_at")).distinct()
-    cols = heads.where("scope in ('Column', 'Both')").select(*key, over("col", "col_span").alias("_at")).distinct()
-    data = cells.where("type = 'TD' and not empty and not headers").join(heads.select(*key).distinct(), key, "left_semi")
-    place = [*key, "row", "col"]
-    by_row = data.select(*place, over("row", "row_span").alias("_at")).join(rows, [*key, "_at"], "left_semi").select(*place)
-    by_col = data.select(*place, over("col", "col_span").alias("_at")).join(cols, [*key, "_at"], "left_semi").select(*place)
-    return data.join(by_row.unionByName(by_col).distinct(), place, "left_anti")
+    head = F.col("type") == "TH"
+    over = lambda axis, start, span: F.transform(F.sequence(F.col(start), F.col(start) + F.col(span) - 1), lambda n: F.struct(F.lit(axis).alias("axis"), n.alias("at")))
+    data = (F.col("type") == "TD") & ~F.col("empty") & ~F.col("headers")
+    squares = cells.where(data | head).withColumn("_s", F.explode(F.concat(over("row", "row", "row_span"), over("col", "col", "col_span")))).repartition(*key)
+    reads = head & F.when(F.col("_s.axis") == "row", F.col("scope").isin("Row", "Both")).otherwise(F.col("scope").isin("Column", "Both"))
+    square = W.partitionBy(*key, "_s.axis", "_s.at")
+    seen = squares.withColumn("_read", F.max(F.coalesce(reads, F.lit(False))).over(square)).withColumn("_headed", F.max(head).over(W.partitionBy(*key)))
+    return seen.where(data & F.col("_headed")).groupBy(*cells.columns).agg(F.max("_read").alias("_read")).where(~F.col("_read")).select(*cells.columns)
 
 
 def check_descriptions(docs: DataFrame, elements: DataFrame) -> DataFrame:

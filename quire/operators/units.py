@@ -14,12 +14,15 @@ FOLD_TO = "''\"\"--"
 # ------------------------------------------------------------------------------------------------
 
 
-def spans(df: DataFrame, pattern: str, text: str = "text", out: str = "word") -> DataFrame:
+def spans(df: DataFrame, pattern: str, text: str = "text", out: str = "word", places: bool = True) -> DataFrame:
     """One row per match of `pattern` with its 0-based start and length; the text column is dropped.
 
-    Offsets come from the lengths of the matches and of the gaps between them, inside the row.
+    Offsets come from the lengths of the matches and of the gaps between them, inside the row. They cost most of the time:
+    without `places` there is neither start nor length.
     """
     kept = [c for c in df.columns if c != text]
+    if not places:
+        return df.select(*kept, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("ord", out))
     staged = df.select(
         *kept,
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_hits"),
@@ -35,14 +38,14 @@ def spans(df: DataFrame, pattern: str, text: str = "text", out: str = "word") ->
     )
 
 
-def words(lines: DataFrame) -> DataFrame:
+def words(lines: DataFrame, places: bool = True) -> DataFrame:
     """Maximal runs without white space or control characters."""
-    return spans(lines, patterns.WORD_RUN)
+    return spans(lines, patterns.WORD_RUN, places=places)
 
 
-def word_units(texts: DataFrame) -> DataFrame:
+def word_units(texts: DataFrame, places: bool = True) -> DataFrame:
     """Words as a reader sees them: don't and 3.14 whole, punctuation runs and ideographs on their own."""
-    return spans(texts, patterns.UNIT, out="unit")
+    return spans(texts, patterns.UNIT, out="unit", places=places)
 
 
 def sentences(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quire.functions import arrays
 from quire.functions import exactnumbers as exact
+from quire.operators import accessibility
+from quire.operators import compare as comparing
 from quire.operators import forms
 from quire.operators.forms import Calculation
 from tests.test_round3 import SMALL
@@ -54,3 +57,43 @@ def test_calculations_of_one_row_see_each_other(spark):
     found = {(r.doc_id, r.name): r.value for r in forms.recalculate(fields, rules).collect()}
     # 1: in.b 4, in.c 7 (as it was); 2: no in.b, so end is 1 + 0; 3: in.b 0, end 0
     assert found == {(1, "in.b"): "4", (2, "end"): "1", (3, "in.b"): "0", (3, "end"): "0"}
+
+
+def scans(spark, name):
+    return plan(spark, name).count("FileScan")
+
+
+def test_cells_read_once(spark):
+    """K7 reads its cells once, K7 and T2 work out no offsets, D4 joins nothing."""
+    assert scans(spark, "K7_unassociated_cells") == 1 and "Join" not in plan(spark, "K7_unassociated_cells")
+    assert all("aggregate(sequence" not in plan(spark, name) for name in ("K7_unassociated_cells", "T2_word_units"))
+    assert "Join" not in plan(spark, "D4_word_coverage")
+
+
+def test_headers_of_wide_cells(spark):
+    """Every cell against every header of its table, one by one."""
+    dice = random.Random(5)
+    cells = [(d, t, r, c, dice.choice([1, 1, 2, 3]), dice.choice([1, 1, 2]), dice.choice(["TD", "TD", "TH"]), dice.choice(["Row", "Column", "Both", None, ""]), dice.random() < 0.2, dice.random() < 0.1)
+             for d in range(6) for t in range(6) for r in range(0, 12, 3) for c in range(0, 8, 2) if dice.random() < 0.6]
+    df = spark.createDataFrame(cells, "doc_id long, table_id int, row int, col int, row_span int, col_span int, type string, scope string, headers boolean, empty boolean")
+    found = sorted(tuple(r)[:4] for r in accessibility.unassociated_cells(df).collect())
+    meets = lambda a, n, b, m: a < b + m and b < a + n
+    wanted = []
+    for d, t, r, c, rs, cs, kind, _, headers, empty in cells:
+        heads = [x for x in cells if x[:2] == (d, t) and x[6] == "TH"]
+        read = any((x[7] in ("Row", "Both") and meets(r, rs, x[2], x[4])) or (x[7] in ("Column", "Both") and meets(c, cs, x[3], x[5])) for x in heads)
+        if kind == "TD" and not headers and not empty and heads and not read:
+            wanted.append((d, t, r, c))
+    assert found == sorted(wanted) and found
+
+
+def test_prefix_sums(spark):
+    lists = [[3] * n for n in (0, 1, 15, 16, 17, 40, 5000)]
+    rows = spark.createDataFrame([(v,) for v in lists], "v array<int>").select("v", arrays.exclusive_prefix(F.col("v")).alias("p")).collect()
+    assert all(r.p == [3 * i for i in range(len(r.v))] for r in rows)
+
+
+def test_coverage_counts_repeats(spark):
+    a = spark.createDataFrame([(1, "x")] * 3 + [(1, "y"), (2, "x")], "doc_id long, word string")
+    b = spark.createDataFrame([(1, "x")] * 2 + [(1, "z"), (3, "x")], "doc_id long, word string")
+    assert {(r.doc_id, r.words, r.found) for r in comparing.word_coverage(a, b).collect()} == {(1, 4, 2), (2, 1, 0)}
