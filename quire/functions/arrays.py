@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STEP = 16
+STEP = 64
 
 
 def exclusive_prefix(values: Column) -> Column:
     """[0, v1, v1+v2, …] for an array<int>, one entry per value.
 
-    Strides are taken one after the other with the sum before them, so nothing is worked out again for every entry: a long
-    array costs n·STEP/2 additions and n²/(2·STEP) copies. Materialise `values` as a column first: it is used several times.
+    Every entry is the one before it and a value. Strides are taken one after the other, so a long array costs n·STEP/2 copies
+    inside them and n²/(2·STEP) between them. Materialise `values` as a column first: it is used several times.
     """
-    begin = F.struct(F.lit(0).alias("base"), F.array().cast("array<int>").alias("out"))
-
-    def stride(acc: Column, s: Column) -> Column:
-        inside = F.transform(F.slice(values, s * STEP + 1, STEP), lambda x, j: acc["base"] + total(F.slice(values, s * STEP + 1, j)))
-        return F.struct((acc["base"] + total(F.slice(values, s * STEP + 1, STEP))).alias("base"), F.concat(acc["out"], inside).alias("out"))
-
+    running = lambda part, base: F.aggregate(part, F.array(base), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
     strides = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int"))
-    return F.when(F.size(values) > 0, F.aggregate(strides, begin, stride, lambda acc: acc["out"])).otherwise(F.array().cast("array<int>"))
+    stride = lambda acc, s: F.concat(acc, F.slice(running(F.slice(values, s * STEP + 1, STEP), F.element_at(acc, -1)), 2, STEP))
+    sums = F.when(F.size(values) <= STEP, running(values, F.lit(0))).otherwise(F.aggregate(strides, F.array(F.lit(0)), stride))
+    return F.when(F.size(values) > 0, F.slice(sums, 1, F.size(values))).otherwise(F.array().cast("array<int>"))
 
 
 def total(values: Column) -> Column:

@@ -29,6 +29,8 @@ UNIT = (
 )
 SENTENCE_END = rf"(?:[.!?](?=[{SPACES}]|\z)|[\x{{3002}}\x{{FF01}}\x{{FF1F}}][\"')\x{{201D}}\x{{2019}}]*)"
 COMPARE_TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}\s]+"
+# The same runs found in a whole line: no run reaches over what ends a word.
+LINE_TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}\p{Z}\p{Cc}]+"
 
 
 def stands_alone(ch: str) -> bool:

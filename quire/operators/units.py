@@ -122,3 +122,17 @@ def number_tokens(tokens: DataFrame, width: int = 64) -> DataFrame:
     cut = blocks.by_value(tokens, "page_no", width)
     numbered = blocks.scan(cut, ["doc_id"], ["page_no", "line_no", "start"], _rn=("number", None))
     return numbered.withColumn("pos", F.col("_rn") - 1).drop("_rn")
+
+
+def line_tokens(lines: DataFrame, advance: float, width: int = 64) -> DataFrame:
+    """The compare tokens of lines `(doc_id, page_no, line_no, text, x)` set in characters `advance` wide, numbered from 0 through each document.
+
+    A line's tokens are counted, and the lines of a document added up in order, before any token is a row of its own: tokens are
+    neither moved nor sorted. A document has one line of a page and number.
+    """
+    counted = lines.withColumn("_n", F.regexp_count("text", F.lit(patterns.LINE_TOKEN)).cast("long"))
+    summed = blocks.scan(blocks.by_value(counted, "page_no", width), ["doc_id"], ["page_no", "line_no"], _upto=("sum", "_n"))
+    found = spans(summed.withColumn("_before", F.col("_upto") - F.col("_n")).drop("_upto", "_n"), patterns.LINE_TOKEN, out="token")
+    return found.withColumns({
+        "folded": fold("token"), "x": F.col("x") + F.col("start") * advance, "w": F.col("length") * advance, "pos": F.col("_before") + F.col("ord"),
+    }).drop("_before", "ord")
