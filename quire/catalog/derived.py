@@ -71,10 +71,15 @@ doc_pages AS (
 
 
 def words(spark: SparkSession, folder: str) -> DataFrame:
-    found = units.words(lines(spark, folder).select("doc_id", "page_no", "line_no", "text", "x", "y", "h"))
+    return words_of(lines(spark, folder))
+
+
+def words_of(lines_: DataFrame, *keep: str) -> DataFrame:
+    """The words of lines, set in characters six points wide."""
+    found = units.words(lines_.select("doc_id", "page_no", "line_no", "text", "x", "y", "h", *keep))
     return found.select(
         "doc_id", "page_no", "line_no", "start", "length", "word",
-        (F.col("x") + 6 * F.col("start")).alias("x"), "y", (6.0 * F.col("length")).alias("w"), "h",
+        (F.col("x") + 6 * F.col("start")).alias("x"), "y", (6.0 * F.col("length")).alias("w"), "h", *keep,
     )
 
 

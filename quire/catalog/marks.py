@@ -142,7 +142,9 @@ hit AS (SELECT DISTINCT w.doc_id, w.page_no, w.line_no, w.start FROM words w JOI
 SELECT doc_id, page_no::BIGINT AS page_no, line_no::BIGINT AS line_no, start, word FROM words ANTI JOIN hit USING (doc_id, page_no, line_no, start)
 """)
 def redact(spark, folder):
-    return geometry.redact_areas(derived.words(spark, folder), _marks(spark, folder)).select("doc_id", "page_no", "line_no", "start", "word")
+    """Marks are dealt to lines before the words of a line are rows of their own, as words stand at the height of their line."""
+    lines = geometry.with_areas(derived.lines(spark, folder), _marks(spark, folder))
+    return geometry.outside_areas(derived.words_of(lines, "_marks")).select("doc_id", "page_no", "line_no", "start", "word")
 
 
 _MERGED = """

@@ -111,25 +111,31 @@ def hit_test(points: DataFrame, rects: DataFrame, slack: float = 0.0, size: floa
         "doc_id", "page_no", "id", "_m.ord", "_m.exact")
 
 
-def covered_words(words: DataFrame, areas: DataFrame, size: float = 64.0) -> DataFrame:
-    """The words whose middle is in a mark, or a quarter of whose box is."""
-    box = lambda df: F.explode(spatial.box_cells(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"), size))
-    place = ["doc_id", "page_no", "line_no", "start"]
-    boxes = words.select(*place, "x", "y", "w", "h", box(words).alias("_c"))
-    marks = areas.select("doc_id", "page_no", "x", "y", "w", "h").distinct()
-    marks = marks.withColumn("_c", box(marks)).select("doc_id", "page_no", "_c", *[F.col(c).alias("_m" + c) for c in "xywh"])
-    joined = boxes.join(marks, ["doc_id", "page_no", "_c"])
-    side = lambda a, s: F.greatest(F.lit(0.0), F.least(F.col(a) + F.col(s), F.col("_m" + a) + F.col("_m" + s)) - F.greatest(F.col(a), F.col("_m" + a)))
+def with_areas(rows: DataFrame, areas: DataFrame) -> DataFrame:
+    """Lines or words `(doc_id, page_no, y, h, …)` with the marks of their page, as the list `_marks`, that reach their height."""
+    key = ["doc_id", "page_no"]
+    listed = areas.groupBy(*key).agg(F.collect_set(F.struct(*[F.col(c).cast("double").alias(c) for c in "xywh"])).alias("_marks"))
+    near = F.filter("_marks", lambda m: (m["y"] <= F.col("y") + F.col("h")) & (m["y"] + m["h"] >= F.col("y")))
+    return rows.join(listed, key, "left").withColumn("_marks", near)
+
+
+def outside_areas(words: DataFrame) -> DataFrame:
+    """The words without those whose middle is in one of their `_marks`, or a quarter of whose box is."""
     whole = F.col("w") * F.col("h")
-    share = F.when(whole > 0, side("x", "w") * side("y", "h") / F.when(whole > 0, whole).otherwise(1.0)).otherwise(0.0)
-    middle = lambda a, s: (F.col(a) + F.col(s) / 2).between(F.col("_m" + a), F.col("_m" + a) + F.col("_m" + s))
-    hit = joined.where((share >= COVERED_SHARE) | (middle("x", "w") & middle("y", "h")))
-    return hit.select(*place).distinct()
+
+    def hit(m: Column) -> Column:
+        side = lambda a, s: F.greatest(F.lit(0.0), F.least(F.col(a) + F.col(s), m[a] + m[s]) - F.greatest(F.col(a), m[a]))
+        middle = lambda a, s: (F.col(a) + F.col(s) / 2).between(m[a], m[a] + m[s])
+        share = F.when(whole > 0, side("x", "w") * side("y", "h") / F.when(whole > 0, whole).otherwise(1.0)).otherwise(0.0)
+        return (share >= COVERED_SHARE) | (middle("x", "w") & middle("y", "h"))
+
+    none = F.col("_marks").isNull() | (F.size("_marks") == 0)
+    return words.where(none | ~F.coalesce(F.exists("_marks", hit), F.lit(False))).drop("_marks")
 
 
 def redact_areas(words: DataFrame, areas: DataFrame) -> DataFrame:
     """The words left outside the marks."""
-    return words.join(covered_words(words, areas), ["doc_id", "page_no", "line_no", "start"], "left_anti")
+    return outside_areas(with_areas(words, areas))
 
 
 def merge_intervals(intervals: DataFrame, keys: Sequence[str], gap: int = 0, width: int = 65536) -> DataFrame:
