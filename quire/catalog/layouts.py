@@ -16,7 +16,8 @@ SELECT doc_id, page_no::BIGINT AS page_no, min(jy + h) AS base, min(x) AS x, min
 """)
 def lines(spark, folder):
     """Words set up to a point off their line put together again."""
-    words = derived.words(spark, folder).withColumn("y", F.col("y") + F.col("start") % 3 * 0.5)
+    pages = derived.lines(spark, folder).repartition("doc_id", "page_no")
+    words = derived.words_of(pages).withColumn("y", F.col("y") + F.col("start") % 3 * 0.5)
     return layout.assemble_lines(words, 1.5)
 
 
