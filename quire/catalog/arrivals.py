@@ -44,8 +44,8 @@ def recent_stream(spark, folder):
     place = new_folder(spark, "recent")
     rows = table(spark, folder, "events").select(
         "user_id", F.col("props").alias("location"), F.col("ts").cast("timestamp").alias("opened_at"), F.col("event_id").cast("long").alias("seq"), (F.pmod("event_id", F.lit(40)) + 1).cast("long").alias("page"))
-    rows.repartition(5, "seq").write.parquet(f"{place}/in")
-    opened = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    rows.repartition(40, "seq").write.parquet(f"{place}/in")
+    opened = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{place}/in")
     arrivals.recent_stream(opened, f"{place}/out", f"{place}/state").awaitTermination()
     return arrivals.recent_so_far(spark, f"{place}/out").drop("opened_at")
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators import links, metrics
 
@@ -46,60 +44,54 @@ def findings_so_far(spark: SparkSession, sink: str) -> DataFrame:
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_RECENT = "user_id long, location string, opened_at timestamp, seq long, page long, rank long"
-
-
-class _RecentList(StatefulProcessor):
-    """One user's list as keyed state: at most `capacity` entries, newest first."""
-
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+# Every so many batches all lists are written again, so that a batch never reads more than those since.
+WHOLE_EVERY = 16
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entries = handle.getListState("recent", "location string, opened_at timestamp, seq bigint, page bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = {e[0]: e for e in self.entries.get()}
-        for frame in rows:
-            for location, opened, seq, page in zip(*[frame[c].tolist() for c in ("location", "opened_at", "seq", "page")]):
-                opened, page = pd.Timestamp(opened).to_pydatetime(), None if pd.isna(page) else int(page)
-                old = known.get(location)
-                if old is None:
-                    known[location] = (location, opened, seq, page or 1)
-                elif (opened, seq) >= (old[1], old[2]):
-                    known[location] = (location, opened, seq, page or old[3])
-        newest = sorted(known.values(), key=lambda e: (e[1], e[2]), reverse=True)[: self.capacity]
-        self.entries.put(newest)
-        columns = list(zip(*newest))
-        yield pd.DataFrame({"user_id": key[0], "location": columns[0], "opened_at": columns[1], "seq": columns[2], "page": columns[3], "rank": range(1, len(newest) + 1)})
-
-    def close(self) -> None:
-        pass
+def _newest(rows: DataFrame, capacity: int) -> DataFrame:
+    """The lists that entries `(user_id, location, opened_at, seq, page, _new)` make, without more than one entry of a location."""
+    at = F.struct("opened_at", "seq", "_new")
+    # Without page an entry takes the last one known.
+    last = rows.groupBy("user_id", "location").agg(
+        F.max(at).alias("_at"), F.coalesce(F.max_by("page", F.when(F.col("page").isNotNull(), at)), F.lit(1)).alias("page"))
+    newest = W.partitionBy("user_id").orderBy(F.desc("_at.opened_at"), F.desc("_at.seq"), F.desc("location"))
+    ranked = last.withColumn("rank", F.row_number().over(newest).cast("long")).where(F.col("rank") <= capacity)
+    return ranked.select("user_id", "location", F.col("_at.opened_at").alias("opened_at"), F.col("_at.seq").alias("seq"), "page", "rank")
 
 
 def recent_stream(opened: DataFrame, sink: str, checkpoint: str, capacity: int = 12) -> StreamingQuery:
-    """Recent lists of users as documents `(user_id, location, opened_at, seq, page)` are opened, one bounded list per user in
-    keyed state; `recent_so_far` reads them.
+    """Recent lists of users as documents `(user_id, location, opened_at, seq, page)` are opened, one bounded list per user;
+    `recent_so_far` reads them.
 
-    A batch writes the lists of the users it met to a folder of its own, so one that runs again after a failure replaces
-    what it wrote, and no other list is touched. A page not given is the entry's last one; an entry that fell off the list
-    has none. Rows that come late count by their own time.
+    A batch puts its rows to the lists the batches before it left, and writes the lists of the users it met to a folder of its
+    own, so one that runs again after a failure replaces what it wrote; every sixteenth writes all lists. A page not given is the entry's
+    last one; an entry that fell off the list has none. Rows that come late count by their own time.
     """
-    opened.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    lists = opened.select("user_id", "location", "opened_at", "seq", "page").groupBy("user_id").transformWithStateInPandas(
-        _RecentList(capacity), outputStructType=_RECENT, outputMode="Update", timeMode="None")
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        new = batch.select("user_id", "location", "opened_at", F.col("seq").cast("long").alias("seq"), F.col("page").cast("long").alias("page"), F.lit(True).alias("_new"))
+        if number and _there(batch, sink):
+            known = _last_lists(batch.sparkSession, sink, number).drop("rank").withColumn("_new", F.lit(False))
+            if number % WHOLE_EVERY:
+                met = new.select(F.col("user_id").alias("_met")).distinct()
+                known = known.join(met, F.col("user_id").eqNullSafe(F.col("_met")), "left_semi")
+            new = known.unionByName(new)
+        _newest(new, capacity).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return opened.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return lists.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _last_lists(spark: SparkSession, sink: str, before: int) -> DataFrame:
+    """The last list of every user that the batches before a number left."""
+    lists = spark.read.parquet(sink).where((F.col("batch") >= (before - 1) // WHOLE_EVERY * WHOLE_EVERY) & (F.col("batch") < before))
+    last = F.max("batch").over(W.partitionBy("user_id"))
+    return lists.withColumn("_last", last).where("batch = _last").drop("batch", "_last")
 
 
 def recent_so_far(spark: SparkSession, sink: str) -> DataFrame:
     """The last list of every user."""
-    lists = spark.read.parquet(sink)
-    last = lists.groupBy("user_id").agg(F.max("batch").alias("batch"))
-    return lists.join(last, ["user_id", "batch"], "left_semi").drop("batch")
+    newest = spark.read.parquet(sink).agg(F.max("batch")).first()[0]
+    return _last_lists(spark, sink, 0 if newest is None else newest + 1)
 
 
 def first_pages_stream(pages: DataFrame, sink: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
