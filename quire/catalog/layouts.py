@@ -107,7 +107,7 @@ def lists(spark, folder):
     number = F.when((k == 3) & (F.col("line_no") % 5 == 0), 9).otherwise(k)
     text = F.when(k.between(1, 5), F.concat(number.cast("string"), F.lit(". x"), "text")).when(k == 6, F.concat(F.lit("• x"), "text")).otherwise(F.concat(F.lit("Plain"), "text"))
     lines_ = rows.select("doc_id", ((F.col("page_no") - 1) * 40 + F.col("line_no")).cast("long").alias("ord"), text.alias("text"), "x", "w")
-    return layout.list_groups(lines_).select("doc_id", "ord", "format", "style", "value", "level", "list_start", "items")
+    return layout.list_groups(lines_, keep=()).select("doc_id", "ord", "format", "style", "value", "level", "list_start", "items")
 
 
 # Twelve lines: marker, value, position and level of ten items, and two plain lines. Positions drift up to six points off the
@@ -131,7 +131,7 @@ def list_levels(spark, folder):
     mark = F.get(F.array(*[F.lit(m) for m, *_ in _LEVELS]), r)
     x = F.get(F.array(*[F.lit(float(x)) for *_, x, _ in _LEVELS]), r)
     lines_ = rows.select("doc_id", "ord", F.concat(F.coalesce(mark, F.lit("Plain")), F.lit("x"), "text").alias("text"), F.coalesce(x, F.lit(72.0)).alias("x"), "w")
-    return layout.list_groups(lines_).select("doc_id", "ord", "format", "style", "value", "level", "list_start", "items")
+    return layout.list_groups(lines_, keep=()).select("doc_id", "ord", "format", "style", "value", "level", "list_start", "items")
 
 
 _REPEATED = derived.LINES + r""",
