@@ -152,8 +152,8 @@ def _edges(spark, folder):
         (F.col("line_no") * 19.5).alias("y"), "h")
 
 
-def _repeated(spark, folder):
-    return layout.repeated_lines(_edges(spark, folder), share=0.04)
+def _repeated(spark, folder, texts=True):
+    return layout.repeated_lines(_edges(spark, folder), share=0.04, texts=texts)
 
 
 @query("E6_repeated_lines", f"WITH {_REPEATED} SELECT doc_id, zone, key, page_no, ord::BIGINT AS ord, text, page_count, on_pages FROM rep")
@@ -166,8 +166,10 @@ WITH {_REPEATED}
 SELECT doc_id, count(*) AS lines, sum(length(text))::BIGINT AS characters FROM edge e WHERE NOT EXISTS (SELECT 1 FROM rep r WHERE r.doc_id = e.doc_id AND r.page_no = e.page_no AND r.ord = e.ord) GROUP BY doc_id
 """)
 def strip(spark, folder):
-    left = layout.strip_repeated(_edges(spark, folder), _repeated(spark, folder))
-    return left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("characters"))
+    """Only the length of a line is moved to the repeated ones."""
+    edges = _edges(spark, folder).select("doc_id", "page_no", "ord", F.length("text").alias("characters"))
+    left = layout.strip_repeated(edges, _repeated(spark, folder, texts=False))
+    return left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("characters").alias("characters"))
 
 
 @query("E7_page_numbers", """
