@@ -222,6 +222,64 @@ def _totals(fields: DataFrame, names: Sequence[str], apart: Sequence[str] = (),
     return parts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("_key", part)))).alias("_by"))
 
 
+# So many names are added up side by side; more of them go by rows.
+_BESIDE = 16
+# Up to 9 digits before the point and 6 after it: in millionths a double holds them exactly.
+_SHORT, _MILLIONTHS = r"^[+-]?(?:\d{1,9}(?:\.\d{0,6})?|\.\d{1,6})$", 6
+# Millionths are added up in two pieces, longer numbers by groups of nine digits, 28 of all the digits after the point: eight thousand million fit.
+_BITS, _GROUP, _GROUPS, _AFTER = 30, 9, 9, 28
+
+
+def _digits(text: Column) -> Column:
+    """The digits of any number without its sign: five groups before the point, four for the `_AFTER` places after it; null where it is too long."""
+    whole, rest = _halves(text)
+    after = F.translate(F.format_number(rest, _AFTER), "-.", "")
+    return F.concat(F.lpad(F.translate(whole.cast("string"), "-", ""), 5 * _GROUP, "0"), F.lpad(after, 4 * _GROUP, "0"))
+
+
+def _sums(fields: DataFrame, names: Sequence[str], apart: Sequence[str], counted: Sequence[str]) -> DataFrame:
+    """Per document one row with the count and sum of the fields each name stands for, side by side: `_p<i>_n`, and `_k` in millionths or `_s`, the pieces as text.
+
+    Fields named in `apart` count under `=name` alone, those in `counted` without their sum. A document's fields are added up as whole
+    numbers before they are moved and meet once. Only what is not a short number is read by its separators.
+    """
+    style = F.coalesce("separator_style", F.lit(0)) if "separator_style" in fields.columns else F.lit(0)
+    t = F.trim("value")
+    short = F.regexp_like(t, F.lit(_SHORT))
+    own = F.col("name").isin(*apart) if apart else F.lit(False)
+    meets = [~own & _under(n) for n in names] + [F.col("name") == m for m in apart]
+    flags = [f"_m{i}" for i in range(len(meets))]
+    rows = fields.select(
+        "doc_id", F.rint(F.when(short, t.try_cast("double")) * 10**_MILLIONTHS).cast("long").alias("_v"),
+        F.when(~short & (t != ""), V.number_text(F.col("value"), style)).alias("_t"), *[m.alias(f) for m, f in zip(meets, flags)])
+    rows = rows.select("doc_id", "_v", F.when(F.col("_t").isNotNull(), _digits(F.col("_t"))).alias("_d"), F.when(F.col("_t").startswith("-"), -1).otherwise(1).alias("_sign"), *flags)
+    groups = [(F.substring("_d", 1 + _GROUP * g, _GROUP).cast("long") * F.col("_sign")).alias(f"_g{g}") for g in range(_GROUPS)]
+    rows = rows.select("doc_id", F.shiftright("_v", _BITS).alias("_hi"), F.col("_v").bitwiseAND((1 << _BITS) - 1).alias("_lo"), *groups, *flags)
+    pieces = ["_hi", "_lo", *(f"_g{g}" for g in range(_GROUPS))]
+    summed = [i for i in range(len(meets)) if i < len(names) or apart[i - len(names)] not in counted]
+    found = rows.groupBy("doc_id").agg(
+        *[F.count(F.when(F.col(m), 1)).alias(f"_n{i}") for i, m in enumerate(flags)],
+        *[F.sum(F.when(F.col(flags[i]), F.col(c))).alias(f"{c}{i}") for i in summed for c in pieces])
+    columns = []
+    for i in range(len(meets)):
+        there = F.col(f"_n{i}") > 0
+        k, text = F.lit(0).cast("long"), F.lit(None).cast("string")
+        if i in summed:
+            few, most = [F.coalesce(f"{c}{i}", F.lit(0).cast("long")) for c in pieces[:2]], 1 << 28
+            fits = F.col(f"_g0{i}").isNull() & few[0].between(-most, most)
+            k = F.when(fits, few[0] * (1 << _BITS) + few[1])
+            text = F.when(there & ~fits, F.concat_ws(",", *[F.coalesce(f"{c}{i}", F.lit(0).cast("long")) for c in pieces]))
+        columns += [F.when(there, F.col(f"_n{i}")).alias(f"_p{i}_n"), F.when(there, k).alias(f"_p{i}_k"), text.alias(f"_p{i}_s")]
+    return found.select("doc_id", *columns)
+
+
+def _pieced(text: str) -> exact.Number:
+    """The pieces of a sum put together, not yet fitted."""
+    high, low, *groups = map(int, text.split(","))
+    whole, after = (sum(n * 10 ** (_GROUP * i) for i, n in enumerate(reversed(part))) for part in (groups[:5], groups[5:]))
+    return exact.joined(((high << _BITS) + low, _MILLIONTHS), (whole * 10**_AFTER + after, _AFTER))
+
+
 # Count, sum (not yet rounded), least and greatest of some numbers; None in them is what does not fit.
 _Part = tuple[int, exact.Number | None, exact.Number | None, exact.Number | None]
 
@@ -343,11 +401,29 @@ def derive(fields: DataFrame, name: str, expression: str) -> DataFrame:
     Each name is the sum of the fields it stands for. Every step is exact to 28 places or 96 bits (`functions/exactnumbers`).
     Raises ValueError where the text is no expression.
     """
-    return _with_number(_in_turn(fields, [Calculation(name, expression=expression)]))
+    return _with_number(_in_turn(fields, [Calculation(name, expression=expression)]).select("doc_id", F.lit(name).alias("name"), F.col("_t0").alias("text")))
+
+
+def _given(batch: pa.RecordBatch, at: int) -> list[_Part | None]:
+    """The parts of one name, document by document."""
+    own = {k: batch[name] for k in ("n", "k", "s", "lo", "hi", "far") if (name := f"_p{at}_{k}") in batch.schema.names}
+    read = {k: [None] * batch.num_rows if c.null_count == batch.num_rows else c.to_pylist() for k, c in own.items()}
+    if "k" in own:
+        return [None if n is None else (n, (k, _MILLIONTHS) if t is None else _pieced(t), None, None) for n, k, t in zip(read["n"], read["k"], read["s"])]
+    none = [None] * batch.num_rows
+    return list(map(_part, read["n"], read["s"], read.get("lo", none), read.get("hi", none), read["far"]))
+
+
+def _renewed(part: _Part | None, number: exact.Number | None) -> _Part | None:
+    """Fields that have been given a result."""
+    if part is None:
+        return None
+    n, value = part[0], number or exact.ZERO
+    return n, value if n == 1 else exact.multiply(value, (n, 0)), value, value
 
 
 def _in_turn(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFrame:
-    """`(doc_id, name, text)` of calculations without products, each seeing the results before it.
+    """`(doc_id, _t0, _t1, ...)`: the results of calculations without products as text, each seeing the results before it.
 
     A document comes as the totals of the names that are read, so its calculations are worked out one after the other on one row.
     """
@@ -360,37 +436,63 @@ def _in_turn(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFram
     made = [m for m in made if any(m in ms for ms in stands.values())]
     columns = [*names, *("=" + m for m in made)]
     ends = any(c.operation in ("MIN", "MAX") for c in calculations)
-    kinds = ("n", "s", *(("lo", "hi") if ends else ()), "far")
-    rows = _apart(_totals(fields, names, made, ends), columns).select("doc_id", *[F.col(f"_p{i}.{k}").alias(f"_p{i}_{k}") for i in range(len(columns)) for k in kinds])
+    if ends or len(columns) > _BESIDE:
+        kinds = ("n", "s", *(("lo", "hi") if ends else ()), "far")
+        rows = _apart(_totals(fields, names, made, ends), columns).select("doc_id", *[F.col(f"_p{i}.{k}").alias(f"_p{i}_{k}") for i in range(len(columns)) for k in kinds])
+    else:
+        # What a field held counts only where something reads it before its own result is there.
+        first = {m: [c.name for c in calculations].index(m) for m in made}
+        rows = _sums(fields, names, made, [m for m in made if not any(m in stands[n] for r in reads[: first[m] + 1] for n in r)])
+    schema = ", ".join(["doc_id long", *(f"_t{i} string" for i in range(len(calculations)))])
+
+    def at_once(batch: pa.RecordBatch) -> dict | None:
+        """Sums and expressions over all documents of a batch as 64-bit whole numbers; None where those do not do."""
+        if any(f"_p{at}_k" not in batch.schema.names or batch[f"_p{at}_s"].null_count < batch.num_rows for at in range(len(columns))):
+            return None
+        filled = lambda at, k: pc.fill_null(batch[f"_p{at}_{k}"], 0).to_numpy(zero_copy_only=False)
+        total = {n: exact.Vector.of(filled(at, "k"), _MILLIONTHS) for at, n in enumerate(columns)}
+        now = {m: total["=" + m] for m in made}
+        out = {"doc_id": batch["doc_id"]}
+        for at, (c, s, r) in enumerate(zip(calculations, steps, reads)):
+            own = {n: exact.Vector.added([total[n], *[now[m] for m in stands[n]]]) for n in r}
+            if any(v is None for v in own.values()) or s is None and (c.operation != "SUM" or not c.fields):
+                return None
+            found = exact.Vector.added([own[n] for n in c.fields]) if s is None else s(own, batch.num_rows)
+            if c.name in now:
+                times = exact.Vector(filled(columns.index("=" + c.name), "n"), 0)
+                now[c.name] = found.times(times) if isinstance(found, exact.Vector) else None
+                if now[c.name] is None:
+                    return None
+            if found is None:
+                return None
+            out[f"_t{at}"] = found.shown() if isinstance(found, exact.Vector) else pa.array(map(exact.shown, found), pa.string())
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = {}
-            for at, n in enumerate(columns):
-                own = {k: batch[f"_p{at}_{k}"] for k in kinds}
-                read = {k: [None] * batch.num_rows if c.null_count == batch.num_rows else c.to_pylist() for k, c in own.items()}
-                none = [None] * batch.num_rows
-                given[n] = list(map(_part, read["n"], read["s"], read.get("lo", none), read.get("hi", none), read["far"]))
-            texts: list[list[str | None]] = []
-            for i in range(batch.num_rows):
-                now = {m: given["=" + m][i] for m in made}
-                own = []
-                for c, s, r in zip(calculations, steps, reads):
-                    parts = {n: _together([given[n][i], *[now[m] for m in stands[n]]]) if stands[n] else given[n][i] for n in r}
-                    if s is None:
-                        number = _folded(c.operation, _together([parts[n] for n in c.fields]))
-                    else:
-                        number = s({n: p[1] and exact.fitted(*p[1]) for n, p in parts.items() if p is not None})
-                    own.append(exact.shown(number))
-                    if now.get(c.name) is not None:
-                        n, value = now[c.name][0], number or exact.ZERO
-                        now[c.name] = (n, value if n == 1 else exact.multiply(value, (n, 0)), value, value)
-                texts.append(own)
-            for at, c in enumerate(calculations):
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch["doc_id"], "name": pa.array([c.name] * batch.num_rows, pa.string()), "text": pa.array([t[at] for t in texts], pa.string())})
-
-    return rows.mapInArrow(run, _RESULT)
+            quick = at_once(batch)
+            if quick is not None:
+                yield pa.RecordBatch.from_pydict(quick)
+                continue
+            given = {n: _given(batch, at) for at, n in enumerate(columns)}
+            now = {m: given["=" + m] for m in made}
+            out = {"doc_id": batch["doc_id"]}
+            for at, (c, s, r) in enumerate(zip(calculations, steps, reads)):
+                parts = {n: list(map(_together, zip(given[n], *[now[m] for m in stands[n]]))) if stands[n] else given[n] for n in r}
+                if s is not None:
+                    numbers = s({n: [exact.ZERO if p is None else p[1] and exact.fitted(*p[1]) for p in own] for n, own in parts.items()}, batch.num_rows)
+                    numbers = numbers.numbers() if isinstance(numbers, exact.Vector) else numbers
+                elif len(c.fields) == 1:
+                    numbers = [_folded(c.operation, p) for p in parts[c.fields[0]]]
+                else:
+                    several = zip(*[parts[n] for n in c.fields]) if c.fields else [()] * batch.num_rows
+                    numbers = [_folded(c.operation, _together(ps)) for ps in several]
+                out[f"_t{at}"] = pa.array(map(exact.shown, numbers), pa.string())
+                if c.name in now:
+                    now[c.name] = list(map(_renewed, now[c.name], numbers))
+            yield pa.RecordBatch.from_pydict(out)
+
+    return rows.mapInArrow(run, schema)
 
 
 def recalculate(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFrame:
@@ -407,11 +509,17 @@ def recalculate(fields: DataFrame, calculations: Sequence[Calculation]) -> DataF
     more = [c for c in ("separator_style", "seq") if c in fields.columns]
     current = fields.select("doc_id", "name", "value", F.coalesce("value", F.lit("")).alias("_old"), *more)
     for at, batch in enumerate(rounds, 1):
-        new = calculate(current, batch) if batch[0].operation == "PRD" else _in_turn(current, batch)
-        new = new.select("doc_id", "name", F.coalesce("text", F.lit("")).alias("_new"))
+        product = batch[0].operation == "PRD"
+        new = calculate(current, batch) if product else _in_turn(current, batch)
         if at == len(rounds):  # what no calculation names cannot have changed
             current = current.where(F.col("name").isin(*{c.name for c in calculations}))
-        current = current.join(new, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("_new", "value").alias("value"), "_old", *more)
+        if product:
+            new = new.select("doc_id", "name", F.coalesce("text", F.lit("")).alias("_new"))
+            current, value = current.join(new, ["doc_id", "name"], "left"), F.coalesce("_new", "value")
+        else:  # a document's results are one row
+            current = current.join(new.withColumn("_made", F.lit(True)), "doc_id", "left")
+            value = reduce(lambda v, i: F.when(F.col("_made") & (F.col("name") == batch[i].name), F.coalesce(f"_t{i}", F.lit(""))).otherwise(v), range(len(batch)), F.col("value"))
+        current = current.select("doc_id", "name", value.alias("value"), "_old", *more)
         current = current if at == len(rounds) else cut(current)
     return current.where("value <> _old").select("doc_id", "name", "value")
 

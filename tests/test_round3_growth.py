@@ -97,3 +97,57 @@ def test_coverage_counts_repeats(spark):
     a = spark.createDataFrame([(1, "x")] * 3 + [(1, "y"), (2, "x")], "doc_id long, word string")
     b = spark.createDataFrame([(1, "x")] * 2 + [(1, "z"), (3, "x")], "doc_id long, word string")
     assert {(r.doc_id, r.words, r.found) for r in comparing.word_coverage(a, b).collect()} == {(1, 4, 2), (2, 1, 0)}
+
+
+@pytest.mark.parametrize("name", ["F4_recalculate", "F7_derive"])
+def test_form_sums_moved_once(spark, name):
+    """A document's fields meet in one grouping by hash, as whole numbers; no list of parts is made of them."""
+    text = plan(spark, name)
+    assert "ObjectHashAggregate" not in text and "decimal(38" not in "".join(line for line in text.splitlines() if "HashAggregate" in line)
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_sums_side_by_side_as_by_rows(spark, monkeypatch):
+    """Sums of whole-number pieces and vectors give what sums by rows give: short, long, signed, written in a style, null and unreadable numbers."""
+    dice = random.Random(11)
+    digits = lambda n: str(dice.randrange(10 ** (n - 1), 10**n))
+    kinds = [lambda: digits(3), lambda: "-" + digits(2) + ".25", lambda: " 12. ", lambda: None, lambda: "twelve", lambda: "1.234,5", lambda: "+.5", lambda: "999999999.999999", lambda: "-" + digits(9) + "." + digits(6),
+             lambda: digits(20), lambda: "-0." + digits(19), lambda: digits(15) + "." + digits(9), lambda: "1e3", lambda: "-2.5E-7", lambda: ""]
+    rows = [(d, f"{g}.f{i}", dice.choice(kinds[: 3 + d % 13])(), d % 4) for d in range(150) for g in "ab" for i in range(1 + d % 4)]
+    rows += [(d, n, dice.choice(["7", "", None]), 0) for d in range(150) for n in ("net", "end", "more", "rest") if dice.random() < 0.7] + [(d, "net", "5", 0) for d in range(0, 150, 9)] + [(999, "other", "1", 0)]
+    fields = spark.createDataFrame(rows, "doc_id long, name string, value string, separator_style int").repartition(3)
+    rules = [Calculation("net", expression="a - 10.5"), Calculation("end", "SUM", ("net", "a", "b")), Calculation("more", expression="end * net * 3 - -b"), Calculation("rest", expression="(more + end) / b - 1"), Calculation("none", "AVG", ("a",))]
+    found = []
+    for beside in (16, -1):
+        monkeypatch.setattr(forms, "_BESIDE", beside)
+        found.append([sorted(map(str, forms.recalculate(fields, r).collect())) for r in (rules[:3], rules[:4], rules)])
+        found[-1] += [sorted(map(str, forms.derive(fields, "d", e).collect())) for e in ("a * 2 - b", "a * a * a / b", "a + 79228162514264337593543950335")]
+    assert all(found[0])
+    for a, b in zip(*found):
+        assert [x for x in a if x not in b] == [x for x in b if x not in a] == []
+
+
+def test_vectors_give_way_to_whole_numbers_of_any_length():
+    """Steps that 64 bits may not hold are taken one by one, with the same results."""
+    dice = random.Random(13)
+    for e in ("a * b", "a + b - 3", "-(a * 2.5) + b * b", "a * b * a * b", "a / b + 1", "4611686018427387904 - a"):
+        for most in (10, 10**9, 10**18):
+            a, b = [exact.np.array([dice.randrange(-most, most) for _ in range(40)], exact.np.int64) for _ in "ab"]
+            vectors = {"a": exact.Vector.of(a, 6), "b": exact.Vector.of(b, 2)}
+            found = exact.compiled(e)(vectors, 40)
+            texts = found.shown().to_pylist() if isinstance(found, exact.Vector) else list(map(exact.shown, found))
+            lists = {k: [(int(n), p) for n in v] for k, v, p in (("a", a, 6), ("b", b, 2))}
+            wanted = exact.compiled(e)(lists, 40)
+            assert texts == list(map(exact.shown, wanted)), (e, most)
+
+
+def test_quotients_rounded_once():
+    """Halves to the even digit, at as many places as fit, against whole-number division."""
+    dice = random.Random(17)
+    for _ in range(20000):
+        a, b = [(dice.choice([1, -1]) * dice.choice([dice.randrange(10 ** dice.randrange(1, 29)), 2 ** dice.randrange(60), 5 ** dice.randrange(20)]), dice.randrange(29)) for _ in "ab"]
+        wanted = None
+        if b[0]:
+            up, down = a[0] * 10 ** b[1], b[0] * 10 ** a[1]
+            wanted = next(((n, p) for p in range(28, -1, -1) if abs(n := exact._divided(up * 10**p, down)) < exact.LIMIT), None)
+        assert exact.shown(exact.divide(a, b)) == exact.shown(wanted)
