@@ -222,19 +222,19 @@ def _totals(fields: DataFrame, names: Sequence[str], apart: Sequence[str] = (),
     return parts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("_key", part)))).alias("_by"))
 
 
-# So many names are added up side by side; more of them go by rows.
-_BESIDE = 16
+# So many names are added up side by side; more of them go by rows, as the code made for a row must stay small enough to be compiled.
+_BESIDE = 3
 # Up to 9 digits before the point and 6 after it: in millionths a double holds them exactly.
 _SHORT, _MILLIONTHS = r"^[+-]?(?:\d{1,9}(?:\.\d{0,6})?|\.\d{1,6})$", 6
-# Millionths are added up in two pieces, longer numbers by groups of nine digits, 28 of all the digits after the point: eight thousand million fit.
-_BITS, _GROUP, _GROUPS, _AFTER = 30, 9, 9, 28
+# Millionths are added up in two pieces, longer numbers by groups of ten digits, 28 of all the digits after the point: nine hundred million long ones fit.
+_BITS, _GROUP, _GROUPS, _AFTER = 30, 10, 7, 28
 
 
 def _digits(text: Column) -> Column:
-    """The digits of any number without its sign: five groups before the point, four for the `_AFTER` places after it; null where it is too long."""
+    """The digits of any number without its sign: four groups before the point, three for the `_AFTER` places after it; null where it is too long."""
     whole, rest = _halves(text)
     after = F.translate(F.format_number(rest, _AFTER), "-.", "")
-    return F.concat(F.lpad(F.translate(whole.cast("string"), "-", ""), 5 * _GROUP, "0"), F.lpad(after, 4 * _GROUP, "0"))
+    return F.concat(F.lpad(F.translate(whole.cast("string"), "-", ""), 4 * _GROUP, "0"), F.lpad(after, 3 * _GROUP, "0"))
 
 
 def _sums(fields: DataFrame, names: Sequence[str], apart: Sequence[str], counted: Sequence[str]) -> DataFrame:
@@ -276,7 +276,7 @@ def _sums(fields: DataFrame, names: Sequence[str], apart: Sequence[str], counted
 def _pieced(text: str) -> exact.Number:
     """The pieces of a sum put together, not yet fitted."""
     high, low, *groups = map(int, text.split(","))
-    whole, after = (sum(n * 10 ** (_GROUP * i) for i, n in enumerate(reversed(part))) for part in (groups[:5], groups[5:]))
+    whole, after = (sum(n * 10 ** (_GROUP * i) for i, n in enumerate(reversed(part))) for part in (groups[:4], groups[4:]))
     return exact.joined(((high << _BITS) + low, _MILLIONTHS), (whole * 10**_AFTER + after, _AFTER))
 
 
@@ -436,13 +436,14 @@ def _in_turn(fields: DataFrame, calculations: Sequence[Calculation]) -> DataFram
     made = [m for m in made if any(m in ms for ms in stands.values())]
     columns = [*names, *("=" + m for m in made)]
     ends = any(c.operation in ("MIN", "MAX") for c in calculations)
-    if ends or len(columns) > _BESIDE:
+    # What a field held counts only where something reads it before its own result is there.
+    first = {m: [c.name for c in calculations].index(m) for m in made}
+    counted = [m for m in made if not any(m in stands[n] for r in reads[: first[m] + 1] for n in r)]
+    if ends or len(columns) - len(counted) > _BESIDE:
         kinds = ("n", "s", *(("lo", "hi") if ends else ()), "far")
         rows = _apart(_totals(fields, names, made, ends), columns).select("doc_id", *[F.col(f"_p{i}.{k}").alias(f"_p{i}_{k}") for i in range(len(columns)) for k in kinds])
     else:
-        # What a field held counts only where something reads it before its own result is there.
-        first = {m: [c.name for c in calculations].index(m) for m in made}
-        rows = _sums(fields, names, made, [m for m in made if not any(m in stands[n] for r in reads[: first[m] + 1] for n in r)])
+        rows = _sums(fields, names, made, counted)
     schema = ", ".join(["doc_id long", *(f"_t{i} string" for i in range(len(calculations)))])
 
     def at_once(batch: pa.RecordBatch) -> dict | None:
