@@ -8,7 +8,6 @@ from quire.catalog import derived
 from quire.catalog.base import query, table
 from quire.catalog.texts import TOKENS
 from quire.operators import compare, units
-from quire.plans.checkpoints import cut
 
 V = derived.PAGE_VERSIONS
 
@@ -54,29 +53,30 @@ def similarity_summary(spark, folder):
     return compare.similarity_summary(sims).withColumn("similarity", F.round("similarity", 6))
 
 
+def _token_lists(spark, folder, folded: bool = True):
+    """The documents' tokens in order, a list of each document; nothing is moved for it."""
+    found = units.token_lists(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc_id").alias("pair_id"), F.transform("tokens", units.fold).alias("tokens") if folded else F.col("tokens"))
+
+
 def _token_versions(spark, folder):
-    """Numbered tokens of the documents, and of a version with every eleventh token changed and every 13th dropped."""
-    tokens = cut(units.number_tokens(units.compare_tokens(derived.words(spark, folder), boxes=False)))
-    a = tokens.select(F.col("doc_id").alias("pair_id"), "pos", "token", "folded")
-    at = F.col("pos") + F.col("pair_id")
+    """The tokens of the documents, and of a version with every eleventh token changed and every 13th dropped."""
+    tokens = _token_lists(spark, folder)
+    at = lambda k: k + F.col("pair_id")
     # A changed token is one no document has, so how much two versions share is known.
-    changed = F.when(at % 11 == 0, F.concat("token", F.lit("\u0001"), F.col("pos").cast("string")))
-    b = a.where(at % 13 != 0).select(
-        "pair_id", (F.col("pos") - F.floor((at + 12) / 13) + F.floor((F.col("pair_id") + 12) / 13)).alias("pos"),
-        F.coalesce(changed, "token").alias("token"), F.coalesce(changed, "folded").alias("folded"))
-    return a, b
+    changed = F.transform("tokens", lambda t, k: F.when(at(k) % 11 == 0, F.concat(t, F.lit("\u0001"), k.cast("string"))).otherwise(t))
+    b = tokens.select("pair_id", F.filter(changed, lambda t, k: at(k) % 13 != 0).alias("tokens"))
+    return compare.list_blocks(tokens), compare.list_blocks(b)
 
 
-def _grown_versions(spark, folder):
+def _grown_versions(spark, folder, folded: bool = True):
     """Two versions of the documents: words of its own before every eleventh token, others before every 13th."""
-    tokens = cut(units.number_tokens(units.compare_tokens(derived.words(spark, folder), boxes=False))).withColumn("_at", F.col("pos") + F.col("doc_id"))
+    tokens = _token_lists(spark, folder, folded)
 
     def grown(every: int, mark: str):
-        before = F.floor(F.col("_at") / every) + 1 - F.floor((F.col("doc_id") + (every - 1)) / every)  # own words up to this token
-        own = F.concat(F.lit(mark), F.col("pos").cast("string"))
-        both = F.when(F.col("_at") % every == 0, F.array(F.struct((F.col("pos") + before - 1).alias("pos"), own.alias("token"), own.alias("folded")))).otherwise(F.array())
-        kept = F.array(F.struct((F.col("pos") + before).alias("pos"), "token", "folded"))
-        return tokens.select(F.col("doc_id").alias("pair_id"), F.explode(F.concat(both, kept)).alias("_t")).select("pair_id", "_t.*")
+        own = lambda k: F.concat(F.lit(mark), k.cast("string"))
+        put = F.transform("tokens", lambda t, k: F.when((k + F.col("pair_id")) % every == 0, F.array(own(k), t)).otherwise(F.array(t)))
+        return compare.list_blocks(tokens.select("pair_id", F.flatten(put).alias("tokens")))
 
     return grown(11, "\u0001a"), grown(13, "\u0001b")
 
@@ -96,7 +96,7 @@ UNION ALL SELECT doc_id, '-', pos + own_a - 1, pos + own_b - in_b FROM placed WH
 UNION ALL SELECT doc_id, '+', pos + own_a, pos + own_b - 1 FROM placed WHERE in_b = 1
 """)
 def word_diff(spark, folder):
-    return compare.diff_words(*_grown_versions(spark, folder))
+    return compare.script(compare.diff_runs(*_grown_versions(spark, folder)))
 
 
 @query("D3_edit_counts", f"""
@@ -107,9 +107,9 @@ FROM tokens GROUP BY doc_id
 """)
 def edit_counts(spark, folder):
     """How many words each document keeps, loses and gains: the same for every shortest script."""
-    diff = compare.diff_words(*_token_versions(spark, folder))
-    count = lambda op: F.count_if(F.col("op") == op)
-    return diff.groupBy("pair_id").agg(count("=").alias("kept"), count("-").alias("deleted"), count("+").alias("inserted"))
+    runs = compare.diff_runs(*_token_versions(spark, folder))
+    count = lambda op: F.sum(F.when(F.col("op") == op, F.col("n")).otherwise(0))
+    return runs.groupBy("pair_id").agg(count("=").alias("kept"), count("-").alias("deleted"), count("+").alias("inserted"))
 
 
 @query("D4_word_coverage", f"""
@@ -134,8 +134,8 @@ SELECT doc_id AS pair_id, pos AS run, CASE WHEN in_a = 0 THEN 'Inserted' WHEN in
 FROM placed WHERE in_a + in_b > 0
 """)
 def change_runs(spark, folder):
-    a, b = _grown_versions(spark, folder)
-    return compare.change_runs(compare.diff_words(a, b), a, b)
+    runs = compare.diff_runs(*_grown_versions(spark, folder))
+    return compare.changes(runs, *_grown_versions(spark, folder, folded=False))
 
 
 @query("D6_fingerprint_diff", f"""

@@ -23,3 +23,24 @@ def exclusive_prefix(values: Column) -> Column:
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+# Between the texts of a packed array; marks inside a text are written as MARK and a digit.
+BETWEEN, MARK = "\u001f", "\u001e"
+
+
+def packed(texts: Column) -> Column:
+    """An array of texts as one text, a third as large to move. No other array but one with nulls in the same places is packed the same."""
+    plain = F.array_join(texts, "")
+    marked = F.transform(texts, lambda t: F.replace(F.replace(t, F.lit(MARK), F.lit(MARK + "0")), F.lit(BETWEEN), F.lit(MARK + "1")))
+    odd = F.contains(plain, F.lit(MARK)) | F.contains(plain, F.lit(BETWEEN))
+    return F.array_join(F.when(odd, marked).otherwise(texts), BETWEEN, MARK + "2")
+
+
+def unpacked(text: Column) -> Column:
+    """The texts of a packed array of at least one, marks as they are: equal ones are equal, to be shown they go through `shown`."""
+    return F.split(text, BETWEEN, -1)
+
+
+def shown(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit(MARK + "2"), F.lit("")), F.lit(MARK + "1"), F.lit(BETWEEN)), F.lit(MARK + "0"), F.lit(MARK))

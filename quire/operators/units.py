@@ -136,3 +136,8 @@ def line_tokens(lines: DataFrame, advance: float, width: int = 64) -> DataFrame:
     return found.withColumns({
         "folded": fold("token"), "x": F.col("x") + F.col("start") * advance, "w": F.col("length") * advance, "pos": F.col("_before") + F.col("ord"),
     }).drop("_before", "ord")
+
+
+def token_lists(texts: DataFrame) -> DataFrame:
+    """The compare tokens of whole texts, in order, as the list `tokens`: no token crosses a line's end, so a text's lines need not be rows."""
+    return texts.select(*[c for c in texts.columns if c != "text"], F.regexp_extract_all("text", F.lit(patterns.LINE_TOKEN), F.lit(0)).alias("tokens"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans import blocks
-from quire.plans.checkpoints import cut
+from quire.plans.checkpoints import cut, stored
 
 
 def increasing(values: Sequence[int]) -> list[int]:
@@ -44,9 +44,9 @@ def longest(points: DataFrame, keys: Sequence[str], width: int = 65536) -> DataF
     its points are held as numbers in one task.
     """
     keys = list(keys)
-    seen = cut(blocks.scan(blocks.by_value(points, "i", width), keys, ["i"], _most=("max_before", "j"), _least=("min_after", "j")))
+    seen = blocks.scan(blocks.by_value(points, "i", width), keys, ["i"], _most=("max_before", "j"), _least=("min_after", "j"))
     fixed = F.coalesce(F.col("_most") < F.col("j"), F.lit(True)) & F.coalesce(F.col("_least") > F.col("j"), F.lit(True))
-    seen = seen.select(*keys, "i", "j", fixed.alias("_fixed"))
+    seen = stored(seen.select(*keys, "i", "j", fixed.alias("_fixed")), "chains")
     moved = cut(seen.where(~F.col("_fixed")).select(*keys).distinct())
     loose = blocks.scan(blocks.by_value(seen.join(moved, keys, "left_semi").withColumn("_one", F.col("_fixed").cast("long")), "i", width), keys, ["i"], _stretch=("sum", "_one"))
 

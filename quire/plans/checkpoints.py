@@ -32,3 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from reliable storage, so a lost executor never replays the past."""
     ensure_folder(df)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once as Parquet and read back: a tenth of a checkpoint's bytes where the rows are long tables of numbers."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
