@@ -22,7 +22,7 @@ def moved(spark, run):
     return total() - before
 
 
-@pytest.mark.parametrize("name", ["D3_word_diff", "D3_edit_counts"])
+@pytest.mark.parametrize("name", ["D3_word_diff", "D3_edit_counts", "D5_change_runs"])
 def test_diffs_move_tokens_packed(spark, name):
     """Two versions of about 100,000 words: some bytes a word, not a row a word and step."""
     done = moved(spark, lambda: entry.queries()[name](spark, str(SMALL)).write.format("noop").mode("overwrite").save())
