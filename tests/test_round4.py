@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quire.catalog import tabular
 from quire.functions import arrays, myers
-from quire.operators import compare
+from quire.operators import compare, tables
 from tests.test_round3 import SMALL
 from tests.test_text import lcs, whole
 
@@ -60,3 +61,32 @@ def test_scripts_of_many_and_of_few_edits(monkeypatch):
                 a = [dice.randrange(letters) for _ in range(size)]
                 b = [dice.randrange(letters) if dice.random() < 0.2 else x for x in a if dice.random() < 0.9]
                 assert whole(myers.gap_script(a, b), a, b) == lcs(a, b)
+
+
+@pytest.mark.parametrize("sheets", [True, False])
+def test_cells_are_dealt_out_once(spark, sheets):
+    """Items are moved before their cells are rows; typing by column, and the files of sheets, need no other move."""
+    text = tabular._typed(spark, str(SMALL), sheets)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_dealt_sheets_are_ordered_in_files(spark, tmp_path):
+    rows = spark.range(600).select((F.col("id") % 50).alias("doc_id"), (F.col("id") % 2 + 1).alias("table_id"), F.floor(F.col("id") / 100).alias("row"), F.concat(F.lit("S"), F.col("id") % 2).alias("sheet"))
+    cells = tables.deal_to_sheets(rows.repartition(7)).select("*", F.explode(F.array(F.lit(1), F.lit(0))).alias("col"))
+    tables.write_sheets(cells, f"{tmp_path}/sheets", dealt=True)
+    files, seen = {}, 0
+    for r in spark.read.parquet(f"{tmp_path}/sheets").select("*", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect():
+        files.setdefault(r.file_path, []).append((r.doc_id, r.table_id, r.row, r.col))
+        seen += 1
+    assert seen == 1200 and all(f == sorted(f) for f in files.values())
+    assert sum(len({x[:2] for x in f}) for f in files.values()) == 50  # a table is in one file
+    assert len(files) <= 2 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_columns_that_say_both_say_nothing(spark):
+    """Day first, month first, both, neither; a missing text and texts that are no dates say nothing."""
+    columns = {0: ["13/02/2020", "01/02/2020", None], 1: ["02/13/2020", "01/02/2020", "x"], 2: ["13/02/2020", "02/13/2020", "01/02/2020"], 3: ["01/02/2020", "", None], 4: [None], 5: ["2020-02-01", "01/02/2020"]}
+    cells = spark.createDataFrame([(1, t, r, c, x) for t in (1, 2) for c, v in columns.items() for r, x in enumerate(v)], "doc_id long, table_id int, row int, col int, text string")
+    found = {(r.col, r.row): (r.kind, str(r.date)) for r in tables.type_columns(cells).where("table_id = 2").collect()}
+    assert [found[c, r] for c, r in ((0, 1), (1, 1), (2, 2), (3, 0), (5, 1))] == [("Date", "2020-02-01"), ("Date", "2020-01-02"), ("Text", "None"), ("Text", "None"), ("Text", "None")]
+    assert [found[c, r][0] for c, r in ((0, 0), (0, 2), (1, 2), (2, 0), (2, 1), (5, 0))] == ["Date", "Text", "Text", "Date", "Date", "Date"]
