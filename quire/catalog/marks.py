@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from quire.catalog import derived
@@ -108,10 +110,17 @@ def snap(spark, folder):
     points = derived.words(spark, folder).select(
         "doc_id", "page_no", (F.col("line_no") * 100000 + F.col("start")).cast("long").alias("id"), (F.col("x") + F.col("start") % 7).alias("x"), (F.col("y") + F.col("h") + F.col("start") % 5 - 2).alias("y"))
     found = geometry.snap(points, segments, 6.0)
-    total = lambda c: F.round(F.sum(F.round(c, 3).cast("decimal(28,3)")).cast("double"), 2)
+    total = lambda c: F.round((F.sum(_thousandths(F.col(c))).cast("decimal(20,0)") * F.lit(Decimal("0.001"))).cast("double"), 2)
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("points"), total("x").alias("sum_x"), total("y").alias("sum_y"))
 
 
+def _thousandths(value):
+    """The column `round(value, 3)` in thousandths, whole numbers: only values near a half of one, and large ones, go through decimals."""
+    near = value * 1000
+    plain = (F.abs(near) < 1e12) & (F.abs(near - F.floor(near) - 0.5) > 0.001)
+    return F.when(plain, F.floor(near + 0.5)).otherwise((F.round(value, 3).cast("decimal(28,3)") * 1000).cast("long"))
+
+
 _MARKS = """marks AS (SELECT DISTINCT doc_id, page_no, 60.0::DOUBLE AS x, (18 * (doc_id % 40))::DOUBLE AS y, 200.0::DOUBLE AS w, 30.0::DOUBLE AS h FROM lines)"""
 
 

@@ -70,30 +70,38 @@ def snap(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
 
     The nearest end within the tolerance, else the nearest middle, else the nearest point on a segment.
     Segments are dealt to the cells within the tolerance and listed there; a point is moved once, to the list of
-    its own cell, and nothing is counted or sorted per pair. Equal segments count once.
+    its own cell, and nothing is counted or sorted per pair. What a segment offers is worked out only for points near the
+    box around it. Equal segments count once.
     """
-    size, key = tolerance * 16, ["doc_id", "page_no", "_c"]
+    # Most segments are lines of text or under them, so cells are wide: a point has few segments to look at.
+    width, height, key, around = tolerance * 32, tolerance * 4, ["doc_id", "page_no", "_cx", "_cy"], tolerance + 1e-6
     segments = segments.withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")})
     ends = ("x0", "y0", "x1", "y1")
     paths = segments.groupBy("doc_id", "page_no", *ends).agg(F.min("seg_id").alias("seg_id"))
-    paths = paths.withColumn("_c", F.explode(spatial.segment_cells(*map(F.col, ends), size, tolerance)))
-    listed = paths.groupBy(*key).agg(F.collect_list(F.struct("seg_id", *ends)).alias("_segments"))
-    at = points.withColumn("_c", F.struct(spatial.cell(F.col("x"), size).alias("cx"), spatial.cell(F.col("y"), size).alias("cy")))
-
-    def spots(s: Column) -> Column:
+    box = {"_low": F.least("y0", "y1") - around, "_high": F.greatest("y0", "y1") + around, "_left": F.least("x0", "x1") - around, "_right": F.greatest("x0", "x1") + around}
+    paths = paths.withColumns(box).withColumn("_c", F.explode(spatial.segment_cells(*map(F.col, ends), width, tolerance, height)))
+    dealt = paths.withColumns({"_cx": F.col("_c.cx"), "_cy": F.col("_c.cy")}).drop("_c").repartition(*key)
+    listed = dealt.groupBy(*key).agg(F.collect_list(F.struct("seg_id", *ends, *box)).alias("_segments"))
+    at = points.withColumns({"_cx": spatial.cell(F.col("x"), width), "_cy": spatial.cell(F.col("y"), height)})
+    close = F.filter("_segments", lambda s: (F.col("y") >= s["_low"]) & (F.col("y") <= s["_high"]) & (F.col("x") >= s["_left"]) & (F.col("x") <= s["_right"]))
+
+    def near(s: Column, rank: int, tx: Column, ty: Column) -> Column:
+        d2 = (tx - F.col("x")) * (tx - F.col("x")) + (ty - F.col("y")) * (ty - F.col("y"))
+        return F.when(d2 <= tolerance * tolerance, F.struct(F.lit(rank).alias("rank"), d2.alias("_d"), s["seg_id"].alias("seg_id"), tx.alias("tx"), ty.alias("ty")))
+
+    def offer(s: Column) -> Column:
         x0, y0, x1, y1 = (s[c] for c in ends)
         dx, dy = x1 - x0, y1 - y0
         long2 = dx * dx + dy * dy
         along = F.when(long2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - x0) * dx + (F.col("y") - y0) * dy) / F.when(long2 > 0, long2).otherwise(1.0)))).otherwise(0.0)
-        spot = lambda rank, x, y: F.struct(F.lit(rank).alias("rank"), s["seg_id"].alias("seg_id"), x.alias("tx"), y.alias("ty"))
-        return F.array(spot(0, x0, y0), spot(0, x1, y1), spot(1, (x0 + x1) / 2, (y0 + y1) / 2), spot(2, x0 + along * dx, y0 + along * dy))
-
-    def near(s: Column) -> Column:
-        d2 = (s["tx"] - F.col("x")) * (s["tx"] - F.col("x")) + (s["ty"] - F.col("y")) * (s["ty"] - F.col("y"))
-        return F.when(d2 <= tolerance * tolerance, F.struct(s["rank"].alias("rank"), d2.alias("_d"), s["seg_id"].alias("seg_id"), s["tx"].alias("tx"), s["ty"].alias("ty")))
-
-    best = F.array_min(F.transform(F.flatten(F.transform("_segments", spots)), near))
-    found = at.join(listed, key, "left").select("doc_id", "page_no", "id", "x", "y", best.alias("_b"))
+        end = F.least(near(s, 0, x0, y0), near(s, 0, x1, y1))
+        return F.coalesce(end, near(s, 1, (x0 + x1) / 2, (y0 + y1) / 2), near(s, 2, x0 + along * dx, y0 + along * dy))
+
+    # Points are not sorted: the lists of a partition are held in its task, and they are short beside the points. Nearly all points
+    # have one segment near them; for one, no list is gone through.
+    met = at.join(listed.hint("shuffle_hash"), key, "left").select("doc_id", "page_no", "id", "x", "y", close.alias("_close"))
+    best = F.when(F.size("_close") == 1, offer(F.get("_close", F.lit(0)))).when(F.size("_close") > 1, F.array_min(F.transform("_close", offer)))
+    found = met.select("doc_id", "page_no", "id", "x", "y", best.alias("_b"))
     kind = F.when(F.col("_b.rank") == 0, "Endpoint").when(F.col("_b.rank") == 1, "Midpoint").when(F.col("_b.rank") == 2, "OnPath").otherwise("None")
     return found.select("doc_id", "page_no", "id", kind.alias("kind"), F.coalesce("_b.tx", "x").alias("x"), F.coalesce("_b.ty", "y").alias("y"))
 
